@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, mixing
+from . import exact_dedup, fingerprints, mixing, ngram_join, repeats
 
 QUERIES = {
+    "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_suffix_dedup": repeats.op4_suffix_dedup,
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
