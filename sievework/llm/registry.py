@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, mixing, ngram_join, repeats
+from . import bpe, exact_dedup, fingerprints, mixing, ngram_join, repeats
 
 QUERIES = {
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_suffix_dedup": repeats.op4_suffix_dedup,
+    "op5_bpe": bpe.op5_bpe,
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
