@@ -23,6 +23,7 @@ _STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": _PROVIDER,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no space laid out ahead
 }
 
 
