@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, mixing, ngram_join, repeats
+from . import bpe, exact_dedup, fingerprints, mixing, ngram_join, repeats, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_suffix_dedup": repeats.op4_suffix_dedup,
