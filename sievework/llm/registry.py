@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, licenses, mixing, ngram_join, repeats, warc
+from . import bpe, exact_dedup, fingerprints, licenses, mixing, ngram_join, repeats, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_suffix_dedup": repeats.op4_suffix_dedup,
     "op5_bpe": bpe.op5_bpe,
     "op6_fingerprints": fingerprints.op6_fingerprints,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
