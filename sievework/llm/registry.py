@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, licenses, mixing, ngram_join, repeats, toxicity, warc
+from . import bpe, exact_dedup, fingerprints, licenses, mixing, ngram_join, quality, repeats, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_bpe": bpe.op5_bpe,
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_quality": quality.op8_quality,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
