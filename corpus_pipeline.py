@@ -1,15 +1,70 @@
-"""A pipeline over the documents table: STAGES name its steps, run() applies them."""
+"""From raw documents to token ids, in five stages.
+
+Each stage takes all that the one before kept and returns the columns of documents; the last returns token ids. A stage
+gets its documents as a written table, so what it computes from them more than once costs one read each time.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievework.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
+from sievework.llm.scratch import Scratch, workers_import
+
+TOXIC_FROM = 0.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity score does not reject; the lexicon is learned from these documents' labels."""
+    workers_import(spark)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    columns = docs.columns
+    return toxicity.score_rows(docs, model).filter(F.col("__score") < TOXIC_FROM).select(*columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts, that with the smallest identifier."""
+    workers_import(spark)
+    return exact_dedup.keep_rows(docs, exact_dedup.decide(docs))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that five-word shingles link at a similarity of 0.8 or more, that with the smallest identifier."""
+    workers_import(spark)
+    groups = ngram_join.similar_groups(docs, words=5, low=80)
+    gone = groups.groupBy("doc_id").agg(F.min(~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("gone")).filter("gone").select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them: up to three times or not at all."""
+    workers_import(spark)
+    return mixing.take(docs, mixing.mix(docs))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids of every document, repeats included."""
+    workers_import(spark)
+    return bpe.encode(docs, bpe.default_vocabulary()).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("BPE encoding and decoding", tokenize),
+]
 
-STAGES: list = []
-ORACLE_SQL = None
+ORACLE_SQL = None  # the stages learn, draw by hash and tokenize; a test compares with a plain computation
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    scratch = Scratch(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = scratch.write(stage(spark, docs, sf_dir), f"stage{k}")
+        if k:
+            scratch.drop(f"stage{k - 1}")
     return docs

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from . import bpe, exact_dedup, fingerprints, licenses, mixing, ngram_join, quality, repeats, toxicity, warc
+from .scratch import workers_import
 
-QUERIES = {
+_OPERATORS = {
     "op1_warc": warc.op1_warc,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
@@ -16,4 +17,15 @@ QUERIES = {
     "op9_license_scan": licenses.op9_license_scan,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
+
+
+def _query(operator):
+    def query(spark, sf_dir):
+        workers_import(spark)
+        return operator(spark, sf_dir)
+
+    return query
+
+
+QUERIES = {name: _query(operator) for name, operator in _OPERATORS.items()}
 ORACLE_SQL = {"op3_exact_dedup": exact_dedup.SQL}

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import whole
 
@@ -281,6 +282,21 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
 
 
+def score_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs with a column __score; nothing is joined or shuffled."""
+    handle = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.withColumn("__words", tokens(whole(F.col(text_col))))
+    schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = handle.value.matcher()
+        for batch in batches:
+            scores = pa.array(matcher.scores(batch.column("__words")))
+            yield pa.record_batch([*batch.columns[:-1], scores], names=[*batch.schema.names[:-1], "__score"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def spans(text_words: list[str], model: Model) -> list[tuple[int, str, bool, bool]]:
     """(word position, term, misspelled, quoted) of the hits in one text, for inspection."""
     matcher = model.matcher()
