@@ -1 +1 @@
-
+"""The engine is batch only; its row-wise operators also run on streaming tables as they are."""
