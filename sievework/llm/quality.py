@@ -188,7 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     scratch = Scratch(docs.sparkSession, "quality")
     n = usable.count()
     drawn = usable.filter(F.pmod(F.xxhash64("lid"), F.lit(1_000_000)) < int(min(1.0, most_rows / max(1, n)) * 1_000_000))
-    rows = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text")).join(drawn, F.col("id") == F.col("lid")).select("label", "text")
+    # about most_rows identifiers and labels: small whatever the corpus, so no text is shuffled
+    rows = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text")).join(F.broadcast(drawn), F.col("id") == F.col("lid")).select("label", "text")
     table = scratch.write(rows.mapInArrow(_statistics, "label int, x array<double>"), "statistics").orderBy("label", "x").toArrow()  # about most_rows rows of numbers
     scratch.drop("statistics")
     x = table.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(NAMES)) if table.num_rows else np.zeros((0, len(NAMES)))

@@ -54,7 +54,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_c
     # Drawn by hash: the same rows in every run. One in a million of the hash space is the grain.
     share = 1.0 if n <= most_rows else most_rows / n
     drawn = usable.filter(F.pmod(F.xxhash64("lid"), F.lit(1_000_000)) < int(share * 1_000_000))
-    return docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text")).join(drawn, F.col("id") == F.col("lid")).select("id", "text", "label")
+    # about most_rows identifiers and labels: small whatever the corpus, so no text is shuffled
+    return docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text")).join(F.broadcast(drawn), F.col("id") == F.col("lid")).select("id", "text", "label")
 
 
 class Trie:
