@@ -2,7 +2,8 @@
 
 Texts with equal shingle sets are one node. The global order of n-grams is by frequency class, then by hash: the class
 comes from counts of all n-grams of the corpus in a table of fixed size. Two sets that are similar enough share an n-gram
-among the first few of each in this order, so nodes meet at their shared early n-grams. At each such n-gram the most
+among the first few of each in this order, and several among some more; nodes that share fewer with all others are
+dropped, the rest meet at their shared early n-grams. At each such n-gram the most
 central node is the hub, and all others are compared with it; this is linear in what meets. What is linked to one hub is one
 component already. Nodes that are not linked to their hub are compared with all that the triangle inequality of the Jaccard
 distance leaves, in blocks of fixed size. Every comparison is vertical: the n-gram order is cut into fragments, partial
@@ -80,29 +81,38 @@ def frequency_classes(counts: DataFrame, counters: int) -> np.ndarray:
     return np.clip(np.floor(np.log2(np.maximum(total, 1) / mean)), 0, 31).astype(np.uint8)
 
 
-def _early(words: int, classes, low: int, high: int):
-    """The first n-grams of each set, by class and hash: enough that similar sets share one."""
+def _early(words: int, classes, low: int, high: int, depth: int):
+    """The first n-grams of each set, by class and hash: so many that similar sets share _need() of them; `first` marks
+    those of which they share one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = classes.value
         mask = np.uint64(len(table) - 1)
         for batch in batches:
-            token, node, size = [], [], []
+            token, node, size, first = [], [], [], []
             for _, h in _sets(batch, words):
                 n = len(h)
                 if not n:
                     continue
-                p = n - -(-low * n // high) + 1
+                one = n - -(-low * n // high) + 1
+                p = min(n, one + max(1, depth * one // 100) - 1)
                 c = table[(h & mask).astype(np.int64)]
                 token.append(h[np.lexsort((h, c))[:p]] if c.any() else h[:p])
                 node.append(np.full(p, _node(h)))
-                size.append(np.full(p, n))
+                size.append(np.full(p, n, np.int32))
+                first.append(np.arange(p) < one)
             if token:
-                yield pa.record_batch({"token": np.concatenate(token).view(np.int64), "node": np.concatenate(node), "n": np.concatenate(size)})
+                yield pa.record_batch({"token": np.concatenate(token).view(np.int64), "node": np.concatenate(node), "n": np.concatenate(size), "first": np.concatenate(first)})
 
     return run
 
 
+def _need(low: int, high: int, depth: int) -> str:
+    """How many of its early n-grams a set of n shares with a similar one: counted for the smallest set that can be similar."""
+    m = f"(({low} * n + {high - 1}) div {high})"
+    return f"greatest(1, ({depth} * ({m} - (({low} * {m} + {high - 1}) div {high}) + 1)) div 100)"
+
+
 def _arrays(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,8 +215,11 @@ def _blocks(low: int, high: int):
     return run
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, low: int = 80, high: int = 100) -> DataFrame:
-    """Per row: id_col, n_shingles, component_id. Texts link when high * intersection >= low * union."""
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, low: int = 80, high: int = 100, depth: int = 50) -> DataFrame:
+    """Per row: id_col, n_shingles, component_id. Texts link when high * intersection >= low * union.
+
+    depth: by how many percent the early n-grams are extended; more of them are shuffled, and fewer sets go on by chance.
+    """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "ngrams")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text"))
@@ -216,11 +229,18 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = survey.filter("chunk is null").select("id", "n", "node")
     classes = spark.sparkContext.broadcast(frequency_classes(survey.filter("chunk is not null").select("chunk", "counts"), counters))  # `counters` bytes
 
-    early = rows.select("text").mapInArrow(_early(words, classes, low, high), "token long, node long, n long")
+    early = rows.select("text").mapInArrow(_early(words, classes, low, high, depth), "token long, node long, n int, first boolean")
     shared = early.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("token")
-    meets = scratch.write(early.join(shared, "token", "left_semi").distinct(), "meets")
-    busy = meets.groupBy("token").agg(F.count(F.lit(1)).alias("met")).filter("met > 1")
-    meets = scratch.write(meets.join(busy, "token"), "busy")
+    meets = scratch.write(early.join(shared, "token", "left_semi").distinct(), "meets0")
+    # Sets that share too few early n-grams with any others are similar to none; without them others share fewer.
+    for turn in range(1, 4):
+        able = meets.groupBy("node", "n").agg(F.count(F.lit(1)).alias("shared")).filter(f"shared >= {_need(low, high, depth)}").select("node")
+        left = meets.join(able, "node", "left_semi")
+        busy = left.groupBy("token").agg(F.count(F.lit(1)).alias("met")).filter("met > 1")
+        meets = scratch.write(left.join(busy.select("token"), "token", "left_semi"), f"meets{turn}")
+        scratch.drop(f"meets{turn - 1}")
+    meets = meets.filter("first")
+    meets = scratch.write(meets.join(meets.groupBy("token").agg(F.count(F.lit(1)).alias("met")).filter("met > 1"), "token"), "busy")
     # A text that others were made from shares most of its n-grams with them: the mean number met is highest for it.
     central = meets.groupBy("node").agg(F.avg("met").alias("central"))
     hubs = meets.join(central, "node").groupBy("token").agg(F.max(F.struct("central", "node")).alias("top")).select("token", F.col("top.node").alias("hub"))
@@ -260,7 +280,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, low=90)
+    return similar_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, low=90, depth=100)
 
 
 SQL = None  # tests compare with all pairs counted outright

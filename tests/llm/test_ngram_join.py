@@ -30,10 +30,10 @@ def outright(data, words, low, high=100):
     return sorted((i, len(sets[k]), least[root(k)]) for k, i in enumerate(ids))
 
 
-@pytest.mark.parametrize(("words", "low", "seed"), [(3, 90, 1), (5, 80, 2), (2, 60, 3)])
-def test_against_all_pairs(spark, words, low, seed):
+@pytest.mark.parametrize(("words", "low", "seed", "depth"), [(3, 90, 1, 100), (5, 80, 2, 50), (2, 60, 3, 0)])
+def test_against_all_pairs(spark, words, low, seed, depth):
     data = rows(150, seed=seed)
-    got = sorted(tuple(r) for r in ngram_join.similar_groups(table(spark, data), words=words, low=low).collect())
+    got = sorted(tuple(r) for r in ngram_join.similar_groups(table(spark, data), words=words, low=low, depth=depth).collect())
     assert got == outright(data, words, low)
 
 
