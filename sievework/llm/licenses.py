@@ -16,6 +16,8 @@ used; the template library is of fixed size.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +49,17 @@ def word_hashes(text: Column) -> Column:
 def shingles(words: Column, n: int = SHINGLE) -> Column:
     """Hashes of all n-word shingles, in order; [] for fewer words."""
     none = F.expr("cast(array() as array<bigint>)")
-    return F.when(F.size(words) < n, none).otherwise(F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(*[F.element_at(words, i + j) for j in range(n)])))
+
+    def cut(h: Column) -> Column:
+        return F.when(F.size(h) < n, none).otherwise(F.transform(F.sequence(F.lit(1), F.size(h) - (n - 1)), lambda i: F.xxhash64(*[F.element_at(h, i + j) for j in range(n)])))
+
+    return bound(words, cut)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once per row: an optimizer that pushes a filter down would write it out again at
+    each place, in the lambda for each element too."""
+    return F.transform(F.array(value), use)[0]
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
@@ -78,7 +90,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
     rows = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text")).select("id", F.xxhash64("text").alias("tail"), word_hashes(F.col("text")).alias("w"))
     grams = rows.select("id", "tail", shingles(F.col("w")).alias("grams")).withColumn("common", F.array_intersect("grams", literal)).filter(F.size("common") > 0)
-    at = F.filter(F.transform("grams", lambda g, i: F.struct(i.alias("pos"), g.alias("gram"))), lambda x: F.array_contains(F.col("common"), x["gram"]))
+    at = bound(F.col("common"), lambda known_: F.filter(F.transform("grams", lambda g, i: F.struct(i.alias("pos"), g.alias("gram"))), lambda x: F.array_contains(known_, x["gram"])))
     hits = grams.select("id", "tail", F.explode(at).alias("hit")).select("id", "tail", "hit.pos", "hit.gram")
 
     # Window k of a class with length L starts at word k*L/2 and is 3L/2 long: a position lies in up to three of them.
