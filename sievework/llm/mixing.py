@@ -8,8 +8,9 @@ each integer that the sum crosses.
 The line runs by size class first, then by a salt drawn from the identifier, then by size: so every stretch of it holds
 like documents and the words taken come out near the target. Ranks are counted within (source, class, salt) and the few
 group counts of a source are summed ahead of them, so a source with a third of all rows is still ranked in many tasks.
-Of a fixed number of random offsets each source uses the one that brings its words nearest to the target; with few or
-very unequal documents a single draw can miss by the size of the longest.
+With few or very unequal documents a draw could miss by the size of the longest. So documents of more than a fiftieth of
+their source's target are drawn first; what they take is taken from the target, and the others' expected copies are what is
+left over their words. Of a fixed number of random offsets the others use the one that comes nearest.
 
 Defined cases: a null text has size 0; the null source is a source of its own, last in order; documents of a source without
 words are taken 0 times; repeated identifiers are documents of their own; an empty table gives an empty result. Only
@@ -28,6 +29,7 @@ from .scratch import Scratch
 from .text import WORD, whole
 
 SALTS, CLASSES_PER_DOUBLING, SEED = 64, 4, 20240607
+HEAVY = 50  # documents of more than a fiftieth of their source's target are drawn first
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: float = 3.0, share: float = 1.0) -> DataFrame:
@@ -62,35 +64,50 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     klass = F.floor(F.log2(F.col("size") + 1) * CLASSES_PER_DOUBLING).cast("int")
     rows = scratch.write(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size")).withColumn("klass", klass).withColumn("salt", salt), "sizes")
 
-    cells = rows.groupBy("source", "klass", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
-    sources = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, limit, share)
-    # A bounded number of cells per source: SALTS times the size classes.
-    ahead = Window.partitionBy("source").orderBy("klass", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).select("source", "klass", "salt", "ahead")
-    sources = sources.withColumn("rate", F.least(F.lit(float(limit)), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)))
-    table = cells.withColumnRenamed("source", "s1").join(sources.withColumnRenamed("source", "s2"), F.col("s1").eqNullSafe(F.col("s2"))).select(F.col("s1").alias("s"), F.col("klass").alias("c"), F.col("salt").alias("t"), "ahead", "source_size", "target", "rate")
+    sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, limit, share)
+    sources = sources.withColumn("rate", F.least(F.lit(float(limit)), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))).withColumnRenamed("source", "s")
+    rows = rows.join(sources, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("heavy", F.col("size") * HEAVY > F.col("target"))
 
-    within = Window.partitionBy("source", "klass", "salt").orderBy("size", "id")
+    # A bounded number of cells per source: SALTS times the size classes.
+    cells = rows.groupBy("source", "heavy", "klass", "salt").agg(F.count(F.lit(1)).alias("n"))
+    ahead = Window.partitionBy("source", "heavy").orderBy("klass", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(F.col("source").alias("s"), F.col("heavy").alias("v"), F.col("klass").alias("c"), F.col("salt").alias("t"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    within = Window.partitionBy("source", "heavy", "klass", "salt").orderBy("size", "id")
     ranked = rows.withColumn("place", F.row_number().over(within))
-    placed = ranked.join(table, F.col("source").eqNullSafe(F.col("s")) & (F.col("klass") == F.col("c")) & (F.col("salt") == F.col("t")))
-    placed = scratch.write(placed.select("id", "source", "size", "source_size", "target", "rate", (F.col("ahead") + F.col("place")).alias("place")), "places")
-
-    drawn = placed.groupBy("source").agg(*(F.sum(_copies(F.lit(u), limit) * F.col("size")).alias(f"u{i}") for i, u in enumerate(offsets(seed, draws))), F.first("target").alias("aim"))
-    miss = F.least(*(F.struct(F.abs(F.col(f"u{i}") - F.col("aim")).alias("miss"), F.lit(u).alias("u")) for i, u in enumerate(offsets(seed, draws))))
-    drawn = drawn.select(F.col("source").alias("s"), miss["u"].alias("offset"))
-    joined = placed.join(drawn, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", _copies(F.col("offset"), limit))
+    placed = ranked.join(cells, F.col("source").eqNullSafe(F.col("s")) & (F.col("heavy") == F.col("v")) & (F.col("klass") == F.col("c")) & (F.col("salt") == F.col("t")))
+    placed = scratch.write(placed.select("id", "source", "size", "source_size", "target", "rate", "heavy", (F.col("ahead") + F.col("place")).alias("place")), "places")
+
+    us = offsets(seed, draws)
+    heavy = placed.groupBy("source").agg(
+        F.first("target").alias("aim"), F.first("rate").alias("rate"), F.sum(F.when(F.col("heavy"), 0).otherwise(F.col("size"))).alias("light_size"),
+        *(F.sum(F.when(F.col("heavy"), _copies(F.lit(u), F.col("rate"), limit) * F.col("size")).otherwise(0)).alias(f"u{i}") for i, u in enumerate(us)),
+    )
+    # The heavy documents' words come near their own share of the target, so that the others can make up the rest.
+    pick = _nearest(us, F.col("rate") * F.col("light_size"))
+    heavy = heavy.select("source", "aim", "light_size", pick.alias("p")).select(F.col("source").alias("s"), "aim", F.col("p.u").alias("heavy_u"), F.col("p.words").alias("heavy_words"), F.least(F.lit(float(limit)), F.greatest(F.lit(0.0), F.when(F.col("light_size") > 0, (F.col("aim") - F.col("p.words")) / F.col("light_size")).otherwise(0.0))).alias("light_rate"))
+    heavy = scratch.write(heavy, "heavy")
+    light = placed.filter(~F.col("heavy")).join(heavy, F.col("source").eqNullSafe(F.col("s"))).groupBy("source").agg(F.first("aim").alias("aim"), F.first("heavy_words").alias("heavy_words"), *(F.sum(_copies(F.lit(u), F.col("light_rate"), limit) * F.col("size")).alias(f"u{i}") for i, u in enumerate(us)))
+    light = light.select(F.col("source").alias("s2"), _nearest(us, F.col("heavy_words"))["u"].alias("light_u"))
+    drawn = heavy.join(light, F.col("s").eqNullSafe(F.col("s2")), "left").select("s", "heavy_u", "light_rate", F.coalesce("light_u", F.lit(0.0)).alias("light_u"))
+    copies = F.when(F.col("heavy"), _copies(F.col("heavy_u"), F.col("rate"), limit)).otherwise(_copies(F.col("light_u"), F.col("light_rate"), limit))
+    joined = placed.join(drawn, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", copies)
     return joined.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def _nearest(us: list[float], besides: Column) -> Column:
+    """Of the sums u0, u1, ... that with `besides` comes nearest to aim: (miss, u, words)."""
+    return F.least(*(F.struct(F.abs(F.col(f"u{i}") + besides - F.col("aim")).alias("miss"), F.lit(u).alias("u"), F.col(f"u{i}").alias("words")) for i, u in enumerate(us)))
+
+
 def offsets(seed: int, draws: int) -> list[float]:
     """Random offsets in [0, 1), the same in every run."""
     draw = random.Random(seed)
     return [draw.random() for _ in range(draws)]
 
 
-def _copies(offset: Column, limit: float) -> Column:
+def _copies(offset: Column, rate: Column, limit: float) -> Column:
     """Integer boundaries that the running sum of expected copies crosses at this document."""
-    end, start = F.col("place") * F.col("rate") + offset, (F.col("place") - 1) * F.col("rate") + offset
+    end, start = F.col("place") * rate + offset, (F.col("place") - 1) * rate + offset
     return F.least((F.floor(end) - F.floor(start)).cast("long"), F.lit(math.ceil(limit)).cast("long"))
 
 
