@@ -2,8 +2,8 @@
 
 Texts with equal shingle sets are one node. The global order of n-grams is by frequency class, then by hash: the class
 comes from counts of all n-grams of the corpus in a table of fixed size. Two sets that are similar enough share an n-gram
-among the first few of each in this order, and several among some more; nodes that share fewer with all others are
-dropped, the rest meet at their shared early n-grams. At each such n-gram the most
+among the first few of each in this order, and several among some more; nodes that share fewer with all others of like
+size are dropped, the rest meet at their shared early n-grams. At each such n-gram the most
 central node is the hub, and all others are compared with it; this is linear in what meets. What is linked to one hub is one
 component already. Nodes that are not linked to their hub are compared with all that the triangle inequality of the Jaccard
 distance leaves, in blocks of fixed size. Every comparison is vertical: the n-gram order is cut into fragments, partial
@@ -16,6 +16,7 @@ identifiers are fine, a null identifier counts as least; an empty table gives an
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytestrings import utf8
+from .bytestrings import mixed, utf8
 from .components import connected_components
 from .scratch import Scratch
 from .shingles import shingle_sets
@@ -83,13 +84,16 @@ def frequency_classes(counts: DataFrame, counters: int) -> np.ndarray:
 
 def _early(words: int, classes, low: int, high: int, depth: int):
     """The first n-grams of each set, by class and hash: so many that similar sets share _need() of them; `first` marks
-    those of which they share one."""
+    those of which they share one. Each comes twice, with the set's size class (side 0) and the next (side 1): sizes of
+    similar sets are at most one class apart, so they share a class, and sets of other sizes do not meet.
+    """
+    base = math.log(high / low * (1 + 1e-9)) if low < high else 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = classes.value
         mask = np.uint64(len(table) - 1)
         for batch in batches:
-            token, node, size, first = [], [], [], []
+            token, node, size, first, side = [], [], [], [], []
             for _, h in _sets(batch, words):
                 n = len(h)
                 if not n:
@@ -97,12 +101,16 @@ def _early(words: int, classes, low: int, high: int, depth: int):
                 one = n - -(-low * n // high) + 1
                 p = min(n, one + max(1, depth * one // 100) - 1)
                 c = table[(h & mask).astype(np.int64)]
-                token.append(h[np.lexsort((h, c))[:p]] if c.any() else h[:p])
-                node.append(np.full(p, _node(h)))
-                size.append(np.full(p, n, np.int32))
-                first.append(np.arange(p) < one)
+                early = h[np.lexsort((h, c))[:p]] if c.any() else h[:p]
+                k = int(math.log(n) / base)
+                for s in (0, 1):
+                    token.append(mixed(early ^ np.uint64((k + s) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
+                    node.append(np.full(p, _node(h)))
+                    size.append(np.full(p, n, np.int32))
+                    first.append(np.arange(p) < one)
+                    side.append(np.full(p, s, np.int8))
             if token:
-                yield pa.record_batch({"token": np.concatenate(token).view(np.int64), "node": np.concatenate(node), "n": np.concatenate(size), "first": np.concatenate(first)})
+                yield pa.record_batch({"token": np.concatenate(token).view(np.int64), "node": np.concatenate(node), "n": np.concatenate(size), "first": np.concatenate(first), "side": np.concatenate(side)})
 
     return run
 
@@ -215,7 +223,7 @@ def _blocks(low: int, high: int):
     return run
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, low: int = 80, high: int = 100, depth: int = 50) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, low: int = 80, high: int = 100, depth: int = 30) -> DataFrame:
     """Per row: id_col, n_shingles, component_id. Texts link when high * intersection >= low * union.
 
     depth: by how many percent the early n-grams are extended; more of them are shuffled, and fewer sets go on by chance.
@@ -229,17 +237,17 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = survey.filter("chunk is null").select("id", "n", "node")
     classes = spark.sparkContext.broadcast(frequency_classes(survey.filter("chunk is not null").select("chunk", "counts"), counters))  # `counters` bytes
 
-    early = rows.select("text").mapInArrow(_early(words, classes, low, high, depth), "token long, node long, n int, first boolean")
+    early = rows.select("text").mapInArrow(_early(words, classes, low, high, depth), "token long, node long, n int, first boolean, side byte")
     shared = early.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("token")
     meets = scratch.write(early.join(shared, "token", "left_semi").distinct(), "meets0")
     # Sets that share too few early n-grams with any others are similar to none; without them others share fewer.
     for turn in range(1, 4):
-        able = meets.groupBy("node", "n").agg(F.count(F.lit(1)).alias("shared")).filter(f"shared >= {_need(low, high, depth)}").select("node")
-        left = meets.join(able, "node", "left_semi")
+        able = meets.groupBy("node", "n", "side").agg(F.count(F.lit(1)).alias("shared")).filter(f"shared >= {_need(low, high, depth)}").select("node", "side")
+        left = meets.join(able, ["node", "side"], "left_semi")
         busy = left.groupBy("token").agg(F.count(F.lit(1)).alias("met")).filter("met > 1")
         meets = scratch.write(left.join(busy.select("token"), "token", "left_semi"), f"meets{turn}")
         scratch.drop(f"meets{turn - 1}")
-    meets = meets.filter("first")
+    meets = meets.filter("first").select("token", "node").distinct()
     meets = scratch.write(meets.join(meets.groupBy("token").agg(F.count(F.lit(1)).alias("met")).filter("met > 1"), "token"), "busy")
     # A text that others were made from shares most of its n-grams with them: the mean number met is highest for it.
     central = meets.groupBy("node").agg(F.avg("met").alias("central"))
@@ -280,7 +288,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, low=90, depth=100)
+    return similar_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, low=90, depth=30)
 
 
 SQL = None  # tests compare with all pairs counted outright
