@@ -106,6 +106,19 @@ def word_table(docs: DataFrame, vocabulary, scratch: Scratch, text_col: str = "t
     return scratch.write(words, "words")
 
 
+def least_count(counted: DataFrame, most_words: int) -> int:
+    """The smallest count from which at most most_words words remain; from a histogram of counts, not by sorting words."""
+    top = 1 << 20
+    rows = counted.groupBy(F.least("n", F.lit(top)).alias("n")).agg(F.count(F.lit(1)).alias("words")).collect()
+    left, least = most_words, top + 1
+    for r in sorted(rows, key=lambda r: -r["n"]):
+        left -= r["words"]
+        if left < 0:
+            break
+        least = r["n"]
+    return least
+
+
 class _Table:
     """Encoded words as flat arrays; looked up by word."""
 
@@ -157,7 +170,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     vocabulary = spark.sparkContext.broadcast(Vocabulary(path))  # fixed size
     counted = word_table(docs, vocabulary, scratch, text_col)
     # At most most_words words of at most LONGEST_WORD bytes: the size that is broadcast is bounded whatever the corpus.
-    frequent = counted.filter((F.octet_length("word") <= LONGEST_WORD) & (F.col("n") > 1)).orderBy(F.desc("n"), "word").limit(most_words).select("word")
+    short = counted.filter((F.octet_length("word") <= LONGEST_WORD) & (F.col("n") > 1))
+    frequent = short.filter(F.col("n") >= least_count(short, most_words)).select("word")
     encoded = frequent.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_encode_each(vocabulary), "word string, ids array<int>")
     table = spark.sparkContext.broadcast(_Table(encoded.toArrow()))
     rows = docs.select(F.col(id_col).alias("id"), split_words(whole(F.col(text_col)), sorted(vocabulary.value.special)).alias("words"))

@@ -29,7 +29,7 @@ def workers_import(spark: SparkSession) -> None:
     """Let Python workers on machines that see this folder import the package (clusters get it by --py-files), and keep
     the batches they get small: a batch's words and ids take many times the memory of its texts."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's default
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     root = str(Path(__file__).resolve().parents[2])
     path = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in path.split(":"):
