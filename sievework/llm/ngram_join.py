@@ -223,6 +223,16 @@ def _blocks(low: int, high: int):
     return run
 
 
+def _gather(meets: DataFrame, hubs: DataFrame) -> DataFrame:
+    """token, hub with fewer hubs: each node looks to the hub with most nodes around it; a bucket whose nodes all look to
+    one hub, and so are all around it, takes that one. Every two nodes that meet still stand around a common hub."""
+    around = meets.join(hubs, "token").select("hub", "node").distinct()
+    size = around.groupBy("hub").agg(F.count(F.lit(1)).alias("m"))
+    look = around.join(size, "hub").groupBy("node").agg(F.max(F.struct("m", "hub")).alias("to")).select("node", F.col("to.hub").alias("to"))
+    agreed = meets.join(look, "node").groupBy("token").agg(F.min("to").alias("a"), F.max("to").alias("b"))
+    return hubs.join(agreed, "token").select("token", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("hub")).alias("hub"))
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, low: int = 80, high: int = 100, depth: int = 30) -> DataFrame:
     """Per row: id_col, n_shingles, component_id. Texts link when high * intersection >= low * union.
 
@@ -248,10 +258,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         meets = scratch.write(left.join(busy.select("token"), "token", "left_semi"), f"meets{turn}")
         scratch.drop(f"meets{turn - 1}")
     meets = meets.filter("first").select("token", "node").distinct()
-    meets = scratch.write(meets.join(meets.groupBy("token").agg(F.count(F.lit(1)).alias("met")).filter("met > 1"), "token"), "busy")
+    # Buckets of the same nodes are one: near copies share most of their early n-grams.
+    buckets = meets.groupBy("token").agg(F.count(F.lit(1)).alias("met"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("y")).filter("met > 1")
+    buckets = buckets.groupBy("met", "x", "y").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("times")).select("token", "met", "times")
+    meets = scratch.write(meets.join(buckets, "token"), "busy")
     # A text that others were made from shares most of its n-grams with them: the mean number met is highest for it.
-    central = meets.groupBy("node").agg(F.avg("met").alias("central"))
+    central = meets.groupBy("node").agg((F.sum(F.col("met") * F.col("times")) / F.sum("times")).alias("central"))
     hubs = meets.join(central, "node").groupBy("token").agg(F.max(F.struct("central", "node")).alias("top")).select("token", F.col("top.node").alias("hub"))
+    for turn in range(2):
+        hubs = scratch.write(_gather(meets, hubs), f"hubs{turn}")
     stars = scratch.write(meets.join(hubs, "token").filter("hub <> node").select("hub", "node").distinct(), "stars")
 
     named = stars.select("node").union(stars.select("hub")).distinct()
