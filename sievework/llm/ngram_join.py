@@ -31,7 +31,7 @@ from .scratch import Scratch
 from .shingles import shingle_sets
 from .text import whole
 
-BLOCK, FRAGMENT, CELLS = 256, 4096, 1 << 16
+BLOCK, FRAGMENT, CELLS, TOGETHER = 256, 4096, 1 << 16, 1024
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -233,6 +233,18 @@ def _gather(meets: DataFrame, hubs: DataFrame) -> DataFrame:
     return hubs.join(agreed, "token").select("token", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("hub")).alias("hub"))
 
 
+def _one_hub_each(stars: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same stars, but one for all nodes that are connected at all, if these are at most TOGETHER: a node then goes to
+    one hub only. Larger connected sets keep their stars."""
+    roots = scratch.write(connected_components(stars.select(F.col("hub").alias("a"), F.col("node").alias("b")), scratch, "meet"), "meet_roots")
+    few = roots.groupBy("root").agg(F.count(F.lit(1)).alias("nodes")).filter(F.col("nodes") <= TOGETHER).select("root")
+    sizes = stars.groupBy("hub").agg(F.count(F.lit(1)).alias("m")).join(roots.withColumnRenamed("node", "hub"), "hub")
+    tops = sizes.groupBy("root").agg(F.max(F.struct("m", "hub")).alias("top")).join(few, "root").select("root", F.col("top.hub").alias("hub"))
+    together = roots.join(tops, "root").filter("hub <> node").select("hub", "node")
+    apart = stars.join(sizes.join(few, "root", "left_anti").select("hub"), "hub", "left_semi")
+    return together.unionByName(apart.select("hub", "node"))
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, low: int = 80, high: int = 100, depth: int = 30) -> DataFrame:
     """Per row: id_col, n_shingles, component_id. Texts link when high * intersection >= low * union.
 
@@ -267,7 +279,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hubs = meets.join(central, "node").groupBy("token").agg(F.max(F.struct("central", "node")).alias("top")).select("token", F.col("top.node").alias("hub"))
     for turn in range(2):
         hubs = scratch.write(_gather(meets, hubs), f"hubs{turn}")
-    stars = scratch.write(meets.join(hubs, "token").filter("hub <> node").select("hub", "node").distinct(), "stars")
+    stars = scratch.write(meets.join(hubs, "token").filter("hub <> node").select("hub", "node").distinct(), "stars0")
+    stars = scratch.write(_one_hub_each(stars, scratch), "stars")
 
     named = stars.select("node").union(stars.select("hub")).distinct()
     owners = texts.join(named, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id")).alias("own")).select(F.col("own.id").alias("rep")).distinct()
