@@ -1,17 +1,18 @@
 """Toxicity by a learned lexicon, matched with Levenshtein automata.
 
 fit() learns from labelled documents which words, and which beginnings of words, go with the label, and keeps those that do
-so beyond chance. Scoring splits texts into words, and runs each distinct word of a batch once through the lexicon's trie,
+so beyond chance. Terms are judged by their shares of the toxic and of the clean texts, so how many of the labels are toxic
+does not matter. Scoring splits texts into words, and runs each distinct word of a batch once through the lexicon's trie,
 intersected with the automaton of its misspellings (one edit, from EDIT_FROM letters on). Hits are told apart by kind and
 context: plain, misspelled, and quoted (inside quotation marks or after a word of speech within the window). A logistic
 regression over how much of each kind a text has, over its distinct terms and their density gives the score.
 
-Bounds: fit() uses at most most_rows labelled documents, drawn by a hash of the identifier; the lexicon has at most
-most_terms terms.
+Bounds: fit() uses at most most_rows labelled documents, drawn by a hash of the identifier; of these, texts of the same words
+count once. The lexicon has at most most_terms terms.
 
 Defined cases: null and empty texts get the score of texts without hits; labels without a document, null labels and null identifiers are
-not learned from; if a document has several labels it counts as toxic if any is 1; without usable labels every score is the
-prior's, about 0.1; repeated rows are scored alike; an empty table gives an empty result.
+not learned from; if a document, or a text of the same words, has several labels it counts as toxic if any is 1; without usable labels, or if no term
+goes with them, every score is the prior's, about 0.1; repeated rows are scored alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from .text import whole
 MOST_ROWS, MOST_TERMS, SHORTEST, LONGEST, EDIT_FROM, WINDOW = 20_000, 2_000, 4, 8, 5, 6
 #: A term is kept if chance alone gives as much less than once in 10**CHANCE; most_rows documents have some 10**6 words and beginnings.
 CHANCE = 6.5
+#: Terms are judged as if this share of the texts were toxic; the prior's score.
+USUAL = 0.1
 QUOTES = frozenset("\"“”„«»‹›")
 #: Words after which something is reported rather than said.
 SPEECH = frozenset("said says called calls quote quoted word term insult sagte nannte wort dit appelle mot dijo llama palabra".split())
@@ -129,7 +132,7 @@ PRIOR = (-2.2, 1.0, 0.6, 0.3, 0.5, 0.5)
 class Model:
     terms: list[str] = field(default_factory=list)
     whole_terms: list[bool] = field(default_factory=list)
-    sure: list[float] = field(default_factory=list)  # share of toxic documents among those with the term
+    sure: list[float] = field(default_factory=list)  # share of toxic documents among those with the term, were USUAL of all toxic
     weight: list[float] = field(default_factory=lambda: list(PRIOR))  # of Matcher.features
 
     def matcher(self) -> "Matcher":
@@ -227,16 +230,31 @@ def _features(model):
     return run
 
 
+def sure(t: float, c: float, toxic: float, clean: float) -> float:
+    """Share of toxic texts among those with a term, were USUAL of all toxic; t of the toxic and c of the clean texts have it."""
+    a, b = USUAL * t / max(1, toxic), (1 - USUAL) * c / max(1, clean)
+    return a / (a + b) if a + b else 0.0
+
+
+def log_chance(t: int, c: int, toxic: int, clean: int) -> float:
+    """log10 of the chance to find t or more toxic ones among t+c texts drawn from all (hypergeometric); its tail is bounded by a geometric series."""
+
+    def choose(n: int, k: int) -> float:
+        return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+
+    more = (toxic - t) * c / ((t + 1) * (clean - c + 1))  # how much less likely one more is
+    if more >= 1:
+        return 0.0
+    return min(0.0, (choose(toxic, t) + choose(clean, c) - choose(toxic + clean, t + c) - math.log1p(-more)) / math.log(10))
+
+
 def choose_terms(rows: list, toxic: int, clean: int, most_terms: int) -> Model:
     """Terms that go with the label beyond chance; a longer one only where no shorter one says as much."""
-    base = toxic / max(1, toxic + clean)
     candidates = []
     for term, is_whole, t, c in rows:
-        # log10 of the chance to see t or more toxic ones among t+c documents, roughly
-        n, p = t + c, t / (t + c)
-        if p <= 3 * base or p < 0.5:
+        if sure(t, c, toxic, clean) < 0.5:
             continue
-        chance = -n * (p * math.log10(p / base) + ((1 - p) * math.log10((1 - p) / (1 - base)) if p < 1 else 0.0))
+        chance = log_chance(t, c, toxic, clean)
         if chance < -CHANCE:
             candidates.append((chance, term, is_whole, t, c))
     model = Model()
@@ -245,7 +263,7 @@ def choose_terms(rows: list, toxic: int, clean: int, most_terms: int) -> Model:
         if any(term.startswith(a) and not w or (a.startswith(term) and not is_whole) or (a == term) for a, w in taken):
             continue
         taken.append((term, is_whole))
-        model.terms.append(term), model.whole_terms.append(is_whole), model.sure.append((t + 0.5) / (t + c + 1.0))
+        model.terms.append(term), model.whole_terms.append(is_whole), model.sure.append(sure(t + 0.5, c + 0.5, toxic + 1, clean + 1))
         if len(taken) >= most_terms:
             break
     return model
@@ -255,14 +273,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     from .scratch import Scratch
 
     scratch = Scratch(docs.sparkSession, "toxicity")
-    rows = scratch.write(labelled(docs, labels, label, id_col, text_col, most_rows).select("label", tokens(F.col("text")).alias("words")), "labelled")
+    words = labelled(docs, labels, label, id_col, text_col, most_rows).select("label", tokens(F.col("text")).alias("words"))
+    # at most about most_rows texts are shuffled, whatever the corpus; copies meet before that in each task
+    rows = scratch.write(words.groupBy("words").agg(F.max("label").alias("label")).select("label", "words"), "labelled")
     sizes = rows.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("toxic"), F.count(F.lit(1)).alias("n")).first()
     if not sizes["n"]:
         return Model()
     counted = rows.mapInArrow(_counts, "term string, whole boolean, toxic long, clean long").groupBy("term", "whole").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    counted = counted.filter("toxic >= 3 and toxic >= clean")
-    best = [tuple(r) for r in counted.orderBy(F.desc(F.col("toxic") - F.col("clean")), "term", "whole").limit(50 * most_terms).collect()]
-    model = choose_terms(best, sizes["toxic"], sizes["n"] - sizes["toxic"], most_terms)
+    toxic, clean = sizes["toxic"], sizes["n"] - sizes["toxic"]
+    ahead = F.col("toxic") * (USUAL / max(1, toxic)) - F.col("clean") * ((1 - USUAL) / max(1, clean))
+    counted = counted.filter((F.col("toxic") >= 3) & (ahead > -1e-9))  # choose_terms draws the exact line
+    best = [tuple(r) for r in counted.orderBy(F.desc(ahead), "term", "whole").limit(50 * most_terms).collect()]
+    model = choose_terms(best, toxic, clean, most_terms)
+    if not model.terms:
+        scratch.drop("labelled")
+        return model
     handle = docs.sparkSession.sparkContext.broadcast(model)
     seen = rows.mapInArrow(_features(handle), "x array<double>, label int").toArrow()  # at most about most_rows rows of six numbers
     model.weight = regress(np.array(seen.column("x").to_pylist()), seen.column("label").to_numpy().astype(float), np.array(PRIOR)).tolist()

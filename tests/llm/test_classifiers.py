@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from sievework.llm import quality, toxicity
 
@@ -51,6 +52,40 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.33, 0.5, 0.8])
+def test_toxicity_at_high_shares_of_toxic_labels(spark, share):
+    draw = random.Random(4)
+    vocabulary = ["".join(draw.choice("aeioubcdlmnrst") for _ in range(draw.randint(2, 8))) for _ in range(400)]
+    docs, labels = [], []
+    for i in range(600):
+        w = [draw.choice(vocabulary) for _ in range(40)]
+        toxic = int(i < share * 600)
+        if toxic:
+            w[draw.randrange(40)] = draw.choice(BAD)
+        docs.append((i, " ".join(w), None, None, None))
+        labels.append((i, 1, toxic))
+    docs = table(spark, docs)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert all((got[i] >= 0.5) == bool(t) for i, _, t in labels)
+
+
+def test_copies_of_a_toxic_text_count_once(spark):
+    docs, labels, truth = frames(spark)
+    same = "one odd text is here a thousand times"
+    many = docs.union(table(spark, [(10_000 + i, same.replace(" ", "  ", i % 3), None, None, None) for i in range(1000)]))
+    more = labels.union(spark.createDataFrame([(10_000 + i, 1, 1) for i in range(1000)], labels.schema))
+    one, all_copies = toxicity.fit(many.filter("doc_id <= 10000"), more), toxicity.fit(many, more)
+    assert one.terms == all_copies.terms and not any(same.split()[k].startswith(t) for t in one.terms for k in range(8))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, all_copies).collect()}
+    assert all((got[i] >= 0.5) == bool(t) for i, _, t in truth)
+
+
+def test_nothing_is_rejected_if_all_labels_are_toxic(spark):
+    docs, labels, _ = frames(spark)
+    assert toxicity.score(docs, toxicity.fit(docs, labels.selectExpr("doc_id", "quality", "1 AS toxic"))).filter("score >= 0.5").count() == 0
+
+
 def test_words_and_contexts():
     m = toxicity.Model(["grumble", "stupid"], [False, True], [0.99, 0.99])
     found = {w: m.matcher().word(w) for w in ("grumble", "grumbled", "grumbel", "grmble", "stupids", "stupd", "stupidity", "humble", "gr")}
