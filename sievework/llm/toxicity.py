@@ -3,7 +3,8 @@
 fit() learns from labelled documents which words, and which beginnings of words, go with the label, and keeps those that do
 so beyond chance. Terms are judged by their shares of the toxic and of the clean texts, so how many of the labels are toxic
 does not matter. Scoring splits texts into words, and runs each distinct word of a batch once through the lexicon's trie,
-intersected with the automaton of its misspellings (one edit, from EDIT_FROM letters on). Hits are told apart by kind and
+intersected with the automaton of its misspellings (one edit anywhere, from EDIT_FROM letters on; marks at a word's edges count
+as letters if that gives a term). Misspellings that the clean labelled texts have are ordinary words and give no hits. Hits are told apart by kind and
 context: plain, misspelled, and quoted (inside quotation marks or after a word of speech within the window). A logistic
 regression over how much of each kind a text has, over its distinct terms and their density gives the score.
 
@@ -30,19 +31,21 @@ from pyspark.sql import types as T
 
 from .text import whole
 
-MOST_ROWS, MOST_TERMS, SHORTEST, LONGEST, EDIT_FROM, WINDOW = 20_000, 2_000, 4, 8, 5, 6
+MOST_ROWS, MOST_TERMS, SHORTEST, LONGEST, EDIT_FROM, WINDOW = 20_000, 2_000, 4, 8, 4, 6
 #: A term is kept if chance alone gives as much less than once in 10**CHANCE; most_rows documents have some 10**6 words and beginnings.
 CHANCE = 6.5
 #: Terms are judged as if this share of the texts were toxic; the prior's score.
 USUAL = 0.1
+#: Marks that stand for letters, inside a word or at its edges.
+MARKS = "@$!*"
 QUOTES = frozenset("\"“”„«»‹›")
 #: Words after which something is reported rather than said.
 SPEECH = frozenset("said says called calls quote quoted word term insult sagte nannte wort dit appelle mot dijo llama palabra".split())
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case words (letters and digits, with @ $ ! * inside them) and quotation marks, in order."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+(?:[@$!*']+[\p{L}\p{N}]+)*|[\"“”„«»‹›]"), F.lit(0))
+    """Lower-case words (letters and digits, with @ $ ! * inside them and at their edges) and quotation marks, in order."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[@$!*]*[\p{L}\p{N}]+(?:[@$!*']+[\p{L}\p{N}]+)*[@$!*]*|[\"“”„«»‹›]"), F.lit(0))
 
 
 def held_out(id_col: str) -> Column:
@@ -110,14 +113,16 @@ class Trie:
             edges = self.next[at]
             if i < n and word[i] in edges:
                 stack.append((edges[word[i]], i + 1, e))
-            # The first letter is kept: most misspellings do, and it keeps the walk to one branch of the trie.
-            if e or i == 0:
+            if e:
                 continue
-            if i < n:
+            # One edit, only where the next letter goes on or a term ends.
+            if i + 1 < n and word[i + 1] in edges:
                 stack.append((at, i + 1, 1))
             for c, to in edges.items():
-                stack.append((to, i, 1))
-                if i < n and c != word[i]:
+                ends, after = to in self.ends, self.next[to]
+                if ends or (i < n and word[i] in after):
+                    stack.append((to, i, 1))
+                if i < n and c != word[i] and (ends or (i + 1 < n and word[i + 1] in after)):
                     stack.append((to, i + 1, 1))
             if i + 1 < n and word[i + 1] in edges and word[i] in self.next[edges[word[i + 1]]]:
                 stack.append((self.next[edges[word[i + 1]]][word[i]], i + 2, 1))
@@ -134,6 +139,7 @@ class Model:
     whole_terms: list[bool] = field(default_factory=list)
     sure: list[float] = field(default_factory=list)  # share of toxic documents among those with the term, were USUAL of all toxic
     weight: list[float] = field(default_factory=lambda: list(PRIOR))  # of Matcher.features
+    ordinary: frozenset[str] = frozenset()  # words one edit from a term that are no misspellings of it
 
     def matcher(self) -> "Matcher":
         return Matcher(self)
@@ -151,13 +157,23 @@ class Matcher:
         """(term or -1, misspelled)."""
         found = self.known.get(word)
         if found is None:
-            k = self.trie.exact(word, self.model.whole_terms)
-            found = (k, False) if k >= 0 else (self.trie.near(word, self.model.whole_terms, self.lengths), True) if len(word) >= EDIT_FROM - 1 else (-1, False)
+            k, wrong = self.trie.exact(word.strip(MARKS), self.model.whole_terms), False
+            if k < 0:
+                k, wrong = next(((near, True) for form, near in self.misspelled(word) if form not in self.model.ordinary), (-1, False))
+            found = k, wrong
             if len(self.known) > 500_000:
                 self.known.clear()
             self.known[word] = found
         return found
 
+    def misspelled(self, word: str) -> Iterator[tuple[str, int]]:
+        """(form, term) of the word with and without marks at its edges, where that is one edit from a term."""
+        for form in dict.fromkeys((word, word.rstrip(MARKS), word.strip(MARKS))):
+            k = self.trie.near(form, self.model.whole_terms, self.lengths) if len(form) >= EDIT_FROM - 1 else -1
+            # marks after a beginning are not read
+            if k >= 0 and (form[-1] not in MARKS or self.model.whole_terms[k]):
+                yield form, k
+
     def hits(self, batch: pa.ListArray) -> Iterator[tuple[int, int, bool, bool]]:
         """(row, term, misspelled, quoted) of every hit."""
         off = batch.offsets.to_numpy() - batch.offsets[0].as_py()
@@ -168,7 +184,7 @@ class Matcher:
         for i, w in enumerate(words):
             term[i], wrong[i] = self.word(w)
         marks = np.array([w in QUOTES for w in words], bool)
-        speech = np.array([w in SPEECH for w in words], bool)
+        speech = np.array([w.strip(MARKS) in SPEECH for w in words], bool)
         index = coded.indices.to_numpy().astype(np.int64)
         at = np.flatnonzero(term[index] >= 0) if len(index) else np.zeros(0, np.int64)
         rows = np.searchsorted(off, at, side="right") - 1
@@ -212,7 +228,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: dict[tuple[str, bool], list[int]] = defaultdict(lambda: [0, 0])
     for batch in batches:
         for words, label in zip(batch.column("words").to_pylist(), batch.column("label").to_pylist()):
-            own = set(words)
+            own = {w.strip(MARKS) for w in words}
             terms = {(w, True) for w in own if len(w) >= 3} | {(w[:k], False) for w in own for k in range(SHORTEST, min(LONGEST, len(w)) + 1)}
             for t in terms:
                 found[t][0 if label else 1] += 1
@@ -220,6 +236,21 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array([t for t, _ in keys], pa.string()), pa.array([w for _, w in keys], pa.bool_()), pa.array([found[t][0] for t in keys], pa.int64()), pa.array([found[t][1] for t in keys], pa.int64())], names=["term", "whole", "toxic", "clean"])
 
 
+def _forms(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """form, toxic, clean: in how many texts of the task a form occurs that is one edit from a term and no term itself."""
+        matcher = model.value.matcher()
+        found: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+        for batch in batches:
+            for words, label in zip(batch.column("words").to_pylist(), batch.column("label").to_pylist()):
+                wrong = [w for w in set(words) if matcher.word(w)[1]]
+                for form in {form for w in wrong for form, _ in matcher.misspelled(w)}:
+                    found[form][0 if label else 1] += 1
+        yield pa.record_batch([pa.array(list(found), pa.string()), pa.array([t for t, _ in found.values()], pa.int64()), pa.array([c for _, c in found.values()], pa.int64())], names=["form", "toxic", "clean"])
+
+    return run
+
+
 def _features(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = model.value.matcher()
@@ -249,7 +280,10 @@ def log_chance(t: int, c: int, toxic: int, clean: int) -> float:
 
 
 def choose_terms(rows: list, toxic: int, clean: int, most_terms: int) -> Model:
-    """Terms that go with the label beyond chance; a longer one only where no shorter one says as much."""
+    """Terms that go with the label beyond chance; a longer one only where it says as much as each shorter one.
+
+    Of equal ones the longest is taken: fewer ordinary words are one edit from it.
+    """
     candidates = []
     for term, is_whole, t, c in rows:
         if sure(t, c, toxic, clean) < 0.5:
@@ -259,7 +293,7 @@ def choose_terms(rows: list, toxic: int, clean: int, most_terms: int) -> Model:
             candidates.append((chance, term, is_whole, t, c))
     model = Model()
     taken: list[tuple[str, bool]] = []
-    for _, term, is_whole, t, c in sorted(candidates, key=lambda x: (x[0], len(x[1]), x[1], x[2])):
+    for _, term, is_whole, t, c in sorted(candidates, key=lambda x: (x[0], -len(x[1]), x[1], x[2])):
         if any(term.startswith(a) and not w or (a.startswith(term) and not is_whole) or (a == term) for a, w in taken):
             continue
         taken.append((term, is_whole))
@@ -289,8 +323,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         scratch.drop("labelled")
         return model
     handle = docs.sparkSession.sparkContext.broadcast(model)
+    # at most the words of about most_rows texts that are one edit from a term
+    forms = rows.mapInArrow(_forms(handle), "form string, toxic long, clean long").groupBy("form").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter("clean > 0").collect()
+    ordinary = {r.form: r.clean for r in forms if sure(r.toxic, r.clean, toxic, clean) < 0.5}
+    # What one clean text alone has still counts for the weights: the words of texts not seen here are like that.
+    model.ordinary = frozenset(form for form, c in ordinary.items() if c > 1)
+    handle = docs.sparkSession.sparkContext.broadcast(model)
     seen = rows.mapInArrow(_features(handle), "x array<double>, label int").toArrow()  # at most about most_rows rows of six numbers
     model.weight = regress(np.array(seen.column("x").to_pylist()), seen.column("label").to_numpy().astype(float), np.array(PRIOR)).tolist()
+    model.ordinary = frozenset(ordinary)
     scratch.drop("labelled")
     return model
 
@@ -330,7 +371,7 @@ def spans(text_words: list[str], model: Model) -> list[tuple[int, str, bool, boo
     for i, w in enumerate(text_words):
         k, wrong = matcher.word(w)
         if k >= 0:
-            around = text_words[max(0, i - WINDOW) : i], text_words[i + 1 : i + 1 + WINDOW]
+            around = [x.strip(MARKS) for x in text_words[max(0, i - WINDOW) : i]], text_words[i + 1 : i + 1 + WINDOW]
             out.append((i, model.terms[k], wrong, bool(QUOTES & set(around[0]) and QUOTES & set(around[1])) or bool(SPEECH & set(around[0]))))
     return out
 

@@ -97,6 +97,21 @@ def test_words_and_contexts():
     assert not plain[0][3] and quoted[0][3]
 
 
+def test_an_edit_at_any_letter(spark):
+    m = toxicity.Model(["idiot", "moron", "stupid", "scum"], [True] * 4, [0.99] * 4)
+    text = "1diot diot omron xstupid $tupid *diot xidiot stupi! scm sxum stupid! **moron**"
+    words = table(spark, [(1, text, None, None, None)]).select(toxicity.tokens("text").alias("w")).first().w
+    assert words == text.split()
+    assert [(m.terms[k], wrong) for k, wrong in map(m.matcher().word, words)] == [(t, True) for t in "idiot idiot moron stupid stupid idiot idiot stupid scum scum".split()] + [("stupid", False), ("moron", False)]
+
+
+def test_ordinary_words_near_a_term_give_no_hits(spark):
+    docs, labels, truth = frames(spark)
+    clean = [(20_000 + i, f"the rumblefish number{i} swims", None, None, None) for i in range(40)]
+    model = toxicity.fit(docs.union(table(spark, clean)), labels.union(spark.createDataFrame([(d[0], 1, 0) for d in clean], labels.schema)))
+    assert [bool(toxicity.spans([w], model)) for w in ("grumblefish", "xgrumblefish", "rgumblefish", "rumblefish")] == [True, True, True, False]
+
+
 def test_without_labels(spark):
     docs, labels, _ = frames(spark)
     assert toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).filter("score > 0.2").count() == 0
