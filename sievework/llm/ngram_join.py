@@ -1,22 +1,29 @@
 """Similarity join on word shingles with vertical partitioning.
 
-Texts with equal shingle sets are one node. The global order of n-grams is by frequency class, then by hash: the class
-comes from counts of all n-grams of the corpus in a table of fixed size. Two sets that are similar enough share an n-gram
-among the first few of each in this order, and several among some more; nodes that share fewer with all others of like
-size are dropped, the rest meet at their shared early n-grams. At each such n-gram the most
-central node is the hub, and all others are compared with it; this is linear in what meets. What is linked to one hub is one
-component already. Nodes that are not linked to their hub are compared with all that the triangle inequality of the Jaccard
-distance leaves, in blocks of fixed size. Every comparison is vertical: the n-gram order is cut into fragments, partial
-overlaps are counted in each fragment, and summed per pair; a block passes on only a spanning forest of its links.
+Texts with equal shingle sets are one node. The n-grams stand in one global order, that of their hashes, and pivots cut this
+order into fragments; a set falls into segments, one for each fragment.
+
+1. Candidates. If two sets of n and m n-grams are similar enough, they differ in at most d = (n + m) (1 - s) / (1 + s)
+   n-grams, so at most d segments differ. Sets of one size class are cut at the same pivots, into somewhat more than d
+   fragments. Each set hands on its first d + 1 segments of two n-grams or more: of these at least one is equal to the
+   other's, which hands it on too. Sets of two classes meet on a third grid, that of the boundary between the classes. A set
+   with too few such segments hands on single n-grams, those of a prefix filter; if both sets of a pair are like that
+   they meet there. So no similar pair is missed, and hardly any others meet: the n-grams of a passage that thousands of texts
+   share are spread over the fragments, among other n-grams of each text.
+2. Partial overlaps. Nodes that share segments form groups around a hub, the group's most central node; a group is
+   dealt into blocks of at most BLOCK nodes, with the hub in each. Fragments of a block are tasks of their own: each counts the
+   overlaps within its fragment for all pairs of the block, as one matrix.
+3. Sums. The matrices of a block's fragments are summed per pair; a block hands on a spanning forest of its links, so links
+   grow with the members of a group, not with their pairs. Groups of more than one block that are still in several
+   components are dealt anew; after that the nodes outside a group's largest component are compared with the whole group.
 
 Defined cases: null and blank texts have an empty set, are linked with nothing and are their own component; repeated rows and
-identifiers are fine, a null identifier counts as least; an empty table gives an empty result. Sets are compared by
-64-bit hashes of n-grams.
+identifiers are fine, a null identifier counts as least; an empty table gives an empty result; other columns, whatever their
+names, are not read. Sets are compared by 64-bit hashes of n-grams.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +32,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytestrings import mixed, utf8
+from .bytestrings import mixed, ragged, utf8
 from .components import connected_components
-from .scratch import Scratch
+from .scratch import Scratch, release
 from .shingles import shingle_sets
 from .text import whole
 
-BLOCK, FRAGMENT, CELLS, TOGETHER = 256, 4096, 1 << 16, 1024
+#: Nodes of a block; n-grams of a fragment when overlaps are counted; least n-grams of a segment that is handed on.
+BLOCK, FRAGMENT, SEGMENT = 256, 256, 2
+#: Segments are deduplicated among so many at a time before they are shuffled.
+COMBINE = 1 << 20
+#: How often groups of several blocks are dealt anew before what is left is compared with the whole group.
+DEALS = 3
+_ROOM = 1.15  # fragments for each segment that is needed: some are too small to be handed on
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -43,82 +56,124 @@ def _node(h: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
 
 
-def _survey(words: int, counters: int):
-    """Rows of two kinds: (id, n, node) of each text, and (chunk, counts) of the task's n-gram counters."""
-
+def _nodes(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(counters, np.uint32)
-        mask = np.uint64(counters - 1)
-        names = ["id", "n", "node", "chunk", "counts"]
         for batch in batches:
             n, node = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for r, h in _sets(batch, words):
                 n[r], node[r] = len(h), _node(h)
-                np.add.at(seen, (h & mask).astype(np.int64), 1)
-            none = batch.num_rows
-            yield pa.record_batch([batch.column("id"), pa.array(n), pa.array(node), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names=names)
-            id_type = batch.column("id").type
-        if seen.any():
-            parts = np.minimum(seen, 65535).astype(np.uint16).reshape(-1, min(CELLS, counters))
-            k = len(parts)
-            yield pa.record_batch([pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
+            yield pa.record_batch([batch.column("id"), pa.array(n), pa.array(node)], names=["id", "n", "node"])
 
     return run
 
 
-def _add_up(table: pa.Table) -> pa.Table:
-    total = sum((np.frombuffer(x, np.uint16).astype(np.uint64) for x in table.column("counts").to_pylist()), start=np.uint64(0))
-    return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()], pa.int32()), "total": pa.array([total.tobytes()], pa.binary())})
-
-
-def frequency_classes(counts: DataFrame, counters: int) -> np.ndarray:
-    """One byte per counter: 0 up to twice the mean count, then one more for each doubling."""
-    rows = counts.groupBy("chunk").applyInArrow(_add_up, "chunk int, total binary").collect()  # `counters` numbers, a fixed size
-    total = np.zeros(counters)
-    for r in rows:
-        x = np.frombuffer(r["total"], np.uint64)
-        total[r["chunk"] * len(x) : (r["chunk"] + 1) * len(x)] = x
-    mean = max(1.0, float(total.mean()))
-    return np.clip(np.floor(np.log2(np.maximum(total, 1) / mean)), 0, 31).astype(np.uint8)
+def _grids(n: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Which sets are cut on which grid: sets (indices into n), grid (a number for each), fragments of it, and how many segments
+    may differ between the set and a similar one on that grid.
 
-
-def _early(words: int, classes, low: int, high: int, depth: int):
-    """The first n-grams of each set, by class and hash: so many that similar sets share _need() of them; `first` marks
-    those of which they share one. Each comes twice, with the set's size class (side 0) and the next (side 1): sizes of
-    similar sets are at most one class apart, so they share a class, and sets of other sizes do not meet.
+    Class c holds the sizes from 2**c to 2**(c+1) - 1. Grid 2c is that of class c; grid 2c - 1 that of sizes on both sides of 2**c.
     """
-    base = math.log(high / low * (1 + 1e-9)) if low < high else 1e-9
+    c = np.frexp(n.astype(float))[1].astype(np.int64) - 1
+    edge = np.int64(1) << c
+    largest = n * high // low  # of a similar set
+    least = -(-n * low // high)
+
+    def differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a + b) * (high - low) // (high + low)
+
+    def fragments(size: np.ndarray) -> np.ndarray:
+        return np.ceil((differ(size, size) + 1) * _ROOM).astype(np.int64) + 1
+
+    every = np.arange(len(n))
+    yield every, 2 * c, fragments(2 * edge - 1), differ(n, np.minimum(2 * edge - 1, largest))
+    up = np.flatnonzero(largest >= 2 * edge)
+    yield up, 2 * c[up] + 1, fragments((2 * edge[up] - 1) * high // low), differ(n[up], largest[up])
+    down = np.flatnonzero(least < edge)
+    yield down, 2 * c[down] - 1, fragments((edge[down] - 1) * high // low), differ(n[down], edge[down] - 1)
+
+
+def segments(sets: list[np.ndarray], low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """token, set: what the sets hand on; similar sets have a token in common."""
+    n = np.array([len(h) for h in sets], np.int64)
+    starts = np.cumsum(n) - n
+    grams = np.concatenate(sets)
+    spread = mixed(grams)
+    token, owner = [], []
+    short = np.zeros(len(sets), bool)
+    for which, grid, fragments, differ in _grids(n, low, high):
+        if not len(which):
+            continue
+        size = n[which]
+        at = ragged(starts[which], size)
+        own = np.repeat(np.arange(len(which)), size)
+        fragment = (grams[at] >> np.uint64(32)) * fragments[own].astype(np.uint64) >> np.uint64(32)
+        opens = np.flatnonzero(np.append(True, (fragment[1:] != fragment[:-1]) | (own[1:] != own[:-1])))
+        content = np.add.reduceat(spread[at], opens)
+        fit = np.diff(np.append(opens, len(at))) >= SEGMENT
+        who = own[opens]
+        turn = np.cumsum(fit) - fit  # segments that fit, before this one
+        turn -= turn[np.flatnonzero(np.append(True, who[1:] != who[:-1]))][who]
+        use = fit & (turn <= differ[who])
+        short[which] |= np.bincount(who, weights=fit, minlength=len(which)) <= differ
+        place = mixed(grid.astype(np.uint64)[who[use]] << np.uint64(40) | fragment[opens][use])
+        token.append(mixed(content[use] ^ place))
+        owner.append(which[who[use]])
+    few = np.flatnonzero(short)
+    first = n[few] - -(-low * n[few] // high) + 1
+    token.append(mixed(grams[ragged(starts[few], first)] ^ np.uint64(0x5851F42D4C957F2D)))
+    owner.append(np.repeat(few, first))
+    return np.concatenate(token), np.concatenate(owner)
+
+
+def _handed_on(words: int, low: int, high: int):
+    """Rows (token, hub, node). Of nodes with one token only the least goes on to be matched (hub is null); the others are bound to
+    it here, so that a token of very many nodes comes as a few rows."""
+
+    def combined(token: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((node, token))
+        token, node = token[order], node[order]
+        fresh = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
+        token, node = token[fresh], node[fresh]
+        first = np.append(True, token[1:] != token[:-1])
+        hub = node[np.flatnonzero(first)][np.cumsum(first) - 1]
+        return pa.record_batch([pa.array(token), pa.array(hub, mask=first), pa.array(node)], names=["token", "hub", "node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = classes.value
-        mask = np.uint64(len(table) - 1)
+        token, node, held = [], [], 0
         for batch in batches:
-            token, node, size, first, side = [], [], [], [], []
-            for _, h in _sets(batch, words):
-                n = len(h)
-                if not n:
-                    continue
-                one = n - -(-low * n // high) + 1
-                p = min(n, one + max(1, depth * one // 100) - 1)
-                c = table[(h & mask).astype(np.int64)]
-                early = h[np.lexsort((h, c))[:p]] if c.any() else h[:p]
-                k = int(math.log(n) / base)
-                for s in (0, 1):
-                    token.append(mixed(early ^ np.uint64((k + s) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
-                    node.append(np.full(p, _node(h)))
-                    size.append(np.full(p, n, np.int32))
-                    first.append(np.arange(p) < one)
-                    side.append(np.full(p, s, np.int8))
-            if token:
-                yield pa.record_batch({"token": np.concatenate(token).view(np.int64), "node": np.concatenate(node), "n": np.concatenate(size), "first": np.concatenate(first), "side": np.concatenate(side)})
+            sets = [h for _, h in _sets(batch, words) if len(h)]
+            if not sets:
+                continue
+            t, owner = segments(sets, low, high)
+            token.append((t >> np.uint64(16)).astype(np.int64)), node.append(np.array([_node(h) for h in sets], np.int64)[owner])
+            held += len(t)
+            if held >= COMBINE:
+                yield combined(np.concatenate(token), np.concatenate(node))
+                token, node, held = [], [], 0
+        if held:
+            yield combined(np.concatenate(token), np.concatenate(node))
 
     return run
 
 
-def _need(low: int, high: int, depth: int) -> str:
-    """How many of its early n-grams a set of n shares with a similar one: counted for the smallest set that can be similar."""
-    m = f"(({low} * n + {high - 1}) div {high})"
-    return f"greatest(1, ({depth} * ({m} - (({low} * {m} + {high - 1}) div {high}) + 1)) div 100)"
+def _bind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by token and node: of a token's rows the first is the hub of the others."""
+    last, top = None, 0
+    for batch in batches:
+        token, node = batch.column("token").to_numpy(), batch.column("node").to_numpy()
+        free = batch.column("hub").is_null().to_numpy(zero_copy_only=False)
+        bound = ~free
+        yield pa.record_batch([pa.array(token[bound]), batch.column("hub").filter(pa.array(bound)), pa.array(node[bound])], names=["token", "hub", "node"])
+        token, node = token[free], node[free]
+        if not len(token):
+            continue
+        first = np.append(token[0] != last, token[1:] != token[:-1])
+        tops = np.append(top, node[first])
+        hub = tops[np.cumsum(first)]
+        last, top = token[-1], hub[-1]
+        other = node != hub
+        if other.any():
+            yield pa.record_batch({"token": token[other], "hub": hub[other], "node": node[other]})
 
 
 def _arrays(words: int):
@@ -132,76 +187,104 @@ def _arrays(words: int):
     return run
 
 
+_PIECE = "hub long, i int, j int, fragment int, side byte, node long, comp long, n long, grams binary"
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every set of a block into the block's fragments, empty ones too, so that all fragments have the same rows."""
+    keys = ("hub", "i", "j", "side", "node", "comp", "n")
+    for batch in batches:
+        rows, fragment, piece = [], [], []
+        for r, (f, grams) in enumerate(zip(batch.column("fragments").to_pylist(), batch.column("grams").to_pylist())):
+            h = np.frombuffer(grams, np.uint64)
+            cuts = np.searchsorted((h >> np.uint64(32)) * np.uint64(f) >> np.uint64(32), np.arange(f + 1, dtype=np.uint64)).tolist()
+            rows += [r] * f
+            fragment += range(f)
+            piece += [grams[8 * a : 8 * b] for a, b in zip(cuts, cuts[1:])]
+            if len(rows) >= 4096:
+                yield _taken(batch, keys, rows, fragment, piece)
+                rows, fragment, piece = [], [], []
+        if rows:
+            yield _taken(batch, keys, rows, fragment, piece)
+
+
+def _taken(batch: pa.RecordBatch, keys: tuple, rows: list, fragment: list, piece: list) -> pa.RecordBatch:
+    part = batch.select(keys).take(pa.array(rows))
+    columns = {k: part.column(k) for k in keys} | {"fragment": pa.array(fragment, pa.int32()), "grams": pa.array(piece, pa.binary())}
+    return pa.record_batch({k: columns[k] for k in ("hub", "i", "j", "fragment", "side", "node", "comp", "n", "grams")})
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Whole groups of rows that come sorted by keys."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(c).to_numpy() for c in keys])
+        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            own = tuple(k[:, a].tolist())
+            if held and own != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = own
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """|a & b| for every a of left and b of right: partial counts per fragment of the n-gram order, summed per pair."""
+    """|a & b| for every a of left and b of right, within one fragment."""
     every = np.concatenate(left + right)
     owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in left + right])
     order = np.argsort(every, kind="stable")
     gram, owner = every[order], owner[order]
-    column = np.cumsum(np.append(True, gram[1:] != gram[:-1])) - 1
-    on_left = np.bincount(column, weights=owner < len(left)) > 0
-    on_right = np.bincount(column, weights=owner >= len(left)) > 0
-    shared = on_left & on_right
+    column = np.cumsum(np.append(True, gram[1:] != gram[:-1])) - 1 if len(gram) else np.zeros(0, np.int64)
+    shared = (np.bincount(column, weights=owner < len(left)) > 0) & (np.bincount(column, weights=owner >= len(left)) > 0)
     use = shared[column]
     owner, column = owner[use], (np.cumsum(shared) - 1)[column[use]]
-    sums = np.zeros((len(left), len(right)), np.int64)
-    for f in range(0, int(shared.sum()), FRAGMENT):
-        i, j = np.searchsorted(column, (f, f + FRAGMENT))
-        present = np.zeros((len(left) + len(right), FRAGMENT), np.float32)
-        present[owner[i:j], column[i:j] - f] = 1
-        sums += (present[: len(left)] @ present[len(left) :].T).astype(np.int64)
-    return sums
+    sums = np.zeros((len(left), len(right)), np.float32)
+    for f in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(column, (f, f + 4096))
+        present = np.zeros((len(left) + len(right), 4096), np.float32)
+        present[owner[a:b], column[a:b] - f] = 1
+        sums += present[: len(left)] @ present[len(left) :].T
+    return sums.astype(np.int32)
+
+
+def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per fragment of a block: the overlaps of its pairs as one matrix. Side 0 is compared with side 1, side 2 with itself."""
+    for t in _groups(batches, ["hub", "i", "j", "fragment"]):
+        side, node, comp, n = (t.column(c).to_numpy() for c in ("side", "node", "comp", "n"))
+        grams = [np.frombuffer(x, np.uint64) for x in t.column("grams").to_pylist()]
+        lists = []
+        for other in (1, 0):  # a node that comes twice, from repeated identifiers, counts once
+            at = np.flatnonzero(side != other)
+            lists.append(at[np.unique(node[at], return_index=True)[1]])
+        left, right = lists
+        if not len(left) or not len(right):
+            continue
+        both = overlaps([grams[r] for r in left], [grams[r] for r in right])
+        names = np.concatenate([x[s] for s in (left, right) for x in (node, comp, n)])
+        one = lambda c: [t.column(c)[0]]
+        yield pa.record_batch([*(pa.array(one(c)) for c in ("hub", "i", "j")), pa.array([len(left)], pa.int32()), pa.array([names.tobytes()], pa.binary()), pa.array([both.tobytes()], pa.binary())], names=["hub", "i", "j", "left", "nodes", "both"])
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Whole groups of rows that come sorted by keys."""
-    held: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        held = table if held is None else pa.concat_tables([held, table])
-        k = np.stack([held.column(c).to_numpy() for c in keys])
-        cuts = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1
-        for a, b in zip(np.append(0, cuts[:-1]), cuts):
-            yield held.slice(int(a), int(b - a))
-        if len(cuts):
-            held = held.slice(int(cuts[-1]))
-    if held is not None:
-        yield held
-
-
-def _unpack(table: pa.Table) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
-
-
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per (hub, chunk): the hub (side 0) against every other node."""
-    for t in _groups(batches, ["hub", "chunk"]):
-        side = t.column("side").to_numpy()
-        grams = _unpack(t)
-        hub = grams[int(np.argmin(side))]
-        at = np.flatnonzero(side == 1)
-        for i in range(0, len(at), BLOCK):
-            rows = at[i : i + BLOCK]
-            both = overlaps([hub], [grams[r] for r in rows])[0]
-            k = len(rows)
-            yield pa.record_batch({"hub": t.column("hub").to_numpy()[rows], "node": t.column("node").to_numpy()[rows], "n": t.column("n").to_numpy()[rows], "hub_n": np.full(k, len(hub)), "both": both})
-
-
-def _blocks(low: int, high: int):
-    """Per (hub, i, j): nodes of side 0 against those of side 1; a spanning forest of the links."""
+def _summed(low: int, high: int):
+    """Per block: the fragments' matrices summed per pair, and of the links a spanning forest over the components so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, ["hub", "i", "j"]):
-            side, node, n = (t.column(c).to_numpy() for c in ("side", "node", "n"))
-            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            if not len(left) or not len(right):
-                continue
-            grams = _unpack(t)
-            both = overlaps([grams[r] for r in left], [grams[r] for r in right])
-            union = n[left][:, None] + n[right][None, :] - both
-            a, b = np.nonzero((high * both >= low * union) & (node[left][:, None] != node[right][None, :]))
+            k = t.column("left")[0].as_py()
+            names = np.frombuffer(t.column("nodes")[0].as_py(), np.int64)
+            (node, comp, n), m = names[: 3 * k].reshape(3, -1), len(names) // 3 - k
+            node2, comp2, n2 = names[3 * k :].reshape(3, -1)
+            both = np.zeros((k, m), np.int64)
+            for x in t.column("both"):
+                both += np.frombuffer(x.as_buffer(), np.int32).reshape(k, m)
+            union = n[:, None] + n2[None, :] - both
+            a, b = np.nonzero((high * both >= low * union) & (comp[:, None] != comp2[None, :]))
             parent: dict[int, int] = {}
 
             def root(x: int) -> int:
@@ -211,8 +294,8 @@ def _blocks(low: int, high: int):
                 return x
 
             edges = []
-            for x, y in zip(node[left][a].tolist(), node[right][b].tolist()):
-                p, q = root(x), root(y)
+            for x, y, c, d in zip(node[a].tolist(), node2[b].tolist(), comp[a].tolist(), comp2[b].tolist()):
+                p, q = root(c), root(d)
                 if p != q:
                     parent[p] = q
                     edges.append((x, y))
@@ -223,92 +306,90 @@ def _blocks(low: int, high: int):
     return run
 
 
-def _gather(meets: DataFrame, hubs: DataFrame) -> DataFrame:
-    """token, hub with fewer hubs: each node looks to the hub with most nodes around it; a bucket whose nodes all look to
-    one hub, and so are all around it, takes that one. Every two nodes that meet still stand around a common hub."""
-    around = meets.join(hubs, "token").select("hub", "node").distinct()
+def _links(blocks: DataFrame, arrays: DataFrame, low: int, high: int) -> DataFrame:
+    """a, b: links within blocks. blocks: hub, i, j, side, node, comp, hub_n."""
+    width = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fragments = F.ceil(F.col("hub_n") / FRAGMENT).cast("int")
+    sets = blocks.join(arrays, "node").select("hub", "i", "j", "side", "node", "comp", "n", fragments.alias("fragments"), "grams")
+    # sets of a size that cannot be similar to any other in the block stay: sizes are compared pair by pair in the sums
+    pieces = sets.mapInArrow(_cut, _PIECE).repartition(width, "hub", "i", "j", "fragment").sortWithinPartitions("hub", "i", "j", "fragment")
+    partial = pieces.mapInArrow(_partial, "hub long, i int, j int, left int, nodes binary, both binary")
+    return partial.repartition(width, "hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(_summed(low, high), "a long, b long")
+
+
+def _around(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """hub, node: groups such that two nodes with a token in common stand in one."""
+    # Tokens of the same nodes are one: near copies share most of their segments.
+    tokens = members.groupBy("token").agg(F.count(F.lit(1)).alias("met"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("y"))
+    tokens = tokens.groupBy("met", "x", "y").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("times")).select("token", "met", "times")
+    met = scratch.write(members.join(tokens, "token"), "met")
+    # A text that others were made from shares most with them: the mean number met is highest for it.
+    central = met.groupBy("node").agg((F.sum(F.col("met") * F.col("times")) / F.sum("times")).alias("central"))
+    hubs = met.join(central, "node").groupBy("token").agg(F.max(F.struct("central", "node")).alias("top")).select("token", F.col("top.node").alias("hub"))
+    # A token whose nodes all stand around the hub that most of them look to needs no hub of its own.
+    around = met.join(hubs, "token").select("hub", "node").distinct()
     size = around.groupBy("hub").agg(F.count(F.lit(1)).alias("m"))
     look = around.join(size, "hub").groupBy("node").agg(F.max(F.struct("m", "hub")).alias("to")).select("node", F.col("to.hub").alias("to"))
-    agreed = meets.join(look, "node").groupBy("token").agg(F.min("to").alias("a"), F.max("to").alias("b"))
-    return hubs.join(agreed, "token").select("token", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("hub")).alias("hub"))
-
+    agreed = met.join(look, "node").groupBy("token").agg(F.min("to").alias("a"), F.max("to").alias("b"))
+    hubs = hubs.join(agreed, "token").select("token", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("hub")).alias("hub"))
+    return scratch.write(met.join(hubs, "token").select("hub", "node").distinct(), "around")
 
-def _one_hub_each(stars: DataFrame, scratch: Scratch) -> DataFrame:
-    """The same stars, but one for all nodes that are connected at all, if these are at most TOGETHER: a node then goes to
-    one hub only. Larger connected sets keep their stars."""
-    roots = scratch.write(connected_components(stars.select(F.col("hub").alias("a"), F.col("node").alias("b")), scratch, "meet"), "meet_roots")
-    few = roots.groupBy("root").agg(F.count(F.lit(1)).alias("nodes")).filter(F.col("nodes") <= TOGETHER).select("root")
-    sizes = stars.groupBy("hub").agg(F.count(F.lit(1)).alias("m")).join(roots.withColumnRenamed("node", "hub"), "hub")
-    tops = sizes.groupBy("root").agg(F.max(F.struct("m", "hub")).alias("top")).join(few, "root").select("root", F.col("top.hub").alias("hub"))
-    together = roots.join(tops, "root").filter("hub <> node").select("hub", "node")
-    apart = stars.join(sizes.join(few, "root", "left_anti").select("hub"), "hub", "left_semi")
-    return together.unionByName(apart.select("hub", "node"))
 
-
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, low: int = 80, high: int = 100, depth: int = 30) -> DataFrame:
-    """Per row: id_col, n_shingles, component_id. Texts link when high * intersection >= low * union.
-
-    depth: by how many percent the early n-grams are extended; more of them are shuffled, and fewer sets go on by chance.
-    """
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, low: int = 80, high: int = 100) -> DataFrame:
+    """Per row: id_col, n_shingles, component_id. Texts link when high * intersection >= low * union."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "ngrams")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    counters = 1 << min(26, max(18, int(rows.count() * 4).bit_length()))
-    survey = scratch.write(rows.mapInArrow(_survey(words, counters), f"id {id_type}, n long, node long, chunk int, counts binary"), "survey")
-    texts = survey.filter("chunk is null").select("id", "n", "node")
-    classes = spark.sparkContext.broadcast(frequency_classes(survey.filter("chunk is not null").select("chunk", "counts"), counters))  # `counters` bytes
-
-    early = rows.select("text").mapInArrow(_early(words, classes, low, high, depth), "token long, node long, n int, first boolean, side byte")
-    shared = early.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("token")
-    meets = scratch.write(early.join(shared, "token", "left_semi").distinct(), "meets0")
-    # Sets that share too few early n-grams with any others are similar to none; without them others share fewer.
-    for turn in range(1, 4):
-        able = meets.groupBy("node", "n", "side").agg(F.count(F.lit(1)).alias("shared")).filter(f"shared >= {_need(low, high, depth)}").select("node", "side")
-        left = meets.join(able, ["node", "side"], "left_semi")
-        busy = left.groupBy("token").agg(F.count(F.lit(1)).alias("met")).filter("met > 1")
-        meets = scratch.write(left.join(busy.select("token"), "token", "left_semi"), f"meets{turn}")
-        scratch.drop(f"meets{turn - 1}")
-    meets = meets.filter("first").select("token", "node").distinct()
-    # Buckets of the same nodes are one: near copies share most of their early n-grams.
-    buckets = meets.groupBy("token").agg(F.count(F.lit(1)).alias("met"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("y")).filter("met > 1")
-    buckets = buckets.groupBy("met", "x", "y").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("times")).select("token", "met", "times")
-    meets = scratch.write(meets.join(buckets, "token"), "busy")
-    # A text that others were made from shares most of its n-grams with them: the mean number met is highest for it.
-    central = meets.groupBy("node").agg((F.sum(F.col("met") * F.col("times")) / F.sum("times")).alias("central"))
-    hubs = meets.join(central, "node").groupBy("token").agg(F.max(F.struct("central", "node")).alias("top")).select("token", F.col("top.node").alias("hub"))
-    for turn in range(2):
-        hubs = scratch.write(_gather(meets, hubs), f"hubs{turn}")
-    stars = scratch.write(meets.join(hubs, "token").filter("hub <> node").select("hub", "node").distinct(), "stars0")
-    stars = scratch.write(_one_hub_each(stars, scratch), "stars")
-
-    named = stars.select("node").union(stars.select("hub")).distinct()
+    texts = scratch.write(rows.mapInArrow(_nodes(words), f"id {id_type}, n long, node long"), "texts")
+
+    handed = rows.select("text").mapInArrow(_handed_on(words, low, high), "token long, hub long, node long")
+    dealt = handed.repartition(width, F.when(F.col("hub").isNull(), F.col("token")).otherwise(F.col("node"))).sortWithinPartitions("token", "node")
+    bound = scratch.write(dealt.mapInArrow(_bind, "token long, hub long, node long"), "bound")
+    members = bound.select("token", "node").union(bound.select("token", "hub")).distinct()
+    around = _around(members, scratch)
+    scratch.drop("bound", "met")
+    release(spark)
+
+    named = around.select("node").distinct()
     owners = texts.join(named, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id")).alias("own")).select(F.col("own.id").alias("rep")).distinct()
     picked = rows.join(owners, F.col("id").eqNullSafe(F.col("rep"))).select("text")
-    arrays = scratch.write(picked.mapInArrow(_arrays(words), "node long, n long, grams binary").join(named, "node", "left_semi").dropDuplicates(["node"]), "arrays")
-
-    chunks = stars.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks"))
-    spokes = stars.join(chunks, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), "node")
-    spokes = spokes.join(arrays, "node").select("hub", "chunk", F.lit(1).alias("side"), "node", "n", "grams")
-    centres = chunks.select(F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).join(arrays, "node").select(F.col("node").alias("hub"), "chunk", F.lit(0).alias("side"), "node", "n", "grams")
-    met = spokes.unionByName(centres).repartition(width, "hub", "chunk").sortWithinPartitions("hub", "chunk").mapInArrow(_stars, "hub long, node long, n long, hub_n long, both long")
-    union = F.col("n") + F.col("hub_n") - F.col("both")
-    met = scratch.write(met.withColumn("linked", high * F.col("both") >= low * union).withColumn("far", 1 - F.col("both") / union), "met")
-
-    # What is not linked to the hub, against what may be near it: distances to the hub differ by at most the limit.
-    reach = 1 - low / high + 1e-9
-    loose = met.filter(~F.col("linked")).groupBy("hub").agg(F.count(F.lit(1)).alias("loose"), F.min("far").alias("nearest"), F.min("n").alias("least_n"), F.max("n").alias("most_n"))
-    around = met.join(loose, "hub").filter(~F.col("linked") | ((F.col("far") >= F.col("nearest") - reach) & (high * F.col("n") >= low * F.col("least_n")) & (low * F.col("n") <= high * F.col("most_n"))))
-    size = around.groupBy("hub").agg(F.count(F.lit(1)).alias("around"))
-    around = around.join(size, "hub").withColumn("rows_i", F.ceil(F.col("loose") / BLOCK).cast("int")).withColumn("rows_j", F.ceil(F.col("around") / BLOCK).cast("int"))
-    spot = F.xxhash64("node")
-    lefts = around.filter(~F.col("linked")).select("hub", F.pmod(spot, F.col("rows_i")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rows_j") - 1)).alias("j"), F.lit(0).alias("side"), "node")
-    rights = around.select("hub", F.explode(F.sequence(F.lit(0), F.col("rows_i") - 1)).alias("i"), F.pmod(spot, F.col("rows_j")).cast("int").alias("j"), F.lit(1).alias("side"), "node")
-    pieces = lefts.unionByName(rights).join(arrays, "node").select("hub", "i", "j", "side", "node", "n", "grams")
-    rest = pieces.repartition(width, "hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(_blocks(low, high), "a long, b long")
-
-    edges = met.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(rest)
-    roots = connected_components(scratch.write(edges, "edges"), scratch)
+    arrays = scratch.write(picked.mapInArrow(_arrays(words), "node long, n long, grams binary").join(named, "node", "left_semi"), "arrays")
+    release(spark)
+    sizes = arrays.select(F.col("node").alias("hub"), F.col("n").alias("hub_n")).distinct()
+    around = scratch.write(around.join(sizes, "hub"), "groups")
+
+    # Every group in blocks of at most BLOCK nodes, with the hub in each.
+    spot = lambda turn, parts: F.pmod(F.xxhash64("node", F.lit(turn)), F.col(parts)).cast("int")
+    whole_groups = around.groupBy("hub", "hub_n").agg(F.count(F.lit(1)).alias("m")).withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int"))
+    links, roots = None, None
+    for turn in range(DEALS):
+        named_groups = around if roots is None else around.join(roots, "node", "left")
+        labelled = named_groups.withColumn("comp", F.col("node") if roots is None else F.coalesce("root", "node"))
+        if turn:  # only groups that were not compared as a whole and are not one component
+            still = labelled.groupBy("hub").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("hub")
+            whole_groups = scratch.write(whole_groups.filter("parts > 1").join(still, "hub", "left_semi"), f"open{turn}")
+            if whole_groups.isEmpty():
+                break
+        dealt = labelled.join(whole_groups.select("hub", "parts"), "hub")
+        hubs = dealt.filter("hub = node").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        blocks = dealt.filter("hub <> node").withColumn("i", spot(turn, "parts")).unionByName(hubs)
+        blocks = blocks.select("hub", "i", F.lit(0).alias("j"), F.lit(2).cast("byte").alias("side"), "node", "comp", "hub_n")
+        found = scratch.write(_links(blocks, arrays, low, high), f"links{turn}")
+        links = found if links is None else links.unionByName(found)
+        roots = scratch.write(connected_components(links, scratch, f"cc{turn}_"), f"roots{turn}")
+    else:
+        # What is outside a group's largest component, against the whole group.
+        labelled = around.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).join(whole_groups.select("hub", "parts"), "hub")
+        main = labelled.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("hub").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("m")).filter("top.k < m")
+        main = main.select("hub", F.col("top.comp").alias("main"), F.ceil((F.col("m") - F.col("top.k")) / BLOCK).cast("int").alias("strips"))
+        labelled = labelled.join(main, "hub")
+        left = labelled.filter("comp <> main").select("hub", spot(DEALS, "strips").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(0).cast("byte").alias("side"), "node", "comp", "hub_n")
+        right = labelled.select("hub", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("i"), spot(DEALS, "parts").alias("j"), F.lit(1).cast("byte").alias("side"), "node", "comp", "hub_n")
+        found = scratch.write(_links(left.unionByName(right), arrays, low, high), "links_rest")
+        roots = scratch.write(connected_components(links.unionByName(found), scratch, "cc_rest_"), "roots_rest")
+    scratch.drop("arrays", "groups", "around")
+
     named_texts = texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named_texts.filter("n > 0").groupBy("root").agg(F.min(F.struct("id")).alias("c")).select(F.col("root").alias("r"), F.col("c.id").alias("component_id"))
     out = named_texts.join(least, (F.col("root") == F.col("r")) & (F.col("n") > 0), "left")
@@ -316,7 +397,22 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, low=90, depth=30)
-
-
-SQL = None  # tests compare with all pairs counted outright
+    return similar_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, low=90)
+
+
+#: All pairs counted outright, and components by following links.
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM words)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 100 * o >= 90 * (s.n + t.n - o)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.c AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) r ON r.x = d.doc_id
+"""

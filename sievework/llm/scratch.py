@@ -7,6 +7,7 @@ so iterative operators use it where a plan would otherwise be recomputed.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from pathlib import Path
@@ -17,9 +18,12 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is named (tests, one machine) a temporary one is set."""
+    """The cluster's shared folder; only where none is named and all runs on one machine a temporary one is set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="sievework-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -36,6 +40,12 @@ def workers_import(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{path}".rstrip(":")
 
 
+def release(spark: SparkSession) -> None:
+    """Ask the driver to forget plans that are done: shuffle files stay on disk until it has collected what refers to them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

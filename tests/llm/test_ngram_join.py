@@ -1,5 +1,6 @@
 import itertools
 
+import numpy as np
 import pytest
 
 from sievework.llm import ngram_join
@@ -30,13 +31,51 @@ def outright(data, words, low, high=100):
     return sorted((i, len(sets[k]), least[root(k)]) for k, i in enumerate(ids))
 
 
-@pytest.mark.parametrize(("words", "low", "seed", "depth"), [(3, 90, 1, 100), (5, 80, 2, 50), (2, 60, 3, 0)])
-def test_against_all_pairs(spark, words, low, seed, depth):
+@pytest.mark.parametrize(("words", "low", "seed"), [(3, 90, 1), (5, 80, 2), (2, 60, 3)])
+def test_against_all_pairs(spark, words, low, seed):
     data = rows(150, seed=seed)
-    got = sorted(tuple(r) for r in ngram_join.similar_groups(table(spark, data), words=words, low=low, depth=depth).collect())
+    got = sorted(tuple(r) for r in ngram_join.similar_groups(table(spark, data), words=words, low=low).collect())
     assert got == outright(data, words, low)
 
 
+@pytest.mark.parametrize(("low", "high"), [(90, 100), (80, 100), (60, 100), (95, 100)])
+def test_similar_sets_share_a_token(low, high):
+    draw = np.random.default_rng(low)
+    for n in [*range(1, 70), 100, 127, 128, 129, 255, 256, 500, 1000, 4000]:
+        base = draw.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
+        for _ in range(6):
+            # the other set as far away as it may be, by removals, additions or both
+            gone = int(draw.integers(0, n * (high - low) // high + 1))
+            new = 0
+            while high * (n - gone) >= low * (n + new + 1):
+                new += 1
+            new = int(draw.integers(0, new + 1)) if draw.random() < 0.3 else new
+            other = np.concatenate([base[draw.permutation(n)[gone:]], draw.integers(0, 1 << 63, new).astype(np.uint64) * np.uint64(2) + np.uint64(1)])
+            if not len(other) or high * (n - gone) < low * (n + new):
+                continue
+            with np.errstate(over="ignore"):
+                token, owner = ngram_join.segments([np.unique(base), np.unique(other)], low, high)
+            assert set(token[owner == 0].tolist()) & set(token[owner == 1].tolist()), (n, gone, new)
+
+
+def test_large_group_without_a_common_neighbour(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    base = [f"w{i}" for i in range(60)]
+    data = [(i, " ".join(w if (7 * i + k) % 60 > 5 else f"x{i}_{k}" for k, w in enumerate(base)), "en", "s", 1) for i in range(90)]
+    data += [(200 + i, " ".join([*base[: 50 - i], *(f"y{k}" for k in range(i))]), "en", "s", 1) for i in range(12)]
+    for low in (60, 75, 90):
+        got = sorted(tuple(r) for r in ngram_join.similar_groups(table(spark, data), words=1, low=low).collect())
+        assert got == outright(data, 1, low)
+
+
+def test_null_and_repeated_identifiers_and_other_columns(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    data = [(None, text, "en", "s", 1), (4, text + " more", "en", "s", 1), (4, text + " more", "en", "s", 1), (4, "something else entirely here", "en", "s", 1), (9, None, "en", "s", 1)]
+    docs = table(spark, data).withColumnRenamed("lang", "node").withColumnRenamed("source", "hub").withColumnRenamed("n_chars", "root")
+    got = sorted((tuple(r) for r in ngram_join.similar_groups(docs, words=3, low=80).collect()), key=str)
+    assert got == sorted([(None, 28, None), (4, 29, None), (4, 29, None), (4, 2, 4), (9, 0, 9)], key=str)
+
+
 def test_small_blocks_and_fragments(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 3)
     monkeypatch.setattr(ngram_join, "FRAGMENT", 7)
