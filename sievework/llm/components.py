@@ -9,28 +9,24 @@ from .scratch import Scratch
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
-    """edges: a, b (64-bit). Returns node, root (the least node of its component) for every node in an edge.
+    """edges: a, b (64-bit). Returns node, root (the least node of its component) for every node that is not a root itself.
 
-    Each round points nodes at the least neighbour known; a round's table is written to the shared folder, and only
-    its size and checksum reach the driver. Joins on a busy node are plain equi-joins that Spark may split.
+    Each round points nodes at the least neighbour known, until all point at roots; a round's table is written to the
+    shared folder, and only whether it is the last reaches the driver. Joins on a busy node are plain equi-joins that Spark
+    may split.
     """
-    flat = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = scratch.write(flat, f"{name}0")
-    nodes = scratch.write(flat.select(F.col("a").alias("node")).union(flat.select("b")).distinct(), f"{name}_nodes")
-    before, turn = None, 0
+    now, turn = edges.filter("a <> b"), 0
     while True:
         # Large star: every neighbour above a node is pointed at the least of the node and its neighbours.
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")
         # Small star: a node and its lower neighbours are pointed at the least of them.
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(lowest).distinct()
         turn += 1
         now = scratch.write(small, f"{name}{turn}")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         scratch.drop(f"{name}{turn - 1}") if turn > 1 else None
-        if tuple(state) == before:
-            break
-        before = tuple(state)
-    return nodes.join(now, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("root"))
+        ends = now.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("b", F.lit(0), F.lit(1)))
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)").isEmpty():
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

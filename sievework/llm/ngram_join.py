@@ -13,9 +13,9 @@ order into fragments; a set falls into segments, one for each fragment.
 2. Partial overlaps. Nodes that share segments form groups around a hub, the group's most central node; a group is
    dealt into blocks of at most BLOCK nodes, with the hub in each. Fragments of a block are tasks of their own: each counts the
    overlaps within its fragment for all pairs of the block, as one matrix.
-3. Sums. The matrices of a block's fragments are summed per pair; a block hands on a spanning forest of its links, so links
-   grow with the members of a group, not with their pairs. Groups of more than one block that are still in several
-   components are dealt anew; after that the nodes outside a group's largest component are compared with the whole group.
+3. Sums. The matrices of a block's fragments are summed per pair; in a block the nodes of each component point at the
+   least of them, so links grow with the members of a group, not with their pairs. The blocks of a
+   group share its hub and some landmarks; then nodes outside the group's largest component are compared with all of it.
 
 Defined cases: null and blank texts have an empty set, are linked with nothing and are their own component; repeated rows and
 identifiers are fine, a null identifier counts as least; an empty table gives an empty result; other columns, whatever their
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytestrings import mixed, ragged, utf8
@@ -42,8 +42,8 @@ from .text import whole
 BLOCK, FRAGMENT, SEGMENT = 256, 256, 2
 #: Segments are deduplicated among so many at a time before they are shuffled.
 COMBINE = 1 << 20
-#: How often groups of several blocks are dealt anew before what is left is compared with the whole group.
-DEALS = 3
+#: Nodes of a group, about, that stand in each of its blocks, so that what is linked at all is one component after one turn.
+LANDMARKS = 16
 _ROOM = 1.15  # fragments for each segment that is needed: some are too small to be handed on
 
 
@@ -56,17 +56,6 @@ def _node(h: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
 
 
-def _nodes(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, node = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for r, h in _sets(batch, words):
-                n[r], node[r] = len(h), _node(h)
-            yield pa.record_batch([batch.column("id"), pa.array(n), pa.array(node)], names=["id", "n", "node"])
-
-    return run
-
-
 def _grids(n: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Which sets are cut on which grid: sets (indices into n), grid (a number for each), fragments of it, and how many segments
     may differ between the set and a similar one on that grid.
@@ -125,55 +114,62 @@ def segments(sets: list[np.ndarray], low: int, high: int) -> tuple[np.ndarray, n
     return np.concatenate(token), np.concatenate(owner)
 
 
+_NAMES = ["id", "n", "token", "hub", "node"]
+
+
 def _handed_on(words: int, low: int, high: int):
-    """Rows (token, hub, node). Of nodes with one token only the least goes on to be matched (hub is null); the others are bound to
-    it here, so that a token of very many nodes comes as a few rows."""
+    """Rows (id, n, node) of all texts, and rows (token, hub, node). Of nodes with one token only the least goes on to be matched
+    (hub is null); the others are bound to it here, so that a token of very many nodes comes as a few rows."""
 
-    def combined(token: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    def combined(token: np.ndarray, node: np.ndarray, id_type: pa.DataType) -> pa.RecordBatch:
         order = np.lexsort((node, token))
         token, node = token[order], node[order]
         fresh = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
         token, node = token[fresh], node[fresh]
         first = np.append(True, token[1:] != token[:-1])
         hub = node[np.flatnonzero(first)][np.cumsum(first) - 1]
-        return pa.record_batch([pa.array(token), pa.array(hub, mask=first), pa.array(node)], names=["token", "hub", "node"])
+        none = len(token)
+        return pa.record_batch([pa.nulls(none, id_type), pa.nulls(none, pa.int64()), pa.array(token), pa.array(hub, mask=first), pa.array(node)], names=_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, node, held = [], [], 0
+        token, node, held, id_type = [], [], 0, pa.null()
         for batch in batches:
-            sets = [h for _, h in _sets(batch, words) if len(h)]
+            sets = [h for _, h in _sets(batch, words)]
+            n, own = np.array([len(h) for h in sets], np.int64), np.array([_node(h) for h in sets], np.int64)
+            none, id_type = batch.num_rows, batch.column("id").type
+            yield pa.record_batch([batch.column("id"), pa.array(n), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.array(own)], names=_NAMES)
+            sets, own = [h for h in sets if len(h)], own[n > 0]
             if not sets:
                 continue
             t, owner = segments(sets, low, high)
-            token.append((t >> np.uint64(16)).astype(np.int64)), node.append(np.array([_node(h) for h in sets], np.int64)[owner])
+            token.append((t >> np.uint64(16)).astype(np.int64)), node.append(own[owner])
             held += len(t)
             if held >= COMBINE:
-                yield combined(np.concatenate(token), np.concatenate(node))
+                yield combined(np.concatenate(token), np.concatenate(node), id_type)
                 token, node, held = [], [], 0
         if held:
-            yield combined(np.concatenate(token), np.concatenate(node))
+            yield combined(np.concatenate(token), np.concatenate(node), id_type)
 
     return run
 
 
 def _bind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by token and node: of a token's rows the first is the hub of the others."""
+    """Rows sorted by token and node: of a token's rows the first is the hub of the others; rows of texts and bound ones stay."""
     last, top = None, 0
     for batch in batches:
-        token, node = batch.column("token").to_numpy(), batch.column("node").to_numpy()
-        free = batch.column("hub").is_null().to_numpy(zero_copy_only=False)
-        bound = ~free
-        yield pa.record_batch([pa.array(token[bound]), batch.column("hub").filter(pa.array(bound)), pa.array(node[bound])], names=["token", "hub", "node"])
-        token, node = token[free], node[free]
+        token, hub = batch.column("token"), batch.column("hub")
+        free = token.is_valid().to_numpy(zero_copy_only=False) & hub.is_null().to_numpy(zero_copy_only=False)
+        yield batch.filter(pa.array(~free))
+        token, node = token.filter(pa.array(free)).to_numpy(), batch.column("node").to_numpy()[free]
         if not len(token):
             continue
         first = np.append(token[0] != last, token[1:] != token[:-1])
-        tops = np.append(top, node[first])
-        hub = tops[np.cumsum(first)]
+        hub = np.append(top, node[first])[np.cumsum(first)]
         last, top = token[-1], hub[-1]
         other = node != hub
         if other.any():
-            yield pa.record_batch({"token": token[other], "hub": hub[other], "node": node[other]})
+            none = int(other.sum())
+            yield pa.record_batch([pa.nulls(none, batch.column("id").type), pa.nulls(none, pa.int64()), pa.array(token[other]), pa.array(hub[other]), pa.array(node[other])], names=_NAMES)
 
 
 def _arrays(words: int):
@@ -272,7 +268,7 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _summed(low: int, high: int):
-    """Per block: the fragments' matrices summed per pair, and of the links a spanning forest over the components so far."""
+    """Per block: the fragments' matrices summed per pair; components so far that are linked point at the least of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, ["hub", "i", "j"]):
@@ -293,12 +289,10 @@ def _summed(low: int, high: int):
                     x = parent[x]
                 return x
 
-            edges = []
-            for x, y, c, d in zip(node[a].tolist(), node2[b].tolist(), comp[a].tolist(), comp2[b].tolist()):
-                p, q = root(c), root(d)
-                if p != q:
-                    parent[p] = q
-                    edges.append((x, y))
+            for x, y in zip(comp[a].tolist(), comp2[b].tolist()):
+                p, q = root(x), root(y)
+                parent[max(p, q)] = min(p, q)
+            edges = [(x, r) for x in list(parent) if (r := root(x)) != x]
             if edges:
                 x, y = zip(*edges)
                 yield pa.record_batch([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
@@ -311,7 +305,6 @@ def _links(blocks: DataFrame, arrays: DataFrame, low: int, high: int) -> DataFra
     width = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fragments = F.ceil(F.col("hub_n") / FRAGMENT).cast("int")
     sets = blocks.join(arrays, "node").select("hub", "i", "j", "side", "node", "comp", "n", fragments.alias("fragments"), "grams")
-    # sets of a size that cannot be similar to any other in the block stay: sizes are compared pair by pair in the sums
     pieces = sets.mapInArrow(_cut, _PIECE).repartition(width, "hub", "i", "j", "fragment").sortWithinPartitions("hub", "i", "j", "fragment")
     partial = pieces.mapInArrow(_partial, "hub long, i int, j int, left int, nodes binary, both binary")
     return partial.repartition(width, "hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(_summed(low, high), "a long, b long")
@@ -323,10 +316,10 @@ def _around(members: DataFrame, scratch: Scratch) -> DataFrame:
     tokens = members.groupBy("token").agg(F.count(F.lit(1)).alias("met"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("y"))
     tokens = tokens.groupBy("met", "x", "y").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("times")).select("token", "met", "times")
     met = scratch.write(members.join(tokens, "token"), "met")
-    # A text that others were made from shares most with them: the mean number met is highest for it.
-    central = met.groupBy("node").agg((F.sum(F.col("met") * F.col("times")) / F.sum("times")).alias("central"))
+    # A text that others were made from shares most with them.
+    central = met.groupBy("node").agg(F.sum(F.col("met") * F.col("times")).alias("central"))
     hubs = met.join(central, "node").groupBy("token").agg(F.max(F.struct("central", "node")).alias("top")).select("token", F.col("top.node").alias("hub"))
-    # A token whose nodes all stand around the hub that most of them look to needs no hub of its own.
+    # Each node looks to the hub with most nodes around it; a token whose nodes all look to one hub takes that one.
     around = met.join(hubs, "token").select("hub", "node").distinct()
     size = around.groupBy("hub").agg(F.count(F.lit(1)).alias("m"))
     look = around.join(size, "hub").groupBy("node").agg(F.max(F.struct("m", "hub")).alias("to")).select("node", F.col("to.hub").alias("to"))
@@ -341,54 +334,49 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    texts = scratch.write(rows.mapInArrow(_nodes(words), f"id {id_type}, n long, node long"), "texts")
-
-    handed = rows.select("text").mapInArrow(_handed_on(words, low, high), "token long, hub long, node long")
-    dealt = handed.repartition(width, F.when(F.col("hub").isNull(), F.col("token")).otherwise(F.col("node"))).sortWithinPartitions("token", "node")
-    bound = scratch.write(dealt.mapInArrow(_bind, "token long, hub long, node long"), "bound")
+    kind = f"id {id_type}, n long, token long, hub long, node long"
+    handed = rows.mapInArrow(_handed_on(words, low, high), kind)
+    key = F.when(F.col("token").isNull(), F.xxhash64("id", "node")).when(F.col("hub").isNull(), F.col("token")).otherwise(F.col("node"))
+    bound = scratch.write(handed.repartition(width, key).sortWithinPartitions("token", "node").mapInArrow(_bind, kind), "bound")
+    texts = bound.filter("token is null").select("id", "n", "node")
+    bound = bound.filter("token is not null")
     members = bound.select("token", "node").union(bound.select("token", "hub")).distinct()
     around = _around(members, scratch)
-    scratch.drop("bound", "met")
+    scratch.drop("met")
     release(spark)
 
     named = around.select("node").distinct()
     owners = texts.join(named, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id")).alias("own")).select(F.col("own.id").alias("rep")).distinct()
-    picked = rows.join(owners, F.col("id").eqNullSafe(F.col("rep"))).select("text")
+    # What grows with the corpus is never broadcast, however few texts a run has here.
+    picked = rows.join(owners.hint("merge"), F.col("id").eqNullSafe(F.col("rep"))).select("text")
     arrays = scratch.write(picked.mapInArrow(_arrays(words), "node long, n long, grams binary").join(named, "node", "left_semi"), "arrays")
     release(spark)
-    sizes = arrays.select(F.col("node").alias("hub"), F.col("n").alias("hub_n")).distinct()
-    around = scratch.write(around.join(sizes, "hub"), "groups")
-
-    # Every group in blocks of at most BLOCK nodes, with the hub in each.
-    spot = lambda turn, parts: F.pmod(F.xxhash64("node", F.lit(turn)), F.col(parts)).cast("int")
-    whole_groups = around.groupBy("hub", "hub_n").agg(F.count(F.lit(1)).alias("m")).withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int"))
-    links, roots = None, None
-    for turn in range(DEALS):
-        named_groups = around if roots is None else around.join(roots, "node", "left")
-        labelled = named_groups.withColumn("comp", F.col("node") if roots is None else F.coalesce("root", "node"))
-        if turn:  # only groups that were not compared as a whole and are not one component
-            still = labelled.groupBy("hub").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("hub")
-            whole_groups = scratch.write(whole_groups.filter("parts > 1").join(still, "hub", "left_semi"), f"open{turn}")
-            if whole_groups.isEmpty():
-                break
-        dealt = labelled.join(whole_groups.select("hub", "parts"), "hub")
-        hubs = dealt.filter("hub = node").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        blocks = dealt.filter("hub <> node").withColumn("i", spot(turn, "parts")).unionByName(hubs)
-        blocks = blocks.select("hub", "i", F.lit(0).alias("j"), F.lit(2).cast("byte").alias("side"), "node", "comp", "hub_n")
-        found = scratch.write(_links(blocks, arrays, low, high), f"links{turn}")
-        links = found if links is None else links.unionByName(found)
-        roots = scratch.write(connected_components(links, scratch, f"cc{turn}_"), f"roots{turn}")
-    else:
-        # What is outside a group's largest component, against the whole group.
-        labelled = around.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).join(whole_groups.select("hub", "parts"), "hub")
-        main = labelled.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("hub").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("m")).filter("top.k < m")
-        main = main.select("hub", F.col("top.comp").alias("main"), F.ceil((F.col("m") - F.col("top.k")) / BLOCK).cast("int").alias("strips"))
+    around = around.join(arrays.select(F.col("node").alias("hub"), F.col("n").alias("hub_n")), "hub")
+
+    # Every group in blocks of about BLOCK nodes; the hub and a few landmarks of the group stand in all of them.
+    def spot(salt: int, parts: str) -> Column:
+        return F.pmod(F.xxhash64("node", F.lit(salt)), F.col(parts)).cast("int")
+
+    sizes = around.groupBy("hub").agg(F.count(F.lit(1)).alias("m"))
+    dealt = around.join(sizes, "hub").withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int"))
+    every = (F.col("hub") == F.col("node")) | ((F.col("parts") > 1) & (spot(0, "m") < LANDMARKS))
+    places = F.when(every, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(spot(1, "parts")))
+    blocks = dealt.select("hub", F.explode(places).alias("i"), F.lit(0).alias("j"), F.lit(2).cast("byte").alias("side"), "node", F.col("node").alias("comp"), "hub_n")
+    links = scratch.write(_links(blocks, arrays, low, high), "links")
+    roots = connected_components(links, scratch, "cc")
+
+    # In groups of several blocks: what is outside the group's largest component, against the whole group.
+    labelled = around.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    main = labelled.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("hub").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("m")).filter(f"m > {BLOCK} and m > top.k")
+    main = scratch.write(main.select("hub", F.col("top.comp").alias("main"), F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"), F.ceil((F.col("m") - F.col("top.k")) / BLOCK).cast("int").alias("strips")), "open")
+    if not main.isEmpty():
         labelled = labelled.join(main, "hub")
-        left = labelled.filter("comp <> main").select("hub", spot(DEALS, "strips").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(0).cast("byte").alias("side"), "node", "comp", "hub_n")
-        right = labelled.select("hub", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("i"), spot(DEALS, "parts").alias("j"), F.lit(1).cast("byte").alias("side"), "node", "comp", "hub_n")
-        found = scratch.write(_links(left.unionByName(right), arrays, low, high), "links_rest")
-        roots = scratch.write(connected_components(links.unionByName(found), scratch, "cc_rest_"), "roots_rest")
-    scratch.drop("arrays", "groups", "around")
+        left = labelled.filter("comp <> main").select("hub", spot(2, "strips").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(0).cast("byte").alias("side"), "node", "comp", "hub_n")
+        right = labelled.select("hub", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("i"), spot(3, "parts").alias("j"), F.lit(1).cast("byte").alias("side"), "node", "comp", "hub_n")
+        found = scratch.write(_links(left.unionByName(right), arrays, low, high), "rest")
+        if not found.isEmpty():
+            roots = connected_components(links.unionByName(found), scratch, "cc_rest")
+    scratch.drop("arrays")
 
     named_texts = texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named_texts.filter("n > 0").groupBy("root").agg(F.min(F.struct("id")).alias("c")).select(F.col("root").alias("r"), F.col("c.id").alias("component_id"))
