@@ -44,8 +44,11 @@ SPEECH = frozenset("said says called calls quote quoted word term insult sagte n
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case words (letters and digits, with @ $ ! * inside them and at their edges) and quotation marks, in order."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[@$!*]*[\p{L}\p{N}]+(?:[@$!*']+[\p{L}\p{N}]+)*[@$!*]*|[\"“”„«»‹›]"), F.lit(0))
+    """Lower-case words (letters and digits, with @ $ ! * ' inside them, the first four at their edges too) and quotation marks, in
+    order. A run of such letters and marks is one loop of the pattern, so it may be as long as it likes."""
+    runs = F.regexp_extract_all(F.lower(text), F.lit(r"[@$!*'\p{L}\p{N}]++|[\"“”„«»‹›]"), F.lit(0))
+    words = F.transform(runs, lambda w: F.trim(w, F.lit("'")))
+    return F.filter(words, lambda w: F.rlike(w, F.lit(r"[\p{L}\p{N}\"“”„«»‹›]")))
 
 
 def held_out(id_col: str) -> Column:
@@ -317,7 +320,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     toxic, clean = sizes["toxic"], sizes["n"] - sizes["toxic"]
     ahead = F.col("toxic") * (USUAL / max(1, toxic)) - F.col("clean") * ((1 - USUAL) / max(1, clean))
     counted = counted.filter((F.col("toxic") >= 3) & (ahead > -1e-9))  # choose_terms draws the exact line
-    best = [tuple(r) for r in counted.orderBy(F.desc(ahead), "term", "whole").limit(50 * most_terms).collect()]
+    best = [tuple(r) for r in counted.collect()]  # of the words of about most_rows texts, those with the label
     model = choose_terms(best, toxic, clean, most_terms)
     if not model.terms:
         scratch.drop("labelled")
@@ -349,19 +352,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
 
 
-def score_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with a column __score; nothing is joined or shuffled."""
+def below(docs: DataFrame, model: Model, limit: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score less than limit, with their columns, whatever their names; nothing is joined or shuffled."""
     handle = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.withColumn("__words", tokens(whole(F.col(text_col))))
-    schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
+    rows = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns))).alias("row"), tokens(whole(F.col(text_col))).alias("words"))
+    schema = T.StructType([rows.schema["row"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = handle.value.matcher()
         for batch in batches:
-            scores = pa.array(matcher.scores(batch.column("__words")))
-            yield pa.record_batch([*batch.columns[:-1], scores], names=[*batch.schema.names[:-1], "__score"])
+            yield batch.select(["row"]).filter(pa.array(matcher.scores(batch.column("words")) < limit))
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*(F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
 def spans(text_words: list[str], model: Model) -> list[tuple[int, str, bool, bool]]:

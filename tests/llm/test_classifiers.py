@@ -47,8 +47,9 @@ def test_toxicity(spark):
     extra = [(1, "a grumblefsh snarkwrot and grumbelfish you are snarkwort", None, None, None), (2, None, None, None, None), (3, "", None, None, None), (4, "plain words only " * 2000, None, None, None)]
     s = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(extra, SCHEMA), model).collect()}
     assert s[1] > s[2] == s[3] and s[4] < 0.5
-    kept = toxicity.score_rows(docs, model)
-    assert kept.columns == [*docs.columns, "__score"] and kept.count() == docs.count()
+    kept = toxicity.below(docs.withColumnRenamed("source", "row").withColumnRenamed("lang", "words"), model, 0.5)
+    assert kept.columns == ["doc_id", "text", "words", "row", "n_chars"]
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i, _, t in truth if not t]
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
