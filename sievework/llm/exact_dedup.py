@@ -1,19 +1,25 @@
 """Exact deduplication by stateful streaming with keyed state that never expires.
 
-Every document is reduced to (digest, stable identifier, content locator). That narrow log is a stream; a keyed
-streaming aggregation over RocksDB state keeps, for each digest ever seen, the smallest identifier, its locator and
-the number of rows. Hits (digests seen more than once) are then compared byte by byte with the row that stays.
+Every document is reduced to (digest, stable identifier, content locator); the locator is the file and the row in it. That
+narrow log is a stream; a keyed streaming aggregation over RocksDB state keeps, for each digest ever seen, the smallest
+identifier with its locator and the number of rows. The texts under each digest are then compared byte by byte, with those
+that the locators of earlier batches lead to as well.
+
+With a folder for the state it outlives the process, and later batches are judged against all that was seen before.
 
 Defined cases: a null text is an empty text; texts are equal if identical after each run of ASCII white space became one
 blank; a null identifier sorts before all others, as Spark orders nulls; of repeated identical rows with one identifier
 exactly one is kept; an empty table gives an empty result; further columns of the input, whatever their names, do not
-matter. Only DataFrame functions are used.
+matter. A frame that does not read files directly is written once, so that its rows have locators. Only DataFrame
+functions are used.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scratch import Scratch
 from .text import SPACE, sha256_hex, whole
@@ -31,82 +37,103 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(whole(text), SPACE, " ")
 
 
-def keyed_state(log: DataFrame, log_path: str, scratch: Scratch) -> DataFrame:
-    """Run the log through the keyed state; per digest: keep_id, keep_at (locator) and group_size."""
-    spark = log.sparkSession
-    state_path = scratch.path("state")
+def located(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """id, text, row (all columns of docs), and the locator: file, place."""
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)))
+    columns = F.col(id_col).alias("id"), F.col(text_col).alias("text"), row.alias("row")
+    at = F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")
+    if "_metadata" not in docs.columns:
+        try:
+            return docs.select(*columns, *at)
+        except AnalysisException:  # not a scan of files
+            pass
+    return scratch.write(docs.select(*columns), "rows").select("id", "text", "row", *at)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def keyed_state(spark: SparkSession, folder: str, log_schema: T.StructType) -> DataFrame:
+    """Run what is new in folder/log through the keyed state; per digest: first (id, file, place) and n, over all batches."""
     before = {k: spark.conf.get(k, None) for k in _STATE_CONF}
     for k, v in _STATE_CONF.items():
         spark.conf.set(k, v)
     try:
-        first = F.min(F.struct("id", "at"))
-        stream = spark.readStream.schema(log.schema).parquet(log_path).groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
+        first = F.min(F.struct("id", "file", "place"))
+        stream = spark.readStream.schema(log_schema).parquet(f"{folder}/log/*").groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
 
         def keep(batch: DataFrame, number: int) -> None:
-            batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{state_path}/batch={number}")
+            batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/state/batch={number}")
 
-        run = stream.writeStream.outputMode("update").option("checkpointLocation", scratch.path("progress")).trigger(availableNow=True).foreachBatch(keep).start()
+        run = stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(keep).start()
         run.awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    id_type, at_type = log.schema["id"].dataType.simpleString(), "string"
-    if not _exists(spark, state_path):  # an empty log starts no batch
-        return spark.createDataFrame([], f"digest binary, keep_id {id_type}, keep_at {at_type}, group_size long")
+    id_type = log_schema["id"].dataType.simpleString()
+    kind = f"digest binary, first struct<id:{id_type},file:string,place:long>, n long"
+    if not _exists(spark, f"{folder}/state"):  # an empty log starts no batch
+        return spark.createDataFrame([], kind)
     # A digest that several batches touched has one row for each; the identifier only falls and the count only grows.
-    seen = spark.read.schema(f"digest binary, first struct<id:{id_type},at:{at_type}>, n long").parquet(state_path)
-    return seen.groupBy("digest").agg(F.min("first").alias("f"), F.max("n").alias("group_size")).select("digest", F.col("f.id").alias("keep_id"), F.col("f.at").alias("keep_at"), "group_size")
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    return spark.read.schema(kind).parquet(f"{folder}/state").groupBy("digest").agg(F.min("first").alias("first"), F.max("n").alias("n"))
 
 
-def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id_col, keep_id, group_size, kept, text_sha256."""
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "exact")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def _decide(base: DataFrame, scratch: Scratch, text_col: str, state: str | None, batch: str) -> DataFrame:
+    """id, file, place, keep_id, group_size, kept, text_sha256 for every row of base."""
+    spark, folder = base.sparkSession, state or scratch.path("seen")
     digest = F.unhex(sha256_hex(normalised(F.col("text"))))
-    log = scratch.write(rows.select(digest.alias("digest"), "id", F.input_file_name().alias("at")), "log")
-    state = scratch.write(keyed_state(log, scratch.path("log"), scratch), "groups")
-
-    members = log.join(state, "digest").withColumn("part", F.lit(0))
-    hits = members.filter((F.col("group_size") > 1)).select("id", "digest", "keep_id").distinct()
-    # The bytes of every hit against those of the row that stays.
-    texts = rows.join(hits.select("id").union(hits.select("keep_id")).distinct().withColumnRenamed("id", "hit"), F.col("id").eqNullSafe(F.col("hit"))).select("id", normalised(F.col("text")).alias("body"))
-    bodies = texts.withColumn("digest", F.unhex(sha256_hex(F.col("body")))).select(F.col("id").alias("of"), F.col("digest").alias("d"), "body")
-    kept_bodies = bodies.join(state.filter("group_size > 1").select("digest", "keep_id"), (F.col("d") == F.col("digest")) & F.col("of").eqNullSafe(F.col("keep_id"))).groupBy("d").agg(F.min("body").alias("kept_body"))
-    odd = scratch.write(bodies.join(kept_bodies, "d").filter(F.col("body") != F.col("kept_body")).select(F.col("of").alias("id"), F.col("d").alias("digest"), "body").distinct(), "odd")
-    if not odd.isEmpty():  # two texts with one digest: their rows are grouped again, by the bytes themselves
-        return _by_bytes(rows, odd, id_col)
-
-    turn = Window.partitionBy("digest", "id").orderBy("at")
-    numbered = members.withColumn("turn", F.when((F.col("group_size") > 1) & F.col("id").eqNullSafe(F.col("keep_id")), F.row_number().over(turn)).otherwise(1))
-    return numbered.select(
-        F.col("id").alias(id_col), "keep_id", F.col("group_size").cast("long").alias("group_size"),
-        (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("turn") == 1)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
-    )
-
-
-def _by_bytes(rows: DataFrame, odd: DataFrame, id_col: str) -> DataFrame:
-    """The exact way for digests that different texts share."""
-    body = rows.select("id", normalised(F.col("text")).alias("body"))
-    groups = body.groupBy("body").agg(F.min(F.struct("id")).alias("f"), F.count(F.lit(1)).alias("group_size")).select("body", F.col("f.id").alias("keep_id"), "group_size")
-    turn = Window.partitionBy("body", "id").orderBy("id")
-    return body.join(groups, "body").withColumn("turn", F.row_number().over(turn)).select(
-        F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("turn") == 1)).alias("kept"), sha256_hex(F.col("body")).alias("text_sha256"),
-    )
-
-
-def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    kind = T.StructType([T.StructField("digest", T.BinaryType()), base.schema["id"], base.schema["file"], base.schema["place"]])
+    log_path = f"{folder}/log/{batch}"
+    if not _exists(spark, f"{log_path}/_SUCCESS"):  # a batch that was tried before is not counted twice
+        base.select(digest.alias("digest"), "id", "file", "place").write.mode("overwrite").option("compression", "zstd").parquet(log_path)
+    seen = scratch.write(keyed_state(spark, folder, kind), "groups")
+    members = spark.read.schema(kind).parquet(log_path).join(seen, "digest")
+
+    # The bytes of all texts under one digest: the least and the greatest are the same if all are. Map tasks reduce copies first.
+    bodies = base.select(digest.alias("digest"), normalised(F.col("text")).alias("body"))
+    if state:
+        own = base.select("file").distinct()
+        earlier = members.select("digest", "first.file", "first.place").join(own, "file", "left_anti").distinct()
+        files = [r.file for r in earlier.select("file").distinct().collect()]  # files of earlier batches, not documents
+        if files:
+            fetched = spark.read.parquet(*files).select(F.col(text_col).alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+            bodies = bodies.unionByName(fetched.join(earlier, ["file", "place"]).select("digest", normalised(F.col("text")).alias("body")))
+    odd = bodies.groupBy("digest").agg(F.min("body").alias("a"), F.max("body").alias("b")).filter("a <> b").select("digest")
+    odd = scratch.write(odd, "odd")
+    if not odd.isEmpty():  # different texts with one digest: the rows are grouped again, by the bytes themselves
+        return _by_bytes(base)
+    kept = (F.col("file") == F.col("first.file")) & (F.col("place") == F.col("first.place"))
+    return members.select("id", "file", "place", F.col("first.id").alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def _by_bytes(base: DataFrame) -> DataFrame:
+    """The exact way for digests that different texts share; within the rows given."""
+    body = base.select("id", "file", "place", normalised(F.col("text")).alias("body"))
+    groups = body.groupBy("body").agg(F.min(F.struct("id", "file", "place")).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    kept = (F.col("file") == F.col("first.file")) & (F.col("place") == F.col("first.place"))
+    return body.join(groups, "body").select("id", "file", "place", F.col("first.id").alias("keep_id"), "group_size", kept.alias("kept"), sha256_hex(F.col("body")).alias("text_sha256"))
+
+
+def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state: str | None = None, batch: str = "0") -> DataFrame:
+    """One row per input row: id_col, keep_id, group_size, kept, text_sha256.
+
+    state: a folder in storage that all machines share, for state that outlives the call; batch: the batch's name there. A
+    batch that was run before, or was cut short, may be run again. keep_id and group_size are over all batches seen so far.
+    """
+    scratch = Scratch(docs.sparkSession, "exact")
+    out = _decide(located(docs, id_col, text_col, scratch), scratch, text_col, state, batch)
+    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256")
+
+
+def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state: str | None = None, batch: str = "0") -> DataFrame:
     """The rows of docs that decide() keeps, with all their columns."""
-    names = docs.columns
-    marks = decisions.filter("kept").select(F.col(id_col).alias("__keep"), F.col("text_sha256").alias("__sha"))
-    found = docs.withColumn("__own", sha256_hex(normalised(F.col(text_col))))
-    joined = found.join(marks, F.col(id_col).eqNullSafe(F.col("__keep")) & (F.col("__own") == F.col("__sha")))
-    turn = Window.partitionBy("__keep", "__sha").orderBy("__own")
-    return joined.withColumn("__turn", F.row_number().over(turn)).filter("__turn = 1").select(*names)
+    scratch = Scratch(docs.sparkSession, "exact")
+    base = located(docs, id_col, text_col, scratch)
+    kept = _decide(base, scratch, text_col, state, batch).filter("kept").select("file", "place")
+    out = base.select("row", "file", "place").join(kept, ["file", "place"])
+    return out.select(*(F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,15 +30,39 @@ def test_against_groups(spark):
     docs = table(spark, data)
     decisions = exact_dedup.decide(docs)
     assert sorted(tuple(r) for r in decisions.collect()) == outright(data)
-    kept = exact_dedup.keep_rows(docs, decisions).collect()
+    kept = exact_dedup.keep_rows(docs).collect()
     assert sorted(r.doc_id for r in kept) == sorted(r[0] for r in outright(data) if r[3])
     assert kept[0].asDict().keys() == {"doc_id", "text", "lang", "source", "n_chars"}
 
 
-def test_by_bytes_gives_the_same(spark):
+def test_by_bytes_gives_the_same(spark, tmp_path):
     data = rows(60)
-    docs = table(spark, data).select(F.col("doc_id").alias("id"), "text")
-    assert sorted(tuple(r) for r in exact_dedup._by_bytes(docs, docs, "doc_id").collect()) == outright(data)
+    table(spark, data).write.parquet(f"{tmp_path}/d")
+    base = exact_dedup.located(spark.read.parquet(f"{tmp_path}/d"), "doc_id", "text", None)
+    got = exact_dedup._by_bytes(base).select("id", "keep_id", "group_size", "kept", "text_sha256")
+    assert sorted(tuple(r) for r in got.collect()) == outright(data)
+
+
+def test_a_later_batch_goes_on_with_the_state(spark, tmp_path):
+    batches = [[(10, "a  b"), (11, "c"), (12, None)], [(20, "a b"), (21, "d"), (5, "c"), (22, "d ")], [(30, "d"), (31, ""), (32, "a\nb")]]
+    seen = {}
+    for k, batch in enumerate(batches):
+        spark.createDataFrame(batch, "doc_id long, text string").write.parquet(f"{tmp_path}/in{k}")
+        docs = spark.read.parquet(f"{tmp_path}/in{k}")
+        for i, t in batch:
+            seen.setdefault(norm(t), []).append(i)
+        want = sorted((i, min(seen[norm(t)]), len(seen[norm(t)]), i == min(seen[norm(t)])) for i, t in batch)
+        for _ in range(2):  # run again, as after a failure
+            got = exact_dedup.decide(docs, state=f"{tmp_path}/seen", batch=f"b{k}")
+            assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got.collect()) == want
+
+
+def test_clashing_columns_and_one_digest_for_two_texts(spark, monkeypatch):
+    data = [(i, f"text {i % 4}", "x", "y") for i in range(12)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, `row` string, file string")
+    assert sorted(tuple(r) for r in exact_dedup.keep_rows(docs).collect()) == data[:4]
+    monkeypatch.setattr(exact_dedup, "sha256_hex", lambda c: F.lit("ab" * 32))
+    assert sorted(tuple(r) for r in exact_dedup.keep_rows(docs).collect()) == data[:4]
 
 
 def test_null_identifier_and_empty_table(spark):
