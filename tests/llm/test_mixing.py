@@ -62,6 +62,28 @@ def test_take_and_edges(spark):
     plan = mixing.mix(docs)
     out = mixing.take(docs, plan)
     assert out.columns == docs.columns
+    assert out.count() == plan.groupBy().sum("copies").first()[0]
     assert mixing.mix(table(spark, [])).count() == 0
     blank = mixing.mix(spark.createDataFrame([(1, None, None, None, None), (2, " ", None, "a", None)], SCHEMA)).collect()
     assert [(r.size, r.target, r.taken) for r in blank] == [(0, 0.0, 0)] * 2
+
+
+def test_rows_with_one_identifier_are_rows_of_their_own(spark):
+    docs = spark.createDataFrame([(1, "w " * 10, "a", 7, "p"), (1, "v " * 10, "b", 8, "q"), (1, "v " * 10, "b", 8, "q"), (None, "u", None, None, "r")], "doc_id long, text string, source string, turn int, copies string")
+    plan = spark.createDataFrame([(1, "a", 3, "w " * 10), (1, "b", 1, "v " * 10), (1, "b", 0, "v " * 10), (None, None, 2, "u")], "doc_id long, source string, copies long, t string")
+    plan = plan.selectExpr("doc_id", "source", "copies", "xxhash64(t) AS mark")
+    got = sorted((tuple(r) for r in mixing.take(docs, plan).collect()), key=str)
+    assert got == sorted([(1, "w " * 10, "a", 7, "p")] * 3 + [(1, "v " * 10, "b", 8, "q")] + [(None, "u", None, None, "r")] * 2, key=str)
+
+
+def test_one_offset_and_integer_boundaries(spark):
+    """A plain walk along the line of one source gives the same copies."""
+    data = corpus(600, seed=3)
+    u = mixing.offset(mixing.SEED)
+    got = {}
+    for r in mixing.mix(table(spark, data)).collect():
+        got.setdefault(r.source, []).append(r)
+    for rs in got.values():
+        rate = rs[0].target / rs[0].source_size
+        assert sum(r.copies for r in rs) in {int(len(rs) * rate + u) + k for k in (-1, 0, 1)}
+        assert all(int(rate) <= r.copies <= int(rate) + 1 for r in rs)
