@@ -2,7 +2,7 @@
 
 Spark splits the texts into words (a word here is a piece of the tokenizer's own pre-tokenisation), counts them and writes
 a table of distinct words; each is encoded once. The ids go back to the words of a text by position. The table that
-travels for this holds the most frequent words up to a fixed number and length, so its size is bounded; words beyond it
+travels for this holds the most frequent words up to a fixed number and size, so it is bounded; words beyond it
 are rare and are encoded once per batch of texts that has them. Decoding joins ids with the vocabulary's pieces, a
 table of fixed size.
 
@@ -31,7 +31,7 @@ from .text import whole
 _WHITE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
 
-MOST_WORDS, LONGEST_WORD = 1 << 18, 64
+MOST_WORDS, MOST_BYTES = 1 << 18, 1 << 24
 
 
 class Vocabulary:
@@ -106,21 +106,22 @@ def word_table(docs: DataFrame, vocabulary, scratch: Scratch, text_col: str = "t
     return scratch.write(words, "words")
 
 
-def least_count(counted: DataFrame, most_words: int) -> int:
-    """The smallest count from which at most most_words words remain; from a histogram of counts, not by sorting words."""
+def least_count(counted: DataFrame, most_words: int, most_bytes: int) -> int:
+    """The smallest count from which at most most_words words of at most most_bytes bytes in all remain; from a histogram of counts,
+    not by sorting words."""
     top = 1 << 20
-    rows = counted.groupBy(F.least("n", F.lit(top)).alias("n")).agg(F.count(F.lit(1)).alias("words")).collect()
-    left, least = most_words, top + 1
+    rows = counted.groupBy(F.least("n", F.lit(top)).alias("n")).agg(F.count(F.lit(1)).alias("words"), F.sum(F.octet_length("word")).alias("bytes")).collect()
+    words, size, least = most_words, most_bytes, top + 1
     for r in sorted(rows, key=lambda r: -r["n"]):
-        left -= r["words"]
-        if left < 0:
+        words, size = words - r["words"], size - r["bytes"]
+        if words < 0 or size < 0:
             break
         least = r["n"]
     return least
 
 
 class _Table:
-    """Encoded words as flat arrays; looked up by word."""
+    """Encoded words as flat arrays, and where each word stands; the lookup is built once per worker."""
 
     def __init__(self, table: pa.Table):
         self.words = table.column("word").combine_chunks()
@@ -128,50 +129,60 @@ class _Table:
         ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
         self.flat = ids.flatten().to_numpy()
         self.lengths = np.diff(ids.offsets.to_numpy()).astype(np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self._place: dict[str, int] | None = None
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """Position of each word, -1 for words that are not in the table."""
+        if self._place is None:
+            self._place = {w: k for k, w in enumerate(self.words.to_pylist())}
+        place = self._place
+        return np.fromiter((place.get(w, -1) for w in words), np.int64, len(words))
 
 
 def _apply(vocabulary, table):
     """Rows with words to rows with ids: only words that the table lacks are encoded here, once per batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute as pc
-
         known: _Table = table.value
-        lengths0, flat0 = known.lengths, known.flat
         for batch in batches:
             lists = batch.column("words")
             offsets = lists.offsets.to_numpy()
             coded = lists.flatten().dictionary_encode()
-            distinct = coded.dictionary
-            place = pc.index_in(distinct, value_set=known.words)
-            missing = place.is_null().to_numpy(zero_copy_only=False)
-            extra = vocabulary.value.encode_words(distinct.filter(pa.array(missing)).to_pylist())
-            place = place.fill_null(0).to_numpy().astype(np.int64)
-            place[missing] = len(lengths0) + np.arange(len(extra))
-            lengths = np.concatenate([lengths0, np.array([len(x) for x in extra], np.int64)])
-            flat = np.concatenate([flat0, np.array([i for x in extra for i in x], np.int32)])
-            starts = np.cumsum(lengths) - lengths
-            words = place[coded.indices.to_numpy()]
+            distinct = coded.dictionary.to_pylist()
+            place = known.places(distinct)
+            missing = place < 0
+            extra = vocabulary.value.encode_words([distinct[k] for k in np.flatnonzero(missing).tolist()])
+            # of the batch's distinct words: where their ids start, in the table or behind it, and how many they are
+            own = np.array([len(x) for x in extra], np.int64)
+            lengths, starts = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+            lengths[~missing], starts[~missing] = known.lengths[place[~missing]], known.starts[place[~missing]]
+            lengths[missing], starts[missing] = own, len(known.flat) + np.cumsum(own) - own
+            added = np.array([i for x in extra for i in x], np.int32)
+            words = coded.indices.to_numpy()
             # by parts: what a very long text's ids take stays in proportion to that text
-            token_ends = np.append(0, np.cumsum(lengths[words]))
-            at = token_ends[offsets - offsets[0]]
-            step = 1 << 20
-            ids = [flat[ragged(starts[w], lengths[w])] for w in (words[i : i + step] for i in range(0, len(words), step))]
-            ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            yield pa.record_batch([batch.column("id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32), pa.int32()))], names=["id", "ids"])
+            at = np.append(0, np.cumsum(lengths[words]))[offsets - offsets[0]]
+            step, ids = 1 << 20, [np.zeros(0, np.int32)]
+            for w in (words[i : i + step] for i in range(0, len(words), step)):
+                from_ = ragged(starts[w], lengths[w])
+                behind = from_ >= len(known.flat)
+                part = np.empty(len(from_), np.int32)
+                part[~behind], part[behind] = known.flat[from_[~behind]], added[from_[behind] - len(known.flat)]
+                ids.append(part)
+            yield pa.record_batch([batch.column("id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.concatenate(ids), pa.int32()))], names=["id", "ids"])
 
     return run
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most_words: int = MOST_WORDS) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most_words: int = MOST_WORDS, most_bytes: int = MOST_BYTES) -> DataFrame:
     """id_col, ids (array of token ids) for every row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "bpe")
     vocabulary = spark.sparkContext.broadcast(Vocabulary(path))  # fixed size
     counted = word_table(docs, vocabulary, scratch, text_col)
-    # At most most_words words of at most LONGEST_WORD bytes: the size that is broadcast is bounded whatever the corpus.
-    short = counted.filter((F.octet_length("word") <= LONGEST_WORD) & (F.col("n") > 1))
-    frequent = short.filter(F.col("n") >= least_count(short, most_words)).select("word")
+    # At most most_words words and most_bytes bytes of words: the size that is broadcast is bounded whatever the corpus.
+    often = counted.filter(F.col("n") > 1)
+    frequent = often.filter(F.col("n") >= least_count(often, most_words, most_bytes)).select("word")
     encoded = frequent.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_encode_each(vocabulary), "word string, ids array<int>")
     table = spark.sparkContext.broadcast(_Table(encoded.toArrow()))
     rows = docs.select(F.col(id_col).alias("id"), split_words(whole(F.col(text_col)), sorted(vocabulary.value.special)).alias("words"))
