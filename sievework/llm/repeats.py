@@ -239,4 +239,15 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-SQL = None  # tests compare with every 200-byte string counted outright
+#: Every 200-byte string counted outright.
+SQL = """
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+places AS (SELECT r, i, md5(b[i:i + 199]) AS h FROM (SELECT r, b, unnest(range(1, octet_length(b) - 198)) AS i FROM t)),
+twice AS (SELECT h FROM places GROUP BY h HAVING count(*) > 1),
+starts AS (SELECT r, i, i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -1000) + 200 AS opens FROM places SEMI JOIN twice USING (h)),
+runs AS (SELECT r, min(i) AS a, max(i) + 199 AS z FROM (SELECT *, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY r ORDER BY i) AS k FROM starts) GROUP BY r, k),
+lists AS (SELECT r, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z, CAST(sum(z - a + 1) AS BIGINT) AS n_removed FROM runs GROUP BY r)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(len(a), 0) AS n_spans,
+  sha256(CASE WHEN a IS NULL THEN b ELSE list_reduce(list_transform(range(len(a) + 1), lambda k: b[(CASE WHEN k = 0 THEN 1 ELSE z[k] + 1 END):(CASE WHEN k = len(a) THEN octet_length(b) ELSE a[k + 1] - 1 END)]), lambda x, y: x || y) END) AS kept_sha256
+FROM t LEFT JOIN lists USING (r)
+"""
