@@ -19,22 +19,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score does not reject; the lexicon is learned from these documents' labels."""
     workers_import(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    columns = docs.columns
-    return toxicity.score_rows(docs, model).filter(F.col("__score") < TOXIC_FROM).select(*columns)
+    return toxicity.below(docs, model, TOXIC_FROM)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, that with the smallest identifier."""
     workers_import(spark)
-    return exact_dedup.keep_rows(docs, exact_dedup.decide(docs))
+    return exact_dedup.keep_rows(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that five-word shingles link at a similarity of 0.8 or more, that with the smallest identifier."""
     workers_import(spark)
     groups = ngram_join.similar_groups(docs, words=5, low=80)
-    gone = groups.groupBy("doc_id").agg(F.min(~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("gone")).filter("gone").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    stays = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.struct("doc_id").alias("stays")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns))).alias("row"), F.struct("doc_id").alias("own"))
+    return rows.join(stays, F.col("own") == F.col("stays"), "left_semi").select(*(F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
