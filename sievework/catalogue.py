@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ from .operators import clean, noise, profile, rows
 from .plans import execute, planner, prompts
 from .plans.loop import run_loop
 from .plans.plan import CleaningPlan, Step
+from .session import work_folder
 from .sources import runs, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -264,7 +264,12 @@ def error_family_counts_orders(spark: SparkSession, d: str) -> DataFrame:
     return noise.counts_by_family(_inject_all(spark, d, "medium")[1])
 
 
-@query("noise_levels", " UNION ALL ".join(f"SELECT '{level}' AS level, '{k}' AS family, {v}::DOUBLE AS rate" for level in noise.LEVELS for k, v in noise.rates_for_level(level).items()))
+_RATES = """VALUES ('low', 'missing', 0.05), ('low', 'format', 0.075), ('low', 'outliers', 0.01), ('low', 'typos', 0.04),
+  ('medium', 'missing', 0.1), ('medium', 'format', 0.15), ('medium', 'outliers', 0.02), ('medium', 'typos', 0.08),
+  ('high', 'missing', 0.2), ('high', 'format', 0.3), ('high', 'outliers', 0.04), ('high', 'typos', 0.16)"""
+
+
+@query("noise_levels", f"SELECT level, family, rate::DOUBLE AS rate FROM ({_RATES}) AS t(level, family, rate)")
 def noise_levels(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(level, k, v) for level in noise.LEVELS for k, v in noise.rates_for_level(level).items()], "level string, family string, rate double")
 
@@ -291,7 +296,7 @@ def na_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 @query("csv_round_trip_customer", f"SELECT c_custkey, CASE WHEN c_mktsegment IN ({_na}) THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM ({_NOISY_CUSTOMER})")
 def csv_round_trip_customer(spark: SparkSession, d: str) -> DataFrame:
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()).rstrip('/')}/csv_round_trip_customer"
+    path = work_folder(spark, "csv_round_trip_customer")
     tables.write_csv(_noisy_customer(spark, d)[0], path)
     return tables.read_csv(spark, path)
 
@@ -483,18 +488,19 @@ def plan_customer(spark: SparkSession, d: str) -> DataFrame:
     return CleaningPlan.from_json(_PLAN.to_json()).apply(_noisy_customer(spark, d)[0])
 
 
-@query("execution_log_scan")
+@query("execution_log_scan", "SELECT * FROM (VALUES ('plan0', true, '', '', 0::INTEGER, NULL, true), ('plan1', false, '', 'step ''drop_table'' is not allowed', 1, 'step ''drop_table'' is not allowed', true)) AS t(script_path, success, stdout, stderr, returncode, error_message, timed)")
 def execution_log_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Two logged runs of plans, one that works and one that is refused."""
-    folder = tempfile.mkdtemp()
+    """Two logged runs of plans, one that works and one that is refused; how long they took differs from run to run."""
+    folder = work_folder(spark, "runs")
     noisy = _noisy_customer(spark, d)[0]
     for i, plan in enumerate((_PLAN.to_json(), json.dumps([{"step": "drop_table"}]))):
         record = execute.run_plan(spark, plan, noisy, lambda df: df.write.format("noop").mode("overwrite").save())
-        runs.write_record(record | {"script_path": f"plan{i}"}, f"{folder}/plan{i}.json")
-    return runs.read_records(spark, folder)
+        runs.append_record(spark, record | {"script_path": f"plan{i}"}, folder)
+    log = runs.read_records(spark, folder)
+    return log.select("script_path", "success", "stdout", "stderr", "returncode", "error_message", (F.col("duration_seconds") >= 0).alias("timed"))
 
 
-@query("repair_loop")
+@query("repair_loop", "SELECT * FROM (VALUES (0::INTEGER, false, 'step ''unknown'' is not allowed'), (1, true, NULL)) AS t(attempt, success, error_message)")
 def repair_loop(spark: SparkSession, d: str) -> DataFrame:
     """A first plan that fails, and a rule planner's that works: the attempts."""
     noisy = _noisy_customer(spark, d)[0].withColumnRenamed("c_custkey", rows.ROW)

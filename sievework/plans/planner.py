@@ -113,7 +113,7 @@ class ModelPlanner(Planner):
 
     def plan(self, prompt: str) -> str:
         text = generate(prompt, self.settings)
-        return text[text.index("[") :] if text.startswith("json") else text
+        return text[text.index("[") :] if text.startswith("json") and "[" in text else text
 
 
 class RulePlanner(Planner):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -17,3 +20,14 @@ def session(app: str = "sievework", **conf: str) -> SparkSession:
 def healthy(spark: SparkSession) -> dict[str, str]:
     """{"status": "ok"} if the session answers."""
     return {"status": "ok" if spark.range(1).count() == 1 else "failed"}
+
+
+def work_folder(spark: SparkSession, tag: str) -> str:
+    """A fresh folder that the driver and all executors see: under spark.checkpoint.dir, or a local one where all is one machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="sievework-")
+    return f"{shared.rstrip('/')}/{tag}-{uuid.uuid4().hex}"

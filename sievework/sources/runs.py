@@ -17,5 +17,11 @@ def write_record(record: dict, path: str | Path) -> None:
     path.write_text(json.dumps(record, indent=2, ensure_ascii=False), encoding="utf-8")
 
 
+def append_record(spark: SparkSession, record: dict, folder: str) -> None:
+    """One record as one more file of a folder in storage that all machines see."""
+    names = [field.split()[0] for field in RUN_SCHEMA.split(", ")]
+    spark.createDataFrame([tuple(record.get(n) for n in names)], RUN_SCHEMA).coalesce(1).write.mode("append").json(folder)
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RUN_SCHEMA).json(path, multiLine=True)
