@@ -125,6 +125,20 @@ for _t, _cols in _NUMERIC.items():
 for _t, _cols in _TEXTS.items():
     query(f"profile_text_{_t}", _profile_sql(_t, text=_cols))(lambda spark, d, t=_t, cols=_cols: profile.profile(load(spark, d, t), columns=cols).select("column", "dtype_detected", "pct_missing", "n_unique"))
 
+_TOP_BRANDS = "(SELECT string_agg(p_brand || ' ' || n, ', ' ORDER BY n DESC, p_brand) FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand ORDER BY n DESC, p_brand LIMIT 5))"
+_BIG = "(SELECT *, p_size > 25 AS big FROM part)"
+_MIXED = f"""SELECT 'p_brand' AS "column", 'categorical/text' AS dtype_detected, 0.0::DOUBLE AS pct_missing, count(DISTINCT p_brand) AS n_unique, {_TOP_BRANDS} AS top_values, NULL::DOUBLE AS "min", NULL::DOUBLE AS "max", NULL::DOUBLE AS mean, NULL::DOUBLE AS std FROM part UNION ALL
+SELECT 'p_size', 'numeric', 0.0, count(DISTINCT p_size), NULL, min(p_size), max(p_size), round_even(avg(p_size), 2), round_even(stddev_samp(p_size), 2) FROM part UNION ALL
+SELECT 'big', 'numeric', 0.0, count(DISTINCT big), NULL, min(big::INT), max(big::INT), round_even(avg(big::INT), 2), round_even(stddev_samp(big::INT), 2) FROM {_BIG}"""
+
+
+@query("profile_mixed_part", _MIXED)
+def profile_mixed_part(spark: SparkSession, d: str) -> DataFrame:
+    """Text, a number and a boolean in one profile, top values as text."""
+    made = profile.profile(load(spark, d, "part").withColumn("big", F.col("p_size") > 25), columns=["p_brand", "p_size", "big"])
+    return made.withColumn("top_values", F.array_join(F.transform("top_values", lambda x: F.concat_ws(" ", x["value"], x["n"].cast("string"))), ", "))
+
+
 _TOP = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS \"value\", n, rank FROM (SELECT {c}, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, {c}) AS rank FROM orders WHERE {c} IS NOT NULL GROUP BY {c}) WHERE rank <= 5" for c in _TEXTS["orders"])
 _FIRST = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS \"value\", rank FROM (SELECT {c}, row_number() OVER (ORDER BY min(o_orderkey)) AS rank FROM orders WHERE {c} IS NOT NULL GROUP BY {c}) WHERE rank <= 3" for c in _TEXTS["orders"])
 
@@ -259,6 +273,22 @@ for _level in noise.LEVELS:
     query(f"inject_all_orders_{_level}", _all_sql(_level))(_all_log(_level))
 
 
+def _all_noisy_sql(level: str) -> str:
+    """The noisy table itself, prices in hundredths."""
+    r = noise.rates_for_level(level)
+    texts = [_missing("orders", "o_orderkey", "o_orderstatus", r["missing"]), _format(r["format"]), _typo_text("orders", "o_orderkey", "o_orderpriority", r["typos"]), _typo_number("orders", "o_orderkey", "o_custkey", r["typos"])]
+    price = _outlier("orders", "o_orderkey", "o_totalprice", -500, 10000, r["outliers"], False)
+    parts = [f"(SELECT o_orderkey, CASE WHEN hit_{c.column} THEN {c.value}::VARCHAR ELSE {c.column}::VARCHAR END AS {c.column} FROM ({c.source}))" for c in texts]
+    parts.append(f"(SELECT o_orderkey, round_even(CASE WHEN hit_o_totalprice THEN {price.value} ELSE o_totalprice END * 100, 0)::BIGINT AS o_totalprice FROM ({price.source}))")
+    return "SELECT o_orderkey, o_orderstatus, o_date, o_orderpriority, o_custkey, o_totalprice FROM " + " JOIN ".join(f"{p} AS t{i}" + (" USING (o_orderkey)" if i else "") for i, p in enumerate(parts))
+
+
+@query("inject_all_noisy_orders", _all_noisy_sql("medium"))
+def inject_all_noisy_orders(spark: SparkSession, d: str) -> DataFrame:
+    noisy = _inject_all(spark, d, "medium")[0]
+    return noisy.withColumn("o_totalprice", F.bround(F.col("o_totalprice") * 100, 0).cast("bigint"))
+
+
 @query("error_family_counts_orders", f"SELECT error_family, count(*) AS n FROM ({_all_sql('medium')}) GROUP BY error_family")
 def error_family_counts_orders(spark: SparkSession, d: str) -> DataFrame:
     return noise.counts_by_family(_inject_all(spark, d, "medium")[1])
@@ -277,21 +307,12 @@ def noise_levels(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- cleaning
 
 
-def _values(rows_: list[tuple], names: str) -> str:
-    return "(VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else str(x) if isinstance(x, (int, float)) else _text(x) for x in r) + ")" for r in rows_) + f") AS t({names})"
-
-
-_TOKENS = [(i, x) for i, x in enumerate(["", "NA", "N/A", "None", "null", "nan", "unknown", " ", "x, y", None, "#N/A", "n/a"])]
-_NUMBERS = [(i, x) for i, x in enumerate(["1d", "12D", "7kg", "10j", " 12 ", "1e3", ".5", "5.", "inf", "nan", "", "-", "-3", "+4.25", None, "1 2"])]
-_TITLES = [(i, x) for i, x in enumerate(["Offline TA/TO", "Transient-Party", "x_y", "abc1def", "it's o'neil", "", None, "GROUPS"])]
-_DATE_ROWS = [(i, x) for i, x in enumerate(["2015-07-01", "01/07/2015", "07/25/2015", "July 01, 2015", "01-Jul-2015", "2015/07/01", "1435708800", "junk", None])]
-_FENCES = [(i, x) for i, x in enumerate(["a ```python\nx = 1\n``` b", "```\ny\n```", "```python\n1\n``` ```python\n2\n```", " none ", "```sql\nselect\n```"])]
 _na = ", ".join(_text(x) for x in V.NA_TOKENS)
 
 
-@query("na_normalize", f"SELECT i, CASE WHEN v IN ({_na}) THEN NULL ELSE v END AS v FROM {_values(_TOKENS, 'i, v')}")
+@query("na_normalize", f"SELECT c_custkey, CASE WHEN c_mktsegment IN ({_na}) THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM ({_NOISY_CUSTOMER})")
 def na_normalize(spark: SparkSession, d: str) -> DataFrame:
-    return clean.na_to_null(spark.createDataFrame(_TOKENS, "i int, v string"))
+    return clean.na_to_null(_noisy_customer(spark, d)[0])
 
 
 @query("csv_round_trip_customer", f"SELECT c_custkey, CASE WHEN c_mktsegment IN ({_na}) THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM ({_NOISY_CUSTOMER})")
@@ -304,9 +325,14 @@ def csv_round_trip_customer(spark: SparkSession, d: str) -> DataFrame:
 _NUM = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
-@query("coerce_numeric", f"SELECT i, CASE WHEN regexp_full_match(v, '{_NUM}') THEN try_cast(trim(v) AS DOUBLE) END AS number, trunc(coalesce(CASE WHEN regexp_full_match(v, '{_NUM}') THEN try_cast(trim(v) AS DOUBLE) END, 0))::BIGINT AS whole FROM {_values(_NUMBERS, 'i, v')}")
+_TYPED = _typo_number("part", "p_partkey", "p_size", 0.1)
+_NOISY_SIZE = f"SELECT p_partkey, CASE WHEN hit_p_size THEN {_TYPED.value} ELSE p_size::VARCHAR END AS v FROM ({_TYPED.source})"
+
+
+@query("coerce_numeric", f"SELECT p_partkey, CASE WHEN regexp_full_match(v, '{_NUM}') THEN try_cast(trim(v) AS DOUBLE) END AS number, trunc(coalesce(CASE WHEN regexp_full_match(v, '{_NUM}') THEN try_cast(trim(v) AS DOUBLE) END, 0))::BIGINT AS whole FROM ({_NOISY_SIZE})")
 def coerce_numeric(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(_NUMBERS, "i int, v string").select("i", V.to_number("v").alias("number"), V.to_whole("v").alias("whole"))
+    noisy = noise.inject_typos(load(spark, d, "part").select("p_partkey", "p_size"), [], ["p_size"], row="p_partkey")[0]
+    return noisy.select("p_partkey", V.to_number("p_size").alias("number"), V.to_whole("p_size").alias("whole"))
 
 
 @query("letters_to_zero_part", "SELECT p_partkey, replace(p_size::VARCHAR || 'O', 'O', '0')::BIGINT AS p_size FROM part")
@@ -318,9 +344,9 @@ def letters_to_zero_part(spark: SparkSession, d: str) -> DataFrame:
 _title = "array_to_string(list_transform(regexp_extract_all({c}, '[\\p{{L}}]+|[^\\p{{L}}]+'), lambda x: upper(x[1]) || lower(x[2:])), '')"
 
 
-@query("title_case", f"SELECT i, {_title.format(c='v')} AS v FROM {_values(_TITLES, 'i, v')}")
+@query("title_case", f"SELECT p_partkey, {_title.format(c='p_type')} AS p_type, {_title.format(c='p_name')} AS p_name FROM part")
 def title_case(spark: SparkSession, d: str) -> DataFrame:
-    return clean.title_case(spark.createDataFrame(_TITLES, "i int, v string"), "v")
+    return clean.title_case(load(spark, d, "part").select("p_partkey", "p_type", "p_name"), ["p_type", "p_name"])
 
 
 @query("category_map", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'Filled' WHEN 'O' THEN 'Open' ELSE o_orderstatus END AS o_orderstatus FROM orders")
@@ -345,17 +371,24 @@ def clip_null_safe(spark: SparkSession, d: str) -> DataFrame:
     return clean.clip(_clips(spark, d), {"v": (10, 30)})
 
 
-@query("date_parse_strict", f"SELECT i, strftime(try_strptime(v, '%B %d, %Y'), '%Y-%m-%d') AS v FROM {_values(_DATE_ROWS, 'i, v')}")
+_NOISY_DATE = f"SELECT o_orderkey, CASE WHEN hit_o_date THEN {_DATES.value} ELSE o_date END AS o_date FROM ({_DATES.source})"
+
+
+def _noisy_dates(spark: SparkSession, d: str) -> DataFrame:
+    return noise.inject_format(_orders(spark, d), ["o_date"], row="o_orderkey")[0].select("o_orderkey", "o_date")
+
+
+@query("date_parse_strict", f"SELECT o_orderkey, strftime(try_strptime(o_date, '%B %d, %Y'), '%Y-%m-%d') AS o_date FROM ({_NOISY_DATE})")
 def date_parse_strict(spark: SparkSession, d: str) -> DataFrame:
-    return clean.parse_long_dates(spark.createDataFrame(_DATE_ROWS, "i int, v string"), "v").withColumn("v", F.date_format("v", "yyyy-MM-dd"))
+    return clean.parse_long_dates(_noisy_dates(spark, d), "o_date").withColumn("o_date", F.date_format("o_date", "yyyy-MM-dd"))
 
 
 _iso = "strftime(coalesce(try_strptime({c}, '%Y-%m-%d'), try_strptime({c}, '%d/%m/%Y'), try_strptime({c}, '%m/%d/%Y'), try_strptime({c}, '%B %d, %Y'), try_strptime({c}, '%d-%b-%Y'), try_strptime({c}, '%Y/%m/%d'), CASE WHEN regexp_full_match({c}, '-?[0-9]+') THEN TIMESTAMP '1970-01-01' + to_seconds(try_cast({c} AS BIGINT)) END), '%Y-%m-%d')"
 
 
-@query("date_unify_iso", f"SELECT i, {_iso.format(c='v')} AS v FROM {_values(_DATE_ROWS, 'i, v')}")
+@query("date_unify_iso", f"SELECT o_orderkey, {_iso.format(c='o_date')} AS o_date FROM ({_NOISY_DATE})")
 def date_unify_iso(spark: SparkSession, d: str) -> DataFrame:
-    return clean.unify_dates(spark.createDataFrame(_DATE_ROWS, "i int, v string"), "v")
+    return clean.unify_dates(_noisy_dates(spark, d), "o_date")
 
 
 @query("fill_const", f"SELECT c_custkey, coalesce(c_mktsegment, 'Unknown') AS c_mktsegment FROM ({_NOISY_CUSTOMER})")
@@ -454,9 +487,13 @@ def normalise_text(spark: SparkSession, d: str) -> DataFrame:
     return clean.normalise_text(padded, "c_mktsegment", "lower")
 
 
-@query("code_fence_extract", f"SELECT i, trim(CASE WHEN regexp_matches(v, '(?s)```python\\s*.*?```') THEN regexp_extract(v, '(?s)```python\\s*(.*?)```', 1) WHEN regexp_matches(v, '(?s)```\\s*.*?```') THEN regexp_extract(v, '(?s)```\\s*(.*?)```', 1) ELSE v END, E' \\n') AS v FROM {_values(_FENCES, 'i, v')}")
+_ANSWER = """CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN 'Here: ```python' || chr(10) || text || chr(10) || '``` done' WHEN 2 THEN '```' || chr(10) || text || '``` and ```python' || chr(10) || 'pass' || chr(10) || '```' ELSE '```' || text END"""
+
+
+@query("code_fence_extract", f"SELECT doc_id, regexp_replace(CASE WHEN regexp_matches(v, '(?s)```python\\s*.*?```') THEN regexp_extract(v, '(?s)```python\\s*(.*?)```', 1) WHEN regexp_matches(v, '(?s)```\\s*.*?```') THEN regexp_extract(v, '(?s)```\\s*(.*?)```', 1) ELSE v END, '^\\s+|\\s+$', '', 'g') AS v FROM (SELECT doc_id, {_ANSWER} AS v FROM documents)")
 def code_fence_extract(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(_FENCES, "i int, v string").select("i", V.first_code_block("v").alias("v"))
+    """The texts of documents as a model might answer them: bare, fenced, fenced twice, with a fence left open."""
+    return load(spark, d, "documents").select("doc_id", V.first_code_block(F.expr(_ANSWER.replace("chr(10)", "'\\n'"))).alias("v"))
 
 
 _WORKFLOW_COLUMNS = "SELECT p_size::VARCHAR || 'O' AS lead_time, p_size % 2 AS adults, p_size % 3 AS children, p_size % 7 - 1 AS babies, CASE WHEN p_size % 5 = 0 THEN NULL ELSE 'BB' END AS meal, p_brand AS market_segment, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_type END AS country FROM part"

@@ -174,13 +174,17 @@ def harmonise(df: DataFrame, column: str, n: int = 5, distance: int = 2) -> Data
     """
     if column not in df.columns:
         return df
-    frequent = [r["value"] for r in top_values(df, [column], n).orderBy("rank").collect()]
-    if not frequent:
+    known = top_values(df, [column], n).orderBy("rank").select("value", F.lower(V.strip("value")).alias("own")).collect()
+    if not known:
         return df
     own = F.lower(V.strip(column))
-    options = [F.struct(F.levenshtein(own, F.lit(v.strip().lower())).alias("d"), F.lit(i).alias("i"), F.lit(v).alias("v")) for i, v in enumerate(frequent)]
-    best = F.array_min(F.array(*options))
-    return df.withColumn(column, F.when(best["d"] <= distance, best["v"]).otherwise(F.col(column)))
+    same: dict[str, str] = {}
+    for r in known:
+        same.setdefault(r["own"], r["value"])
+    # most rows are a frequent value as they stand: distances are worked out for the others only, and no further than needed
+    options = [F.struct(F.levenshtein(own, F.lit(r["own"]), distance).alias("d"), F.lit(i).alias("i"), F.lit(r["value"]).alias("v")) for i, r in enumerate(known)]
+    best = F.array_min(F.filter(F.array(*options), lambda x: x["d"] >= 0))["v"]
+    return df.withColumn(column, F.when(own.isin(*same), V.rename_values(own, same)).otherwise(F.coalesce(best, F.col(column))))
 
 
 #: Fixed values of the hotel bookings workflow.

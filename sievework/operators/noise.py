@@ -31,6 +31,7 @@ BASE_RATES = {"missing": 0.10, "format": 0.15, "outliers": 0.02, "typos": 0.08}
 LEVELS = {"low": 0.5, "medium": 1.0, "high": 2.0}
 #: How a missing value is written, and its error type.
 MISSING_FORMS = ((None, "missing_nan"), ("", "missing_empty_string"), ("NA", "missing_NA_string"), ("N/A", "missing_N/A_string"), ("unknown", "missing_unknown_string"), (" ", "missing_whitespace"))
+#: How dates are written, and what gets into numbers.
 DATE_PATTERNS = ("dd/MM/yyyy", "MM/dd/yyyy", "MMMM dd, yyyy", "dd-MMM-yyyy", "yyyy/MM/dd")
 LETTERS = ("O", "l", "S", "B", "€", "kg", "j")
 
@@ -52,51 +53,60 @@ class Change:
     keep_type: bool = False
 
 
-def _count(n_rows: int, rate: float, least: int = 0) -> int:
-    if rate > 1:
-        raise ValueError(f"rate {rate}: more cells than rows")
-    return min(n_rows, max(least, int(n_rows * rate)))
+Hits = dict[tuple[str, str], Column]
 
 
-def _hits(df: DataFrame, seed: int, family: str, columns: list[str], n: int, row: str) -> dict[str, Column]:
-    keys = {c: draws.key(seed, family, c, row) for c in columns}
-    cuts = exact_cuts(df, keys, {c: n for c in columns}, row)
-    return {c: cuts[c].takes(keys[c], F.col(row)) for c in columns}
+def hits(df: DataFrame, wanted: dict[str, tuple], seed: int, row: str) -> Hits:
+    """(family, column): the rows that are drawn, for families given as (columns, rate, least number of cells).
+
+    The draws depend on row identifiers only, so the cuts of all families and columns are found together.
+    """
+    for _, rate, _ in wanted.values():
+        if rate > 1:
+            raise ValueError(f"rate {rate}: more cells than rows")
+    cells = {f"{family}|{c}": (family, c) for family, (columns, _, _) in wanted.items() for c in columns}
+    keys = {name: draws.key(seed, family, c, row) for name, (family, c) in cells.items()}
+
+    def sizes(n_rows: int) -> dict[str, int]:
+        return {name: min(n_rows, max(wanted[f][2], int(n_rows * wanted[f][1]))) for name, (f, _) in cells.items()}
+
+    cuts = exact_cuts(df, keys, sizes, row)
+    return {cell: cuts[name].takes(keys[name], F.col(row)) for name, cell in cells.items()}
 
 
 def _pick(options: list[Column], k: Column) -> Column:
     return F.element_at(F.array(*options), (k % len(options)).cast("int") + 1)
 
 
-def missing_changes(df: DataFrame, columns: list[str], rate: float, seed: int, row: str, n_rows: int) -> dict[str, Change]:
+def missing_changes(df: DataFrame, columns: list[str], drawn: Hits, seed: int, row: str) -> dict[str, Change]:
     out = {}
-    for c, hit in _hits(df, seed, "missing", columns, _count(n_rows, rate), row).items():
+    for c in columns:
         k = draws.number(draws.key(seed, "missing", c, row, "form"))
-        out[c] = Change("missing_values", hit, _pick([F.lit(v).cast("string") for v, _ in MISSING_FORMS], k), _pick([F.lit(t) for _, t in MISSING_FORMS], k))
+        out[c] = Change("missing_values", drawn["missing", c], _pick([F.lit(v).cast("string") for v, _ in MISSING_FORMS], k), _pick([F.lit(t) for _, t in MISSING_FORMS], k))
     return out
 
 
-def format_changes(df: DataFrame, columns: list[str], rate: float, seed: int, row: str, n_rows: int) -> dict[str, Change]:
+def format_changes(df: DataFrame, columns: list[str], drawn: Hits, seed: int, row: str) -> dict[str, Change]:
     """Null dates are left alone; a value that is no date is logged but not changed."""
     out = {}
-    for c, hit in _hits(df, seed, "format", columns, _count(n_rows, rate), row).items():
+    for c in columns:
         text = F.col(c).cast("string")
         date = parse_date(text)
         forms = [F.date_format(date, p) for p in DATE_PATTERNS] + [F.unix_timestamp(date).cast("string")]
         new = _pick(forms, draws.number(draws.key(seed, "format", c, row, "form")))
-        out[c] = Change("format_errors", hit, F.coalesce(new, text), F.when(date.isNull(), "unparsable_original").otherwise("date_format_inconsistency"), F.col(c).isNotNull())
+        out[c] = Change("format_errors", drawn["format", c], F.coalesce(new, text), F.when(date.isNull(), "unparsable_original").otherwise("date_format_inconsistency"), F.col(c).isNotNull())
     return out
 
 
-def outlier_changes(df: DataFrame, bounds: dict[str, tuple], rate: float, seed: int, row: str, n_rows: int) -> dict[str, Change]:
-    """At least one cell per column; integers are cut towards zero, others rounded to two digits."""
+def outlier_changes(df: DataFrame, bounds: dict[str, tuple], drawn: Hits, seed: int, row: str) -> dict[str, Change]:
+    """Integers are cut towards zero, others rounded to two digits."""
     out = {}
-    for c, hit in _hits(df, seed, "outliers", list(bounds), _count(n_rows, rate, 1), row).items():
+    for c in bounds:
         low, high = map(float, bounds[c])
         raw = F.lit(low) + draws.unit(draws.key(seed, "outliers", c, row, "value")) * F.lit(high - low)
         kind = df.schema[c].dataType
         value = raw.cast("bigint") if isinstance(kind, T.IntegralType) else F.bround(raw, 2)
-        out[c] = Change("outliers", hit, value, F.lit("outlier_value"), keep_type=True)
+        out[c] = Change("outliers", drawn["outliers", c], value, F.lit("outlier_value"), keep_type=True)
     return out
 
 
@@ -132,14 +142,14 @@ def typo_number(s: Column, u: Column) -> tuple[Column, Column]:
     return F.element_at(F.array(as_zero, F.concat(s, letter), inside), op + 1), F.element_at(F.array(*map(F.lit, kinds)), op + 1)
 
 
-def typo_changes(df: DataFrame, text: list[str], numeric: list[str], rate: float, seed: int, row: str, n_rows: int) -> dict[str, Change]:
+def typo_changes(df: DataFrame, text: list[str], numeric: list[str], drawn: Hits, seed: int, row: str) -> dict[str, Change]:
     """Null cells that are drawn are neither changed nor logged."""
     out = {}
-    for c, hit in _hits(df, seed, "typos", [*text, *numeric], _count(n_rows, rate), row).items():
+    for c in [*text, *numeric]:
         s = F.col(c).cast("string")
         u = draws.number(draws.key(seed, "typos", c, row, "form"))
         value, kind = typo_text(s, u, draws.number(draws.key(seed, "typos", c, row, "cut"))) if c in text else typo_number(s, u)
-        out[c] = Change("typos", hit & F.col(c).isNotNull(), value, kind)
+        out[c] = Change("typos", drawn["typos", c] & F.col(c).isNotNull(), value, kind)
     return out
 
 
@@ -169,22 +179,29 @@ def _present(df: DataFrame, columns) -> list[str]:
     return [c for c in columns if c in df.columns]
 
 
+#: At least one cell per column has an outlier.
+LEAST = {"missing": 0, "format": 0, "outliers": 1, "typos": 0}
+
+
 def inject_missing(df: DataFrame, columns=None, rate: float = 0.10, seed: int = 42, row: str = ROW) -> tuple[DataFrame, DataFrame]:
-    return apply(df, missing_changes(df, _present(df, MISSING_COLUMNS if columns is None else columns), rate, seed, row, df.count()), row)
+    columns = _present(df, MISSING_COLUMNS if columns is None else columns)
+    return apply(df, missing_changes(df, columns, hits(df, {"missing": (columns, rate, LEAST["missing"])}, seed, row), seed, row), row)
 
 
 def inject_format(df: DataFrame, columns=None, rate: float = 0.15, seed: int = 42, row: str = ROW) -> tuple[DataFrame, DataFrame]:
-    return apply(df, format_changes(df, _present(df, FORMAT_COLUMNS if columns is None else columns), rate, seed, row, df.count()), row)
+    columns = _present(df, FORMAT_COLUMNS if columns is None else columns)
+    return apply(df, format_changes(df, columns, hits(df, {"format": (columns, rate, LEAST["format"])}, seed, row), seed, row), row)
 
 
 def inject_outliers(df: DataFrame, bounds: dict | None = None, rate: float = 0.02, seed: int = 42, row: str = ROW) -> tuple[DataFrame, DataFrame]:
     bounds = OUTLIER_BOUNDS if bounds is None else bounds
-    return apply(df, outlier_changes(df, {c: bounds[c] for c in _present(df, bounds)}, rate, seed, row, df.count()), row)
+    bounds = {c: bounds[c] for c in _present(df, bounds)}
+    return apply(df, outlier_changes(df, bounds, hits(df, {"outliers": (list(bounds), rate, LEAST["outliers"])}, seed, row), seed, row), row)
 
 
 def inject_typos(df: DataFrame, text=None, numeric=None, rate: float = 0.10, seed: int = 42, row: str = ROW) -> tuple[DataFrame, DataFrame]:
     text, numeric = (_present(df, d if c is None else c) for c, d in ((text, TYPO_TEXT_COLUMNS), (numeric, TYPO_NUMERIC_COLUMNS)))
-    return apply(df, typo_changes(df, text, numeric, rate, seed, row, df.count()), row)
+    return apply(df, typo_changes(df, text, numeric, hits(df, {"typos": ([*text, *numeric], rate, LEAST["typos"])}, seed, row), seed, row), row)
 
 
 @dataclass(frozen=True)
@@ -205,12 +222,15 @@ def inject_all(df: DataFrame, seed: int = 42, rates: dict[str, float] | None = N
     changed table.
     """
     rates, targets = BASE_RATES if rates is None else rates, targets or Targets()
-    n_rows = df.count()
+    missing, format_, text, numeric = (_present(df, c) for c in (targets.missing, targets.format, targets.typos_text, targets.typos_numeric))
+    bounds = {c: b for c, b in targets.outliers if c in df.columns}
+    columns = {"missing": missing, "format": format_, "outliers": list(bounds), "typos": [*text, *numeric]}
+    drawn = hits(df, {f: (c, rates[f], LEAST[f]) for f, c in columns.items()}, seed, row)
     steps = [
-        lambda d: missing_changes(d, _present(d, targets.missing), rates["missing"], seed, row, n_rows),
-        lambda d: format_changes(d, _present(d, targets.format), rates["format"], seed, row, n_rows),
-        lambda d: outlier_changes(d, {c: b for c, b in targets.outliers if c in d.columns}, rates["outliers"], seed, row, n_rows),
-        lambda d: typo_changes(d, _present(d, targets.typos_text), _present(d, targets.typos_numeric), rates["typos"], seed, row, n_rows),
+        lambda d: missing_changes(d, missing, drawn, seed, row),
+        lambda d: format_changes(d, format_, drawn, seed, row),
+        lambda d: outlier_changes(d, bounds, drawn, seed, row),
+        lambda d: typo_changes(d, text, numeric, drawn, seed, row),
     ]
     now, logs, changes = df, [], {}
     for step in steps:

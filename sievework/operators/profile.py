@@ -1,12 +1,14 @@
 """Profiles and descriptions of tables.
 
-A profile is one pass in long form: every column is unpivoted to (column, value), one aggregation counts each value, and
-distinct counts and top values follow from it, so that a table of any width needs one shuffle of its partial counts.
-Numeric moments come from one wide aggregate.
+Text columns are unpivoted to (column, value) and one aggregation counts each value: distinct counts and top values follow from
+it. Numeric columns are unpivoted to numbers and only their distinct values are shuffled. So a table of any width needs one
+shuffle of each kind. Moments and missing cells come from one wide aggregate.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +39,21 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return long_form(df, columns or df.columns).filter(F.col("value").isNotNull()).groupBy("place", "column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, found: number of distinct non-null values. Numbers are counted as numbers, the rest as text: one pass of each kind."""
+    whole = [c for c in columns if isinstance(df.schema[c].dataType, (T.IntegralType, T.BooleanType))]
+    real = [c for c in columns if isinstance(df.schema[c].dataType, T.FractionalType) and not isinstance(df.schema[c].dataType, T.DecimalType)]
+    text = [c for c in columns if c not in whole and c not in real]
+    parts = [value_counts(df, text).groupBy("column").agg(F.count(F.lit(1)).alias("found"))] if text else []
+    for names, kind in ((whole, "bigint"), (real, "double")):
+        if names:
+            cells = F.array(*[F.struct(F.lit(i).alias("place"), F.col(c).cast(kind).alias("value")) for i, c in enumerate(names)])
+            different = df.select(F.explode(cells).alias("cell")).select("cell.*").filter(F.col("value").isNotNull()).distinct()
+            counted = different.groupBy("place").agg(F.count(F.lit(1)).alias("found"))
+            parts.append(counted.select(F.element_at(F.array(*map(F.lit, names)), F.col("place") + 1).alias("column"), "found"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def top_values(df: DataFrame, columns: list[str] | None = None, n: int = 5) -> DataFrame:
     """column, value, n, rank of the n most frequent values: most frequent first, ties by value.
 
@@ -88,8 +105,7 @@ def profile(df: DataFrame, top_n: int = 5, columns: list[str] | None = None, app
     base = df.agg(*wide).select(F.explode(rows).alias("r")).select("r.*")
     counted = base.withColumn("n_unique", F.col("unique"))
     if not approximate:
-        unique = value_counts(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("found"))
-        counted = base.join(unique, "column", "left").withColumn("n_unique", F.coalesce("found", F.lit(0)))
+        counted = base.join(distinct_counts(df, columns), "column", "left").withColumn("n_unique", F.coalesce("found", F.lit(0)))
     best = F.transform(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))), lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n")))
     if text:
         tops = top_values(df, text, top_n).groupBy("column").agg(best.alias("top_values"))

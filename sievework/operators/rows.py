@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import draws
 
 ROW = "_row_id"
-#: Hex digits of a key that name its bucket: 65,536 buckets, a fixed number whatever the table.
-_DIGITS = 4
+#: Hex digits that one pass adds to a bucket's prefix (4,096 buckets), digits of a key, and rows of a bucket that the driver orders.
+_DIGITS, _KEY_DIGITS, _SMALL = 3, 32, 1 << 16
 
 
 def with_row_id(df: DataFrame, name: str = ROW) -> DataFrame:
@@ -41,36 +42,59 @@ class Cut:
         return (hex_key < self.key) | ((hex_key == self.key) & (row <= F.lit(self.row)))
 
 
-def exact_cuts(df: DataFrame, keys: dict[str, Column], sizes: dict[str, int], row: str = ROW) -> dict[str, Cut]:
-    """Where to cut so that each named key takes exactly sizes[name] rows, smallest keys first, ties by row.
+def _cells(df: DataFrame, keys: dict[str, Column], prefixes: dict[str, str], row: str) -> DataFrame:
+    """c, k, row: the keys that begin with their prefix."""
+    cells = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(p).alias("p"), keys[c].alias("k")) for c, p in prefixes.items()])
+    return df.select(F.col(row).alias("row"), F.explode(cells).alias("x")).filter(F.col("x.k").startswith(F.col("x.p"))).select("x.c", "x.k", "row")
 
-    Two passes over the table and no sort of it: a histogram of key prefixes finds the bucket in which each sample ends, then
-    only that bucket's rows (one in 65,536) are put in order. Taking the sample is then a comparison per row.
+
+def _counts(df: DataFrame, keys: dict[str, Column], prefixes: dict[str, str], row: str) -> dict[str, list[tuple[str, int]]]:
+    """(bucket, rows) of each key, in order: the prefixes of _DIGITS more digits, a fixed number of buckets."""
+    width = max(map(len, prefixes.values())) + _DIGITS
+    counted = _cells(df, keys, prefixes, row).groupBy("c", F.substring("k", 1, width).alias("b")).agg(F.count(F.lit(1)).alias("n")).toArrow().to_pydict()
+    out: dict[str, list[tuple[str, int]]] = {c: [] for c in keys}
+    for c, b, n in sorted(zip(counted["c"], counted["b"], counted["n"])):
+        out[c].append((b, n))
+    return out
+
+
+def exact_cuts(df: DataFrame, keys: dict[str, Column], sizes: Callable[[int], dict[str, int]], row: str = ROW) -> dict[str, Cut]:
+    """Where to cut so that each named key takes exactly the rows that sizes names for the table's number of rows, smallest keys first,
+    ties by row.
+
+    One pass counts the prefixes of all keys, which gives the number of rows and the bucket in which each sample ends. While such a
+    bucket has more than _SMALL rows it is counted by longer prefixes, in one pass for all keys; a last pass brings the
+    rows of the small buckets. No pass sorts the table, and taking the sample is then a comparison per row.
+    Rows with one key (repeated row identifiers) are taken together, or not at all.
     """
-    wanted = {c: n for c, n in sizes.items() if n > 0}
-    cuts = {c: Cut(0) for c in sizes}
-    if not wanted:
-        return cuts
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), keys[c].alias("k")) for c in wanted]))
-    long = df.select(F.col(row).alias("row"), pairs.alias("x")).select("row", "x.c", "x.k")
-    histogram = long.groupBy("c", F.substring("k", 1, _DIGITS).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
-    ends: dict[str, tuple[str, int]] = {}
-    for c, n in wanted.items():
-        seen = 0
-        for r in sorted((r for r in histogram if r["c"] == c), key=lambda r: r["b"]):
-            if seen + r["n"] >= n:
-                ends[c] = (r["b"], n - seen)
-                break
-            seen += r["n"]
-        else:
-            raise ValueError(f"{c}: a sample of {n} rows is larger than the table")
-    for c, (bucket, k) in ends.items():
-        last = df.select(keys[c].alias("k"), F.col(row).alias("row")).filter(F.col("k").startswith(bucket)).orderBy("k", "row").limit(k).agg(F.max(F.struct("k", "row")).alias("m")).first()["m"]
-        cuts[c] = Cut(wanted[c], last["k"], last["row"])
+    counts = _counts(df, keys, dict.fromkeys(keys, ""), row) if keys else {}
+    n_rows = max((sum(n for _, n in b) for b in counts.values()), default=0)
+    wanted = {c: n for c, n in sizes(n_rows).items() if n > 0}
+    cuts = {c: Cut(0) for c in keys if c not in wanted}
+    left, buckets = dict(wanted), {}
+    large = set(wanted)
+    while large:
+        for c in sorted(large):
+            for bucket, n in counts[c]:
+                if left[c] <= n:
+                    buckets[c] = bucket
+                    if n <= _SMALL or len(bucket) >= _KEY_DIGITS:
+                        large.discard(c)
+                    break
+                left[c] -= n
+            else:
+                raise ValueError(f"{c}: a sample of {wanted[c]} rows is larger than the table")
+        if large:
+            counts = _counts(df, {c: keys[c] for c in large}, {c: buckets[c] for c in large}, row)
+    if buckets:
+        ends = _cells(df, keys, buckets, row).distinct().collect()  # at most _SMALL different keys for each name
+        for c, n in wanted.items():
+            inside = sorted((r["k"], r["row"]) for r in ends if r["c"] == c)
+            cuts[c] = Cut(n, *inside[min(left[c], len(inside)) - 1])
     return cuts
 
 
 def sample_exact(df: DataFrame, n: int, seed: int = 42, family: str = "sample", name: str = "row", row: str = ROW) -> DataFrame:
     """Exactly n rows, uniformly and without replacement."""
     k = draws.key(seed, family, name, row)
-    return df.filter(exact_cuts(df, {name: k}, {name: n}, row)[name].takes(k, F.col(row)))
+    return df.filter(exact_cuts(df, {name: k}, lambda _: {name: n}, row)[name].takes(k, F.col(row)))

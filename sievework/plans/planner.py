@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import time
 import urllib.error
 import urllib.request
@@ -29,8 +28,10 @@ class Settings:
     key: str = ""
 
     @classmethod
-    def from_environment(cls) -> "Settings":
-        return cls(**{f: os.environ[f"SIEVEWORK_{f.upper()}"] for f in ("provider", "model", "host", "cloud_url", "key") if f"SIEVEWORK_{f.upper()}" in os.environ})
+    def from_environment(cls, env_file: str = ".env") -> "Settings":
+        """From the environment; what it lacks, from the file of name=value lines if there is one."""
+        named = (read_env_file(env_file) if os.path.isfile(env_file) else {}) | os.environ
+        return cls(**{f: named[f"SIEVEWORK_{f.upper()}"] for f in ("provider", "model", "host", "cloud_url", "key") if f"SIEVEWORK_{f.upper()}" in named})
 
 
 def read_env_file(path: str) -> dict[str, str]:
@@ -86,9 +87,11 @@ def ask(prompt: str, settings: Settings | None = None, temperature: float = 0.2)
 
 def extract_code(text: str) -> str:
     """The first fenced Python block, else the first fenced block, else all of the text; stripped."""
-    for fence in (r"```python\s*(.*?)```", r"```\s*(.*?)```"):
-        if found := re.search(fence, text, re.DOTALL):
-            return found[1].strip()
+    for mark in ("```python", "```"):
+        _, _, rest = text.partition(mark)
+        block, closed, _ = rest.partition("```")
+        if closed:
+            return block.strip()
     return text.strip()
 
 

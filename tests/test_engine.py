@@ -63,6 +63,30 @@ def test_row_numbers_and_exact_samples(spark):
     assert rows.with_row_id(spark.range(0)).count() == 0
 
 
+def test_samples_of_tables_with_large_buckets(spark, monkeypatch):
+    df = rows.with_row_id(spark.range(3000))
+    whole = {r.id for r in rows.sample_exact(df, 777).collect()}
+    monkeypatch.setattr(rows, "_SMALL", 1)
+    monkeypatch.setattr(rows, "_DIGITS", 1)
+    assert {r.id for r in rows.sample_exact(df, 777).collect()} == whole and len(whole) == 777
+    same = spark.createDataFrame([(1,)] * 50, "_row_id long")
+    assert rows.sample_exact(same, 7).count() in (0, 50)
+
+
+def test_na_tokens(spark):
+    assert one(spark, ["", "NA", "N/A", "None", "null", "nan", "unknown", " ", "x, y", None, "#N/A", "n/a"], V.na_to_null) == [None] * 6 + ["unknown", " ", "x, y", None, None, None]
+
+
+def test_env_file(tmp_path, monkeypatch):
+    for name in ("PROVIDER", "MODEL", "HOST", "CLOUD_URL", "KEY"):
+        monkeypatch.delenv(f"SIEVEWORK_{name}", raising=False)
+    (tmp_path / ".env").write_text("# keys\n\nSIEVEWORK_KEY='k'\nSIEVEWORK_MODEL=m\nSHELL_OTHER=1\n")
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setenv("SIEVEWORK_MODEL", "n")
+    assert planner.Settings.from_environment() == planner.Settings(key="k", model="n")
+    assert planner.Settings.from_environment("none") == planner.Settings(model="n")
+
+
 @pytest.mark.parametrize("level", ["low", "medium", "high"])
 def test_inject_all(spark, level):
     df = hotel(spark).cache()
