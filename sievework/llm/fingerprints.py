@@ -1,8 +1,9 @@
 """Document fingerprints: bottom-k sketches of word-shingle hashes.
 
-A sketch holds the k smallest distinct 64-bit hashes of a text's five-word shingles and whether there were more. Sketches
+A sketch holds the k smallest distinct 64-bit hashes of a text's five-word shingles. Sketches
 merge (the k smallest of the union), and two of them estimate resemblance and containment; one alone estimates the number
-of distinct shingles. Texts with at most k shingles are held whole, so estimates about them are exact.
+of distinct shingles. Texts with fewer than k shingles are held whole, so estimates about
+them are exact; a full sketch does not tell whether there were more, so the count of a text with just k is an estimate.
 
 Defined cases: a null text is an empty text and has an empty sketch; a text of fewer than five words is one shingle; two
 empty sketches have likeness 1, an empty and another 0; equal texts have equal fingerprints; rows with a null identifier
