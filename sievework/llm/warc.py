@@ -38,6 +38,7 @@ SCHEMA = "record_type string, record_id string, target_uri string, date string,
 #: Header fields that have a column.
 FIELDS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest"}
 _STEP = 1 << 16
+MOST_HOT = 1000
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -378,10 +379,19 @@ def archive_pages(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     """One record per page. Of pages with equal payloads of least_bytes or more, that with the smallest page_id is the
     response (a null page_id counts as smallest; rows that share identifier and payload are all responses), the others
     revisit it; smaller payloads are all responses."""
+    scratch = Scratch(pages.sparkSession, "firsts")
     payload = F.encode(whole(F.col("html")), "UTF-8")
-    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.unhex(F.sha1("payload"))).withColumn("bytes", F.length("payload"))
-    firsts = rows.groupBy("digest", "bytes").agg(F.min(F.struct("page_id")).alias("f")).select(F.col("digest").alias("d"), F.col("bytes").alias("b"), F.col("f.page_id").alias("first"))
-    rows = rows.join(firsts, (F.col("digest") == F.col("d")) & (F.col("bytes") == F.col("b")))
+    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("same", F.unhex(F.sha2("payload", 256))).withColumn("bytes", F.length("payload"))
+    firsts = scratch.write(rows.groupBy("same").agg(F.min(F.struct("page_id")).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
+    total = firsts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    # Payloads that more than one row in MOST_HOT has: fewer than MOST_HOT, so their firsts travel; the rest meet theirs by a shuffle,
+    # in which rows of hot payloads are dealt by identifier instead.
+    hot = firsts.filter(F.col("n") * MOST_HOT > total).select(F.col("same").alias("h"), F.col("first").alias("hot_first"))
+    rows = rows.join(F.broadcast(hot), F.col("same") == F.col("h"), "left")
+    own = F.sha2(F.concat_ws(":", F.hex("same"), F.col("page_id").cast("string"), "url").cast("binary"), 256)
+    rows = rows.withColumn("meets", F.when(F.col("h").isNull(), F.col("same")).otherwise(F.unhex(own)))
+    rows = rows.join(firsts.select(F.col("same").alias("s"), F.col("first").alias("cold_first")), F.col("meets") == F.col("s"), "left")
+    rows = rows.select("page_id", "url", "payload", "bytes", F.coalesce("hot_first", "cold_first")["page_id"].alias("first"))
     again = (F.col("bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first"))
     records = rows.select(
         F.when(again, "revisit").otherwise("response").alias("record_type"), record_id("page_id").alias("record_id"), F.col("url").alias("target_uri"),
@@ -389,6 +399,7 @@ def archive_pages(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
         F.create_map(F.lit("X-Payload-Length"), F.col("bytes").cast("string")).alias("headers"), "payload",
     )
     write_warc(records, path)
+    scratch.drop("firsts")
 
 
 def record_id(column: str):

@@ -32,7 +32,10 @@ def outright(data):
     return sorted(out, key=str)
 
 
-def test_query(spark, tmp_path):
+@pytest.mark.parametrize("most_hot", [1, 4, 1000])
+def test_query(spark, tmp_path, monkeypatch, most_hot):
+    """No payload is hot, only that of three rows is, all are."""
+    monkeypatch.setattr(warc, "MOST_HOT", most_hot)
     pages(spark, DATA).write.parquet(f"{tmp_path}/pages.parquet")
     assert sorted((tuple(r) for r in warc.op1_warc(spark, str(tmp_path)).collect()), key=str) == outright(DATA)
 
