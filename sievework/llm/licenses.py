@@ -11,7 +11,7 @@ several notices share a window.
 
 Defined cases: null and short texts match nothing; repeated rows are documents of their own but give equal rows once per
 identifier and text; a null identifier is an identifier; an empty table gives an empty result. Only DataFrame functions are
-used; the template library is of fixed size.
+used; the template library is of fixed size: lines and notices, of the GNU licenses the sentence in which they differ.
 """
 
 from __future__ import annotations
@@ -32,12 +32,26 @@ TEMPLATES = {
     "MIT-line": "Released under the MIT License.",
     "MIT-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "GPL-notice": "under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "LGPL-notice": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "AGPL-notice": "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "GFDL-notice": "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License",
     "BSD-notice": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "BSD-3-Clause-notice": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "ISC-notice": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC0-1.0-notice": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+    "Unlicense-notice": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "EPL-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "BSL-1.0-line": "Distributed under the Boost Software License, Version 1.0.",
+    "BSL-1.0-notice": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so",
+    "Zlib-notice": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+    "WTFPL-notice": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+    "OFL-1.1-line": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
 }
 
 
@@ -118,4 +132,23 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-SQL = None  # tests compare with containment at every position, counted outright
+def _rows(templates: dict[str, str]) -> str:
+    quoted = [tuple("'" + x.replace("'", "''") + "'" for x in item) for item in sorted(templates.items())]
+    return ", ".join(f"({name}, {body})" for name, body in quoted)
+
+
+#: Containment of every template in every window, counted outright.
+SQL = rf"""
+WITH known(license, body) AS (VALUES {_rows(TEMPLATES)}),
+cut AS (SELECT license, list_filter(regexp_split_to_array(lower(body), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM known),
+want AS (SELECT DISTINCT license, greatest(3, CAST(ceil(log2(len(w))) AS INTEGER)) AS klass, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS gram FROM (SELECT license, w, unnest(range(1, len(w) - {SHINGLE - 2})) AS i FROM cut)),
+sizes AS (SELECT license, count(*) AS n FROM want GROUP BY license),
+texts AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents)),
+grams AS (SELECT r, doc_id, i - 1 AS pos, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS gram FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - {SHINGLE - 2})) AS i FROM texts WHERE len(w) >= {SHINGLE})),
+hits AS (SELECT *, pos // (1 << (klass - 1)) AS last FROM grams JOIN want USING (gram)),
+windows AS (SELECT *, unnest(range(greatest(0, last - 2), last + 1)) AS k FROM hits),
+shares AS (SELECT r, doc_id, license, k, count(DISTINCT gram) AS have, min(pos) AS first_word, max(pos) + {SHINGLE - 1} AS last_word FROM windows GROUP BY r, doc_id, license, k)
+SELECT doc_id, license, have / n::DOUBLE AS containment, CAST(first_word AS INTEGER) AS first_word, CAST(last_word AS INTEGER) AS last_word
+FROM shares JOIN sizes USING (license) WHERE have / n::DOUBLE >= {CONTAINMENT}
+QUALIFY row_number() OVER (PARTITION BY r, license ORDER BY have DESC, k) = 1
+"""

@@ -28,4 +28,4 @@ def _query(operator):
 
 
 QUERIES = {name: _query(operator) for name, operator in _OPERATORS.items()}
-ORACLE_SQL = {"op1_warc": warc.SQL, "op4_suffix_dedup": repeats.SQL, "op2_ngram_join": ngram_join.SQL, "op3_exact_dedup": exact_dedup.SQL, "op10_mix_sources": mixing.SQL}
+ORACLE_SQL = {"op1_warc": warc.SQL, "op4_suffix_dedup": repeats.SQL, "op2_ngram_join": ngram_join.SQL, "op3_exact_dedup": exact_dedup.SQL, "op9_license_scan": licenses.SQL, "op10_mix_sources": mixing.SQL}

@@ -51,3 +51,10 @@ def test_positions_and_empty(spark):
     r = licenses.scan(table(spark, [(1, text, None, None, None)])).collect()
     assert [tuple(x) for x in r] == [(1, "MIT-line", 1.0, 3, 7)]
     assert licenses.scan(table(spark, [])).count() == 0
+
+
+def test_gnu_licenses_are_told_apart(spark):
+    body = "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU{1} General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    data = [(1, body.format("program", "")), (2, body.format("library", " Lesser")), (3, body.format("program", " Affero"))]
+    got = {(r.doc_id, r.license) for r in licenses.scan(table(spark, [(i, t, None, None, None) for i, t in data])).collect()}
+    assert got == {(1, "GPL-notice"), (2, "LGPL-notice"), (3, "AGPL-notice")}
