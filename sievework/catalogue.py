@@ -550,7 +550,42 @@ def repair_loop(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(i, r["success"], r["error_message"]) for i, r in enumerate(out.records)], "attempt int, success boolean, error_message string")
 
 
-@query("prompt_texts")
+def _prompt_sql() -> str:
+    """The prompts about customer: templates are literals, what they are filled with comes from the table."""
+    numeric = {"c_name": False, "c_nationkey": True, "c_acctbal": True, "c_mktsegment": False}
+
+    def cell(c: str) -> str:
+        return f"coalesce({c}::VARCHAR, 'NaN')"
+
+    def line(f: Callable[[str], str]) -> str:
+        return " || ' ' || ".join(f"lpad({f(c)}, w_{c}, ' ')" for c in numeric)
+
+    def kind(c: str) -> str:
+        return "numeric" if numeric[c] else "categorical/text"
+
+    def examples(c: str) -> str:
+        return f"(SELECT '- {c} ({kind(c)}): examples ' || string_agg(v, ', ' ORDER BY f) FROM (SELECT {c}::VARCHAR AS v, min(c_custkey) AS f FROM customer WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY f LIMIT 3))"
+
+    def described(c: str) -> str:
+        gone = f"{c} IS NULL" if numeric[c] else f"{c} IS NULL OR lower(trim({c})) IN ('', 'na', 'n/a', 'unknown', 'nan', 'none', 'null')"
+        start = f"'- {c} ({kind(c)}): missing ' || round_even(100.0::DOUBLE * count(*) FILTER (WHERE {gone}) / count(*), 2) || '%, distinct ' || count(DISTINCT {c})"
+        if numeric[c]:
+            return f"(SELECT {start} || ', min ' || min({c})::DOUBLE || ', max ' || max({c})::DOUBLE || ', mean ' || round_even(avg({c}), 2) || ', std ' || round_even(stddev_samp({c}), 2) FROM customer)"
+        top = f"(SELECT string_agg(v || ' (' || n || ')', ', ' ORDER BY n DESC, v) FROM (SELECT {c} AS v, count(*) AS n FROM customer WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY n DESC, v LIMIT 3))"
+        return f"(SELECT {start} || ', frequent ' || {top} FROM customer)"
+
+    widths = ", ".join(f"greatest({len(c)}, max(len({cell(c)})))::INTEGER AS w_{c}" for c in numeric)
+    filled = "template"
+    for name, value in (("dataset_sample", "sample"), ("schema_description", "columns"), ("profile_description", "described"), ("input_path", "'in'"), ("output_path", "'out'"), ("previous_script", "''"), ("execution_feedback", "''")):
+        filled = f"replace({filled}, '{{{name}}}', {value})"
+    return f"""WITH first AS (SELECT * FROM customer ORDER BY c_custkey LIMIT 5), widths AS (SELECT {widths} FROM first),
+lines AS (SELECT -1 AS i, {line(_text)} AS line FROM widths UNION ALL SELECT c_custkey, {line(cell)} FROM first, widths),
+about AS (SELECT (SELECT string_agg(line, chr(10) ORDER BY i) FROM lines) AS sample, {" || chr(10) || ".join(map(examples, numeric))} AS columns, {" || chr(10) || ".join(map(described, numeric))} AS described)
+SELECT approach, {_text(prompts.load_system_prompt())} || chr(10) || chr(10) || {filled} AS prompt
+FROM (VALUES {", ".join(f"({_text(a)}, {_text(prompts.load_template(a))})" for a in prompts.APPROACHES)}) AS t(approach, template), about"""
+
+
+@query("prompt_texts", _prompt_sql())
 def prompt_texts(spark: SparkSession, d: str) -> DataFrame:
     """One prompt for each approach."""
     df = load(spark, d, "customer").withColumnRenamed("c_custkey", rows.ROW)
