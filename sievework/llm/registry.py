@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, licenses, mixing, ngram_join, quality, repeats, toxicity, warc
+from . import bpe, exact_dedup, fingerprints, licenses, mixing, ngram_join, pieces, quality, repeats, toxicity, warc
 from .scratch import workers_import
 
 _OPERATORS = {
@@ -16,6 +16,7 @@ _OPERATORS = {
     "op8_quality": quality.op8_quality,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op13_sentencepiece": pieces.op13_sentencepiece,
 }
 
 
