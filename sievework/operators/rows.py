@@ -5,27 +5,58 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import draws
+from ..session import work_folder
 
 ROW = "_row_id"
 #: Hex digits that one pass adds to a bucket's prefix (4,096 buckets), digits of a key, and rows of a bucket that the driver orders.
 _DIGITS, _KEY_DIGITS, _SMALL = 3, 32, 1 << 16
+#: Files up to which their offsets are broadcast (about 100 bytes each).
+_MOST_FILES = 100_000
+
+
+def _plain_scan(df: DataFrame) -> bool:
+    """Whether df is columns of one table of files, each row of a file once: no join, sort, filter or grouping in between."""
+    if "_metadata" in df.columns or not hasattr(df, "_jdf"):
+        return False
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "SubqueryAlias", "View") and node.children().size() == 1:
+        node = node.children().apply(0)
+    return node.nodeName().startswith("LogicalRelation") and "HadoopFsRelation" in node.relation().getClass().getName()
+
+
+def located(df: DataFrame, file: str = "file", place: str = "place") -> DataFrame:
+    """df with each row's place: the file it is in and its number there. The place is read, not counted, so it is the same however
+    often and however the plan runs. A frame that is not a plain scan of files is written once, in its order of rows."""
+    place_columns = F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place)
+    if _plain_scan(df):
+        try:
+            return df.select("*", *place_columns)
+        except AnalysisException:  # files of a kind that has no row numbers
+            pass
+    path = work_folder(df.sparkSession, "rows")
+    columns = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    columns.write.option("compression", "zstd").parquet(path)
+    written = df.sparkSession.read.schema(columns.schema).parquet(path)
+    return written.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(df.columns)), *place_columns)
 
 
 def with_row_id(df: DataFrame, name: str = ROW) -> DataFrame:
-    """Adds row numbers 0..N-1 in scan order, without a shuffle or a sort: each partition's rows are numbered, and the
-    counts of the partitions before it are added. One row per partition reaches the driver."""
-    marked = df.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = {r["__p"]: r["n"] for r in marked.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, offsets = 0, []
-    for p in range(max(counts, default=-1) + 1):
-        offsets.append(before)
-        before += counts.get(p, 0)
-    table = F.split(F.lit(",".join(map(str, offsets or [0]))), ",").cast("array<bigint>")
-    return marked.withColumn(name, F.element_at(table, F.col("__p") + 1) + F.col("__i")).drop("__p", "__i")
+    """Adds row numbers 0..N-1: files by name, rows as they stand in them, without a sort. Each row's number is its place in its file and
+    the rows of the files before; one row per file reaches the driver and goes out again."""
+    placed = located(df, "__file", "__place")
+    sizes = placed.groupBy("__file").agg(F.count(F.lit(1)).alias("n")).toArrow().to_pydict()
+    offsets, before = [], 0
+    for path, n in sorted(zip(sizes["__file"], sizes["n"])):
+        offsets.append((path, before))
+        before += n
+    table = df.sparkSession.createDataFrame(offsets, "__file string, __before bigint")
+    joined = placed.join(F.broadcast(table) if len(offsets) <= _MOST_FILES else table, "__file")
+    return joined.select(*(F.col(f"`{c}`") for c in df.columns), (F.col("__before") + F.col("__place")).alias(name))
 
 
 @dataclass(frozen=True)
