@@ -299,9 +299,14 @@ _RATES = """VALUES ('low', 'missing', 0.05), ('low', 'format', 0.075), ('low', '
   ('high', 'missing', 0.2), ('high', 'format', 0.3), ('high', 'outliers', 0.04), ('high', 'typos', 0.16)"""
 
 
-@query("noise_levels", f"SELECT level, family, rate::DOUBLE AS rate FROM ({_RATES}) AS t(level, family, rate)")
+@query("noise_levels", f"SELECT level, family, trunc((SELECT count(*) FROM orders) * rate::DOUBLE) / (SELECT count(*) FROM orders) AS rate FROM ({_RATES}) AS t(level, family, rate)")
 def noise_levels(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(level, k, v) for level in noise.LEVELS for k, v in noise.rates_for_level(level).items()], "level string, family string, rate double")
+    """Share of cells that each level corrupts, by family, as the logs of orders have it."""
+    names = F.create_map(*[F.lit(x) for pair in (("missing_values", "missing"), ("format_errors", "format"), ("outliers", "outliers"), ("typos", "typos")) for x in pair])
+    logs = [_inject_all(spark, d, level)[1].select(F.lit(level).alias("level"), "error_family", "column") for level in noise.LEVELS]
+    counted = logs[0].unionByName(logs[1]).unionByName(logs[2]).groupBy("level", "error_family").agg((F.count(F.lit(1)) / F.count_distinct("column")).alias("n"))
+    total = load(spark, d, "orders").agg(F.count(F.lit(1)).alias("rows"))
+    return counted.crossJoin(F.broadcast(total)).select("level", F.element_at(names, F.col("error_family")).alias("family"), (F.col("n") / F.col("rows")).alias("rate"))
 
 
 # ---------------------------------------------------------------- cleaning
