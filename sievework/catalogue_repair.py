@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import catalogue as base
 from .catalogue import load, query
-from .operators import clean, ledger, noise, rows
+from .operators import clean, ledger, noise, quantiles, rows
 
 _NUM = base._NUM
 _COLUMNS = ("o_orderstatus", "o_date", "o_orderpriority", "o_custkey", "o_totalprice")
@@ -131,3 +131,39 @@ def noise_level_counts(spark: SparkSession, d: str) -> DataFrame:
     logs = [base._inject_all(spark, d, level)[1].select(F.lit(level).alias("level"), F.col("error_family").alias("family"), "column") for level in noise.LEVELS]
     every = logs[0].unionByName(logs[1]).unionByName(logs[2])
     return every.groupBy("level", "family", "column").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- quantiles
+
+_PRICED = ("l_quantity", "l_extendedprice", "l_discount", "l_partkey")
+_QUARTERS = (0.0, 0.25, 0.5, 0.75, 1.0)
+
+
+@query("quantiles_lineitem", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {q}::DOUBLE AS share, round(quantile_cont({c}::DOUBLE, {q}), 6) AS \"value\" FROM lineitem" for c in _PRICED for q in _QUARTERS))
+def quantiles_lineitem(spark: SparkSession, d: str) -> DataFrame:
+    """Exact quartiles of four columns, selected together."""
+    found = quantiles.quantiles(load(spark, d, "lineitem"), list(_PRICED), list(_QUARTERS))
+    rows_ = [(c, q, v) for c, values in found.items() for q, v in zip(_QUARTERS, values)]
+    return spark.createDataFrame(rows_, "column string, share double, value double").withColumn("value", F.round("value", 6))
+
+
+_FENCES = "(SELECT quantile_cont(l_extendedprice, 0.25) AS a, quantile_cont(l_extendedprice, 0.75) AS b, quantile_cont(l_quantity::DOUBLE, 0.25) AS c, quantile_cont(l_quantity::DOUBLE, 0.75) AS e FROM lineitem)"
+
+
+@query("outlier_bounds_quartiles", f"SELECT l_orderkey, l_linenumber, coalesce(l_extendedprice NOT BETWEEN a - 0.5 * (b - a) AND b + 0.5 * (b - a), false) AS l_extendedprice_outlier, coalesce(l_quantity NOT BETWEEN c - 0.5 * (e - c) AND e + 0.5 * (e - c), false) AS l_quantity_outlier FROM lineitem, {_FENCES}")
+def outlier_bounds_quartiles(spark: SparkSession, d: str) -> DataFrame:
+    items = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+    bounds = clean.outlier_bounds(items, ["l_extendedprice", "l_quantity"], "quartiles", 0.5)
+    return clean.flag_outliers(items, bounds).drop("l_extendedprice", "l_quantity")
+
+
+@query("sketch_quantiles_lineitem", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {q}::DOUBLE AS share, count(*) AS n, true AS within FROM lineitem" for c in _PRICED for q in _QUARTERS))
+def sketch_quantiles_lineitem(spark: SparkSession, d: str) -> DataFrame:
+    """Quantiles of sketches kept per file and merged: whether the rank of each is within one hundredth of what was asked for."""
+    items = load(spark, d, "lineitem")
+    found = quantiles.merged_quantiles(quantiles.sketch(items, list(_PRICED)), list(_QUARTERS))
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in _PRICED])).alias("cell")
+    counted = items.select(cells).select("cell.*").groupBy("column", "x").agg(F.count(F.lit(1)).alias("m"))
+    met = counted.join(F.broadcast(found), "column")  # a row per column and share
+    ranks = met.groupBy("column", "share", "n").agg(F.sum(F.when(F.col("x") < F.col("value"), F.col("m")).otherwise(0)).alias("below"), F.sum(F.when(F.col("x") <= F.col("value"), F.col("m")).otherwise(0)).alias("at_most"))
+    return ranks.select("column", "share", "n", ((F.col("below") / F.col("n") - 0.01 <= F.col("share")) & (F.col("share") <= F.col("at_most") / F.col("n") + 0.01)).alias("within"))
