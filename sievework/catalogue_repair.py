@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from . import catalogue as base
 from .catalogue import load, query
-from .operators import clean, ledger, noise, quantiles, rows
+from .operators import clean, incremental, ledger, noise, quantiles, rows
+from .session import work_folder
 
 _NUM = base._NUM
 _COLUMNS = ("o_orderstatus", "o_date", "o_orderpriority", "o_custkey", "o_totalprice")
@@ -167,3 +168,28 @@ def sketch_quantiles_lineitem(spark: SparkSession, d: str) -> DataFrame:
     met = counted.join(F.broadcast(found), "column")  # a row per column and share
     ranks = met.groupBy("column", "share", "n").agg(F.sum(F.when(F.col("x") < F.col("value"), F.col("m")).otherwise(0)).alias("below"), F.sum(F.when(F.col("x") <= F.col("value"), F.col("m")).otherwise(0)).alias("at_most"))
     return ranks.select("column", "share", "n", ((F.col("below") / F.col("n") - 0.01 <= F.col("share")) & (F.col("share") <= F.col("at_most") / F.col("n") + 0.01)).alias("within"))
+
+
+# ---------------------------------------------------------------- profiles of batches
+
+_MEASURED = [*base._NUMERIC["lineitem"], "l_returnflag"]
+
+
+@query("profile_batches_lineitem", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", 'numeric' AS dtype_detected, round_even(100.0 * count(*) FILTER (WHERE {c} IS NULL) / count(*), 2)::DOUBLE AS pct_missing, min({c})::DOUBLE AS \"min\", max({c})::DOUBLE AS \"max\", round_even(avg({c}), 2)::DOUBLE AS mean, round_even(stddev_samp({c}), 2)::DOUBLE AS std FROM lineitem" for c in base._NUMERIC["lineitem"]
+) + " UNION ALL SELECT 'l_returnflag', 'categorical/text', 0.0, NULL, NULL, NULL, NULL")
+def profile_batches_lineitem(spark: SparkSession, d: str) -> DataFrame:
+    """Three batches profiled one after the other; the profile comes from their stored states."""
+    store = work_folder(spark, "profile_batches")
+    for k in range(3):
+        incremental.add_batch(load(spark, d, "lineitem").filter(F.col("l_orderkey") % 3 == k), store, f"b{k}", _MEASURED)
+    return incremental.profile_of(incremental.states(spark, store)).drop("n_unique", "top_values", "median")
+
+
+@query("profile_batches_orders", "SELECT 'o_orderpriority' AS \"column\", count(DISTINCT o_orderpriority) AS n_unique, (SELECT string_agg(o_orderpriority || ' ' || n, ', ' ORDER BY n DESC, o_orderpriority) FROM (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1)) AS top_values FROM orders")
+def profile_batches_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct and frequent values of a column with few values, for which the merged sketches are exact."""
+    parts = [incremental.state(load(spark, d, "orders").filter(F.col("o_orderkey") % 2 == k), ["o_orderpriority"]) for k in range(2)]
+    made = incremental.profile_of(parts[0].unionByName(parts[1]))
+    best = F.array_sort(F.transform("top_values", lambda x: F.struct((-x["n"]).alias("m"), x["value"].alias("value"), x["n"].alias("n"))))
+    return made.select("column", "n_unique", F.array_join(F.transform(best, lambda x: F.concat_ws(" ", x["value"], x["n"].cast("string"))), ", ").alias("top_values"))

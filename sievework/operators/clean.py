@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from .profile import top_values
+from .frequent import survivors, top_values
 from .quantiles import merged_quantiles, quantiles, sketch
 
 
@@ -109,10 +109,15 @@ def _with_row(df: DataFrame, stats: list[Column]) -> DataFrame:
 
 
 def fill_mode(df: DataFrame, columns) -> DataFrame:
-    """Null becomes the most frequent value, ties by the least. Counted per value, so a wide column needs no large state."""
-    for c in [c for c in columns if c in df.columns]:
-        best = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), c).limit(1).select(F.col(c).alias("__mode"))
-        df = df.join(F.broadcast(best), F.lit(True), "left").withColumn(c, F.coalesce(F.col(c), F.col("__mode"))).drop("__mode")
+    """Null becomes the most frequent value, ties by the least. Only where a sketch cannot tell which that is, and for numbers, are all values counted."""
+    present = [c for c in columns if c in df.columns]
+    text = [c for c in present if dict(df.dtypes)[c] == "string"]
+    best, unsure = survivors(df, text, 1) if text else ({}, [])
+    unsure = [*unsure, *(c for c in present if c not in text)]
+    df = _each(df, best, lambda c: F.coalesce(F.col(c), F.lit(best[c][0][0] if best[c] else None).cast(df.schema[c].dataType)))
+    for c in unsure:
+        top = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), c).limit(1).select(F.col(c).alias("__mode"))
+        df = df.join(F.broadcast(top), F.lit(True), "left").withColumn(c, F.coalesce(F.col(c), F.col("__mode"))).drop("__mode")  # one row
     return df
 
 

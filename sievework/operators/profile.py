@@ -1,7 +1,7 @@
 """Profiles and descriptions of tables.
 
-Text columns are unpivoted to (column, value) and one aggregation counts each value: distinct counts and top values follow from
-it. Numeric columns are unpivoted to numbers and only their distinct values are shuffled. So a table of any width needs one
+Text columns are unpivoted to (column, value) and counted for distinct counts; top values come from sketches and one exact count of what survives
+(frequent.py). Numeric columns are unpivoted to numbers and only their distinct values are shuffled. So a table of any width needs one
 shuffle of each kind. Moments and missing cells come from one wide aggregate.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import is_disguised, is_numeric
+from .frequent import complete_counts, long_form, top_values
 from .rows import ROW
 
 PROFILE_SCHEMA = "column string, dtype_detected string, pct_missing double, n_unique bigint, top_values array<struct<value:string,n:bigint>>, min double, max double, mean double, std double"
@@ -28,23 +29,12 @@ def _numeric(df: DataFrame, c: str):
     return x.cast("int") if isinstance(df.schema[c].dataType, T.BooleanType) else x
 
 
-def long_form(df: DataFrame, columns: list[str], keep: list[str] = ()) -> DataFrame:
-    """place, column, value (string) for every cell, with the columns of keep."""
-    cells = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for i, c in enumerate(columns)])
-    return df.select(*keep, F.explode(cells).alias("cell")).select(*keep, "cell.*")
-
-
-def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """place, column, value, n for every distinct non-null value."""
-    return long_form(df, columns or df.columns).filter(F.col("value").isNotNull()).groupBy("place", "column", "value").agg(F.count(F.lit(1)).alias("n"))
-
-
 def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, found: number of distinct non-null values. Numbers are counted as numbers, the rest as text: one pass of each kind."""
     whole = [c for c in columns if isinstance(df.schema[c].dataType, (T.IntegralType, T.BooleanType))]
     real = [c for c in columns if isinstance(df.schema[c].dataType, T.FractionalType) and not isinstance(df.schema[c].dataType, T.DecimalType)]
     text = [c for c in columns if c not in whole and c not in real]
-    parts = [value_counts(df, text).groupBy("column").agg(F.count(F.lit(1)).alias("found"))] if text else []
+    parts = [complete_counts(df, text).groupBy("column").agg(F.count(F.lit(1)).alias("found"))] if text else []
     for names, kind in ((whole, "bigint"), (real, "double")):
         if names:
             cells = F.array(*[F.struct(F.lit(i).alias("place"), F.col(c).cast(kind).alias("value")) for i, c in enumerate(names)])
@@ -54,18 +44,6 @@ def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def top_values(df: DataFrame, columns: list[str] | None = None, n: int = 5) -> DataFrame:
-    """column, value, n, rank of the n most frequent values: most frequent first, ties by value.
-
-    Ranks are cut within salted groups first, so that no task orders all values of a column.
-    """
-    counts = value_counts(df, columns).withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(64)))
-    order = [F.desc("n"), F.asc("value")]
-    part = counts.withColumn("r", F.row_number().over(Window.partitionBy("column", "salt").orderBy(*order))).filter(F.col("r") <= n)
-    ranked = part.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(*order)))  # at most 64 * n rows per column
-    return ranked.filter(F.col("rank") <= n).select("place", "column", "value", "n", "rank")
-
-
 def first_examples(df: DataFrame, columns: list[str] | None = None, n: int = 3, row: str = ROW) -> DataFrame:
     """column, value, rank of the first n distinct non-null values in row order."""
     columns = columns or [c for c in df.columns if c != row]
