@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import catalogue as base
 from .catalogue import load, query
-from .operators import clean, incremental, ledger, noise, quantiles, rows
+from .operators import clean, incremental, ledger, nearest, noise, quantiles, rows
 from .session import work_folder
 
 _NUM = base._NUM
@@ -193,3 +193,49 @@ def profile_batches_orders(spark: SparkSession, d: str) -> DataFrame:
     made = incremental.profile_of(parts[0].unionByName(parts[1]))
     best = F.array_sort(F.transform("top_values", lambda x: F.struct((-x["n"]).alias("m"), x["value"].alias("value"), x["n"].alias("n"))))
     return made.select("column", "n_unique", F.array_join(F.transform(best, lambda x: F.concat_ws(" ", x["value"], x["n"].cast("string"))), ", ").alias("top_values"))
+
+
+# ---------------------------------------------------------------- cleaning that looks at the whole column
+
+_CODES = "(SELECT o_orderkey, substr(md5(o_orderkey::VARCHAR), 1, 10) AS code FROM orders)"
+_CODE_TYPOS = base._typo_text("orders", "o_orderkey", "code", 0.02, _CODES)
+
+
+def _codes(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "orders").select("o_orderkey", F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 10).alias("code"))
+
+
+@query("harmonize_known_orders", f"""WITH known AS (SELECT lower(trim(code)) AS target, min(code) AS code FROM {_CODES} GROUP BY 1),
+noisy AS (SELECT o_orderkey, CASE WHEN hit_code THEN {_CODE_TYPOS.value} ELSE code END AS code FROM ({_CODE_TYPOS.source})), own AS (SELECT DISTINCT code, lower(trim(code)) AS own FROM noisy),
+same AS (SELECT own.code, known.code AS to_code FROM own JOIN known ON own = target),
+rest AS MATERIALIZED (SELECT code, own FROM own ANTI JOIN known ON own = target), measured AS (SELECT rest.code, known.code AS to_code, levenshtein(own, target) AS d FROM rest JOIN known ON abs(len(own) - len(target)) <= 2),
+near AS (SELECT code, arg_min(to_code, (d, to_code)) AS to_code FROM measured WHERE d <= 2 GROUP BY code)
+SELECT o_orderkey, coalesce(same.to_code, near.to_code, noisy.code) AS code FROM noisy LEFT JOIN same USING (code) LEFT JOIN near USING (code)""")
+def harmonize_known_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Misspelled codes towards as many known codes as there are orders."""
+    noisy = noise.inject_typos(_codes(spark, d), ["code"], [], rate=0.02, row="o_orderkey")[0]
+    return nearest.harmonise_known(noisy, "code", _codes(spark, d).select("code"))
+
+
+_MONTH_FIRST = "(SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 7 = 0 THEN strftime(o_orderdate, '%d-%b-%Y') ELSE strftime(o_orderdate, '%m/%d/%Y') END AS american, strftime(o_orderdate, '%d/%m/%Y') AS european FROM orders)"
+
+
+@query("date_by_evidence", f"SELECT o_orderkey, strftime(coalesce(try_strptime(american, '%Y-%m-%d'), try_strptime(american, '%m/%d/%Y'), try_strptime(american, '%d-%b-%Y')), '%Y-%m-%d') AS american, strftime(strptime(european, '%d/%m/%Y'), '%Y-%m-%d') AS european FROM {_MONTH_FIRST}")
+def date_by_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Two columns of dates, one with the month in front and one with the day, each read as its own unambiguous cells say."""
+    key, date = F.col("o_orderkey"), F.col("o_orderdate")
+    american = F.when(key % 5 == 0, F.date_format(date, "yyyy-MM-dd")).when(key % 7 == 0, F.date_format(date, "dd-MMM-yyyy")).otherwise(F.date_format(date, "MM/dd/yyyy"))
+    return clean.unify_dates_by_evidence(load(spark, d, "orders").select(key, american.alias("american"), F.date_format(date, "dd/MM/yyyy").alias("european")), ["american", "european"])
+
+
+@query("date_evidence_counts", f"SELECT c AS \"column\", count(*) FILTER (WHERE a BETWEEN 13 AND 31 AND b BETWEEN 1 AND 12) AS day_first, count(*) FILTER (WHERE b BETWEEN 13 AND 31 AND a BETWEEN 1 AND 12) AS month_first FROM (SELECT 'o_date' AS c, try_cast(v[1:2] AS INT) AS a, try_cast(v[4:5] AS INT) AS b FROM (SELECT CASE WHEN regexp_full_match(o_date, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}') THEN o_date END AS v FROM ({base._NOISY_DATE}))) GROUP BY c")
+def date_evidence_counts(spark: SparkSession, d: str) -> DataFrame:
+    """What the noisy dates of orders say about their order of day and month."""
+    return clean.date_evidence(base._noisy_dates(spark, d), ["o_date"])
+
+
+@query("cleaning_report_observed", base.ORACLE_SQL["cleaning_report"])
+def cleaning_report_observed(spark: SparkSession, d: str) -> DataFrame:
+    """The report of a cleaning, counted while its result is written."""
+    folder = work_folder(spark, "observed")
+    return clean.write_and_report(base.disguised_to_null(spark, d), lambda df: clean.drop_missing_rows(df, ["c_mktsegment"]), lambda df: df.write.parquet(folder))

@@ -79,17 +79,27 @@ def parse_long_date(c: Column | str) -> Column:
 DATE_FORMS = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "MMMM dd, yyyy", "dd-MMM-yyyy", "yyyy/MM/dd")
 
 
-def parse_date(c: Column | str) -> Column:
+#: The same with month before day: for columns whose unambiguous cells say so.
+MONTH_FIRST_FORMS = ("yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "MMMM dd, yyyy", "dd-MMM-yyyy", "yyyy/MM/dd")
+
+
+def parse_date(c: Column | str, month_first: bool = False) -> Column:
     """A timestamp from any of DATE_FORMS, an ISO date-time, or epoch seconds."""
     text = strip(column(c).cast("string"))
     epoch = F.when(text.rlike(r"^-?\d{1,12}$"), F.timestamp_seconds(text.try_cast("bigint")))
-    forms = [F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMS]
+    forms = [F.try_to_timestamp(text, F.lit(f)) for f in (MONTH_FIRST_FORMS if month_first else DATE_FORMS)]
     date_time = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:"), F.try_to_timestamp(text))
     return F.coalesce(*forms, epoch, date_time)
 
 
-def iso_date(c: Column | str) -> Column:
-    return F.date_format(parse_date(c), "yyyy-MM-dd")
+def day_and_month(c: Column | str) -> tuple[Column, Column]:
+    """The first and second number of a date like 03/04/2015, as they stand; null for every other form."""
+    text = strip(column(c).cast("string"))
+    return tuple(F.regexp_extract(text, r"^(\d{2})/(\d{2})/\d{4}$", k).try_cast("int") for k in (1, 2))  # type: ignore[return-value]
+
+
+def iso_date(c: Column | str, month_first: bool = False) -> Column:
+    return F.date_format(parse_date(c, month_first), "yyyy-MM-dd")
 
 
 def rename_values(c: Column | str, names: dict[str, str]) -> Column:

@@ -6,9 +6,11 @@ values) compute it in one aggregate of fixed size and join it back as one broadc
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import values as V
@@ -45,6 +47,28 @@ def unify_dates(df: DataFrame, columns) -> DataFrame:
     return _each(df, columns, V.iso_date)
 
 
+def date_evidence(df: DataFrame, columns) -> DataFrame:
+    """column, day_first, month_first: how many cells can only be read with the day, or only with the month, in front. One aggregate."""
+    present = [c for c in columns if c in df.columns]
+    counts = []
+    for i, c in enumerate(present):
+        first, second = V.day_and_month(f"`{c}`")
+        counts += [F.count_if(first.between(13, 31) & second.between(1, 12)).alias(f"d{i}"), F.count_if(first.between(1, 12) & second.between(13, 31)).alias(f"m{i}")]
+    if not present:
+        return df.sparkSession.createDataFrame([], "column string, day_first bigint, month_first bigint")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("day_first"), F.col(f"m{i}").alias("month_first")) for i, c in enumerate(present)])
+    return df.agg(*counts).select(F.explode(cells).alias("x")).select("x.*")
+
+
+def unify_dates_by_evidence(df: DataFrame, columns) -> DataFrame:
+    """ISO dates; where day and month could be exchanged a column's other cells decide for all of it, the day in front if they are even.
+
+    Cells that the column's choice cannot read are read the other way.
+    """
+    found = {r["column"]: r["month_first"] > r["day_first"] for r in date_evidence(df, columns).collect()}  # a row per column
+    return _each(df, list(found), lambda c: V.iso_date(c, found[c]))
+
+
 def rename_values(df: DataFrame, columns, names: dict[str, str]) -> DataFrame:
     return _each(df, columns, lambda c: V.rename_values(c, names))
 
@@ -68,11 +92,14 @@ def clip(df: DataFrame, bounds: dict[str, tuple]) -> DataFrame:
 
 
 def drop_duplicate_rows(df: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:
-    """One row of each group of equal rows (null equals null); columns of ignore do not count and keep their least value."""
+    """One row of each group of equal rows (null equals null); columns of ignore do not count, and of these the row with the least values stays."""
     columns = [c for c in df.columns if c not in ignore]
-    if not ignore:
+    rest = [c for c in ignore if c in df.columns]
+    if not rest:
         return df.dropDuplicates()
-    return df.groupBy(*columns).agg(*(F.min(c).alias(c) for c in ignore if c in df.columns)).select(*df.columns)
+    if not columns:
+        return df.orderBy(*rest).limit(1)
+    return df.groupBy(*(F.col(f"`{c}`") for c in columns)).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in rest))).alias("__least")).select(*(F.col(f"__least.`{c}`") if c in rest else F.col(f"`{c}`") for c in df.columns))
 
 
 def keep_positive_sum(df: DataFrame, columns: tuple[str, ...] = ("adults", "children", "babies")) -> DataFrame:
@@ -217,3 +244,24 @@ def report(before: DataFrame, after: DataFrame) -> DataFrame:
         return row.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
 
     return long(before, "before").unionByName(long(after, "after"))
+
+
+def _metrics(df: DataFrame, columns: list[str]) -> list[Column]:
+    return [F.count(F.lit(1)).alias("rows"), *(F.count_if(F.col(f"`{c}`").isNull()).alias(f"null{i}") for i, c in enumerate(columns))]
+
+
+def write_and_report(before: DataFrame, cleaning: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame], object]) -> DataFrame:
+    """Writes the cleaned table and returns what `report` returns, counted while it was written: the plan runs once.
+
+    What a cleaning step has to know beforehand (a mode, a median) is still its own pass.
+    """
+    spark, columns = before.sparkSession, list(before.columns)
+    into, out = Observation(f"before-{uuid.uuid4().hex}"), Observation(f"after-{uuid.uuid4().hex}")
+    cleaned = cleaning(before.observe(into, *_metrics(before, columns)))
+    shared = [c for c in columns if c in cleaned.columns]
+    sink(cleaned.observe(out, *_metrics(cleaned, shared)))
+    rows = []
+    for when, seen, names in (("before", into.get, columns), ("after", out.get, shared)):
+        rows.append((f"rows_{when}", None, seen["rows"]))
+        rows += [(f"null_{when}", c, seen[f"null{i}"]) for i, c in enumerate(names) if c in shared]
+    return spark.createDataFrame(rows, "metric string, column string, value bigint")

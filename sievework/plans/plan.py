@@ -20,6 +20,7 @@ STEPS = {
     "impute": (clean.impute, {"columns", "most_missing"}),
     "parse_long_dates": (clean.parse_long_dates, {"columns"}),
     "unify_dates": (clean.unify_dates, {"columns"}),
+    "unify_dates_by_evidence": (clean.unify_dates_by_evidence, {"columns"}),
     "rename_values": (clean.rename_values, {"columns", "names"}),
     "title_case": (clean.title_case, {"columns"}),
     "normalise_text": (clean.normalise_text, {"columns", "case"}),
@@ -35,7 +36,7 @@ STEPS = {
     "harmonise": (clean.harmonise, {"column", "n", "distance"}),
 }
 #: The seven kinds of step that a constrained plan may use.
-CONSTRAINED = frozenset({"drop_missing_rows", "fill_constant", "fill_mode", "fill_median", "drop_duplicate_rows", "unify_dates", "parse_long_dates", "normalise_text", "rename_values", "to_number", "to_whole", "keep_between"})
+CONSTRAINED = frozenset({"drop_missing_rows", "fill_constant", "fill_mode", "fill_median", "drop_duplicate_rows", "unify_dates", "unify_dates_by_evidence", "parse_long_dates", "normalise_text", "rename_values", "to_number", "to_whole", "keep_between"})
 
 
 class PlanError(ValueError):
