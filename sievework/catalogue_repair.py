@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import catalogue as base
 from .catalogue import load, query
 from .operators import clean, incremental, ledger, nearest, noise, quantiles, rows
+from .plans import execute, planner
+from .plans.loop import run_loop
+from .plans.plan import CleaningPlan, Step
+from .plans.resume import Prefixes
 from .session import work_folder
 
 _NUM = base._NUM
@@ -239,3 +245,71 @@ def cleaning_report_observed(spark: SparkSession, d: str) -> DataFrame:
     """The report of a cleaning, counted while its result is written."""
     folder = work_folder(spark, "observed")
     return clean.write_and_report(base.disguised_to_null(spark, d), lambda df: clean.drop_missing_rows(df, ["c_mktsegment"]), lambda df: df.write.parquet(folder))
+
+
+# ---------------------------------------------------------------- plans
+
+_TRIED = {"title_case": {}, "fill_median": {}, "unify_dates": {}, "fill_constant": {"value": "none"}, "to_whole": {}, "clip": {"bounds": [5, 1]}}
+
+
+def _refusals(spark: SparkSession, d: str, table: str) -> DataFrame:
+    df, found = load(spark, d, table), []
+    for c in df.columns:
+        for name, args in _TRIED.items():
+            own = {"bounds": {c: args["bounds"]}} if "bounds" in args else {"columns": [c], **args}
+            for p in CleaningPlan([Step("fill_mode", {"columns": [c]}), Step(name, own)]).problems(df.schema):
+                found.append((c, p.step, p.name, p.reason))
+    return spark.createDataFrame(found, "column string, step int, name string, reason string")
+
+
+def _refusals_sql(table: str) -> str:
+    kind = "CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' ELSE 'timestamp_ntz' END"
+    number = "kind IN ('bigint', 'int', 'double')"
+    parts = [
+        ("title_case", "kind <> 'string'", "c || ' is ' || kind || ', and text is needed'"),
+        ("fill_median", f"NOT {number}", "c || ' is ' || kind || ', and a number is needed'"),
+        ("unify_dates", number, "c || ' is ' || kind || ', and text or a date is needed'"),
+        ("fill_constant", "kind <> 'string'", "c || ' is ' || kind || ' and cannot be filled with ' || chr(39) || 'none' || chr(39)"),
+        ("clip", "true", f"CASE WHEN {number} THEN 'the bounds of ' || c || ' leave nothing between 5 and 1' ELSE c || ' is ' || kind || ', and a number is needed' END"),
+    ]
+    cells = " UNION ALL ".join(f"SELECT c AS \"column\", 2::INTEGER AS step, '{name}' AS name, {reason} AS reason FROM t WHERE {test}" for name, test, reason in parts)
+    return f"WITH t AS (SELECT column_name AS c, {kind} AS kind FROM (DESCRIBE {table})) {cells}"
+
+
+@query("plan_refusals_orders", _refusals_sql("orders"))
+def plan_refusals_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Steps that are refused for each column's type, with number and reason; no job runs."""
+    return _refusals(spark, d, "orders")
+
+
+_BROKEN = [Step("normalise_text", {"columns": ["c_mktsegment"], "case": "lower"}), Step("disguised_to_null", {"columns": ["c_mktsegment"]}), Step("rename_values", {"columns": ["c_mktsegment"], "names": {"machinery": ["machines"]}})]
+_MENDED = [*_BROKEN[:2], Step("rename_values", {"columns": ["c_mktsegment"], "names": {"machinery": "machines"}}), Step("fill_constant", {"columns": ["c_mktsegment"], "value": "none given"})]
+
+
+@query("repair_resumed_customer", f"SELECT c_custkey, CASE coalesce(lower(trim(c_mktsegment)), 'none given') WHEN 'machinery' THEN 'machines' ELSE coalesce(lower(trim(c_mktsegment)), 'none given') END AS c_mktsegment, 4::BIGINT AS steps_run FROM ({base._HOLES})")
+def repair_resumed_customer(spark: SparkSession, d: str) -> DataFrame:
+    """A plan that breaks in its third step and its repair: the table, and how many steps ran in all (two of the first plan, two of the second)."""
+    noisy = base._noisy_customer(spark, d)[0].withColumnRenamed("c_custkey", rows.ROW)
+
+    class Twice(planner.RulePlanner):
+        def plan(self, prompt: str = "") -> str:
+            return CleaningPlan(_MENDED if "What happened" in prompt else _BROKEN).to_json()
+
+    folder, kept = work_folder(spark, "resumed"), Prefixes(spark, f"{d}/customer noisy {json.dumps(noisy.dtypes)}")
+    run_loop(spark, noisy, Twice(noisy), lambda df: df.write.mode("overwrite").parquet(folder), prefixes=kept)
+    return spark.read.parquet(folder).withColumnRenamed(rows.ROW, "c_custkey").withColumn("steps_run", F.lit(len(kept.ran)).cast("bigint"))
+
+
+@query("plan_own_session", f"SELECT c_custkey, coalesce(lower(trim(c_mktsegment)), 'none given') AS c_mktsegment, true AS kept FROM ({base._HOLES})")
+def plan_own_session(spark: SparkSession, d: str) -> DataFrame:
+    """A plan whose sink changes settings: the table, and whether this session's are as they were."""
+    folder, before = work_folder(spark, "own"), spark.conf.get("spark.sql.session.timeZone")
+
+    def sink(df: DataFrame) -> None:
+        df.sparkSession.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        df.write.parquet(folder)
+
+    record = execute.run_plan(spark, base._PLAN, base._noisy_customer(spark, d)[0], sink)
+    if not record["success"]:
+        raise RuntimeError(record["error_message"])
+    return spark.read.parquet(folder).withColumn("kept", F.lit(spark.conf.get("spark.sql.session.timeZone") == before))

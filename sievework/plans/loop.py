@@ -12,6 +12,7 @@ from ..operators.rows import ROW
 from .execute import run_plan
 from .planner import Planner
 from .prompts import build_prompt, build_validation_prompt
+from .resume import Prefixes
 
 
 @dataclass
@@ -22,15 +23,15 @@ class Outcome:
     failed: list[str] = field(default_factory=list)
 
 
-def run_loop(spark: SparkSession, df: DataFrame, planner: Planner, sink: Callable[[DataFrame], object], input_path: str = "", output_path: str = "", max_attempts: int = 3, timeout: float = 120, save_to: str | Path | None = None, row: str = ROW) -> Outcome:
+def run_loop(spark: SparkSession, df: DataFrame, planner: Planner, sink: Callable[[DataFrame], object], input_path: str = "", output_path: str = "", max_attempts: int = 3, timeout: float = 120, save_to: str | Path | None = None, row: str = ROW, prefixes: Prefixes | None = None) -> Outcome:
     """At most max_attempts runs and as many plans: after the last failure none is asked for.
 
-    Failed plans are kept, and written to save_to/failed; the one that worked to save_to/generated.
+    With prefixes, a plan begins where it departs from those before it. Failed plans are kept, and written to save_to/failed; the one that worked to save_to/generated.
     """
     plan = planner.plan(build_prompt(df, "simple", input_path, output_path, row=row))
     out = Outcome(False, plan)
     for attempt in range(1, max_attempts + 1):
-        record = run_plan(spark, plan, df, sink, timeout)
+        record = run_plan(spark, plan, df, sink, timeout, prefixes=prefixes)
         out.records.append(record)
         out.plan = plan
         if record["success"]:

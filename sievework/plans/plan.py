@@ -6,8 +6,10 @@ import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from ..operators import clean
+from .typed import Known, Problem, follow
 
 #: Step name -> (operator, argument names).
 STEPS = {
@@ -78,6 +80,19 @@ class CleaningPlan:
                 if named and not set(named) & set(columns):
                     raise PlanError(f"step {s.name!r} names no column of the table")
 
+    def problems(self, schema: StructType) -> list[Problem]:
+        """What a symbolic run over the types finds wrong; nothing is executed."""
+        return follow(self.steps, schema)[1]
+
+    def schema_after(self, schema: StructType) -> dict[str, Known]:
+        """Type and nullability of each column after all steps."""
+        return follow(self.steps, schema)[0]
+
+    def check_types(self, schema: StructType) -> None:
+        """Refuses a plan with problems, naming the first step and why."""
+        if found := self.problems(schema):
+            raise PlanError("; ".join(map(str, found)))
+
     def apply(self, df: DataFrame, allowed: frozenset[str] | None = None) -> DataFrame:
         """The compiled chain; the result has the columns of df, no more and no fewer."""
         self.check(None, allowed)
