@@ -15,6 +15,7 @@ from .plans.loop import run_loop
 from .plans.plan import CleaningPlan, Step
 from .plans.resume import Prefixes
 from .session import work_folder
+from .sources import tables
 
 _NUM = base._NUM
 _COLUMNS = ("o_orderstatus", "o_date", "o_orderpriority", "o_custkey", "o_totalprice")
@@ -313,3 +314,71 @@ def plan_own_session(spark: SparkSession, d: str) -> DataFrame:
     if not record["success"]:
         raise RuntimeError(record["error_message"])
     return spark.read.parquet(folder).withColumn("kept", F.lit(spark.conf.get("spark.sql.session.timeZone") == before))
+
+
+# ---------------------------------------------------------------- sources
+
+
+@query("csv_round_trip_documents", f"SELECT doc_id, CASE WHEN text IN ({base._na}) THEN NULL ELSE text END AS text FROM documents")
+def csv_round_trip_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts, with their line breaks and quotes, through a CSV that is found to have them."""
+    path = work_folder(spark, "csv_documents")
+    tables.write_csv(load(spark, d, "documents").select("doc_id", "text"), path)
+    return tables.read_csv(spark, path, "doc_id bigint, text string")
+
+
+@query("csv_typed_orders", "SELECT o_orderkey, o_custkey, o_orderstatus, round_even(o_totalprice * 100, 0)::BIGINT AS o_totalprice, o_orderpriority FROM orders")
+def csv_typed_orders(spark: SparkSession, d: str) -> DataFrame:
+    """A CSV without line breaks in cells, read in splits; types are found."""
+    path = work_folder(spark, "csv_orders")
+    tables.write_csv(load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"), path)
+    return tables.read_csv(spark, path).withColumn("o_totalprice", F.bround(F.col("o_totalprice") * 100, 0).cast("bigint"))
+
+
+# ---------------------------------------------------------------- the workflow on all columns of bookings
+
+
+def _bookings() -> dict[str, str]:
+    """Columns of a bookings table from orders, in SQL that both engines read; k is a row's number below 4,000, so rows repeat."""
+    month = "CASE k % 4 WHEN 0 THEN 'July' WHEN 1 THEN 'August' WHEN 2 THEN 'January' ELSE 'March' END"
+    text = lambda x: f"CAST({x} AS STRING)"
+    return {
+        "hotel": "CASE WHEN k % 3 = 0 THEN 'City Hotel' ELSE 'Resort Hotel' END", "is_canceled": "k % 2",
+        "lead_time": f"CASE WHEN k % 11 = 0 THEN '1O' || {text('k % 7')} WHEN k % 13 = 0 THEN '12kg' WHEN k % 17 = 0 THEN NULL ELSE {text('k % 400')} END",
+        "arrival_date_year": "2015 + k % 3", "arrival_date_month": month, "arrival_date_week_number": "k % 53 + 1", "arrival_date_day_of_month": "k % 28 + 1",
+        "stays_in_weekend_nights": f"CASE WHEN k % 19 = 0 THEN NULL ELSE {text('k % 21 - 2')} END", "stays_in_week_nights": f"{text('k % 70 - 3')} || CASE WHEN k % 23 = 0 THEN '.0' ELSE '' END",
+        "adults": f"CASE WHEN k % 29 = 0 THEN 'O' ELSE {text('k % 6')} END", "children": f"CASE WHEN k % 5 = 0 THEN NULL WHEN k % 7 = 0 THEN '1.0' ELSE {text('k % 3')} END", "babies": f"{text('k % 16 - 1')}",
+        "meal": "CASE k % 7 WHEN 0 THEN 'BB' WHEN 1 THEN 'HB' WHEN 2 THEN 'FB' WHEN 3 THEN 'SC' WHEN 4 THEN 'Undefined' WHEN 5 THEN NULL ELSE 'Picnic' END",
+        "country": "CASE WHEN k % 10 = 0 THEN NULL ELSE 'C' || CAST(k % 30 AS STRING) END", "market_segment": "CASE k % 3 WHEN 0 THEN 'online TA' WHEN 1 THEN 'OFFLINE ta/to' ELSE 'groups' END",
+        "distribution_channel": "CASE k % 3 WHEN 0 THEN 'ta/TO' WHEN 1 THEN 'DIRECT' ELSE 'corporate' END", "is_repeated_guest": "k % 2", "previous_cancellations": "k % 4", "previous_bookings_not_canceled": "k % 5",
+        "reserved_room_type": "CASE WHEN k % 2 = 0 THEN 'A' ELSE 'D' END", "assigned_room_type": "CASE WHEN k % 3 = 0 THEN 'A' ELSE 'E' END", "booking_changes": "k % 3", "deposit_type": "CASE WHEN k % 9 = 0 THEN 'Non Refund' ELSE 'No Deposit' END",
+        "agent": f"CASE WHEN k % 6 = 0 THEN NULL WHEN k % 8 = 0 THEN 'NULL' ELSE {text('k % 500')} || '.0' END", "company": f"CASE WHEN k % 4 <> 0 THEN NULL ELSE {text('k % 90')} END", "days_in_waiting_list": "k % 100",
+        "customer_type": "CASE k % 3 WHEN 0 THEN 'transient' WHEN 1 THEN 'transient-PARTY' ELSE 'CONTRACT' END", "adr": f"CASE WHEN k % 31 = 0 THEN '75j' WHEN k % 37 = 0 THEN NULL ELSE {text('k % 300')} || '.5' END",
+        "required_car_parking_spaces": "k % 2", "total_of_special_requests": "k % 5", "reservation_status": "CASE WHEN k % 2 = 1 THEN 'Canceled' ELSE 'Check-Out' END",
+        "reservation_status_date": f"CASE k % 5 WHEN 0 THEN '2015-07-01' WHEN 1 THEN NULL ELSE {month} || ' ' || CASE WHEN k % 28 < 9 THEN '0' ELSE '' END || {text('k % 28 + 1')} || ', 2016' END",
+    }
+
+
+_BOOKINGS = _bookings()
+
+
+def _bookings_sql() -> str:
+    number = lambda x: f"CASE WHEN regexp_full_match({x}, '{_NUM}') THEN try_cast(trim({x}) AS DOUBLE) END"
+    whole = lambda x: f"trunc(coalesce({number(x)}, 0))::BIGINT"
+    clip = lambda x, low, high: f"least(greatest({x}, {low}), {high})"
+    cleaned = {c: c for c in _BOOKINGS}
+    cleaned |= {"lead_time": whole("replace(lead_time, 'O', '0')"), "adults": clip(whole("replace(adults, 'O', '0')"), 0, 4), "children": clip(whole("children"), 0, 10), "babies": clip(whole("babies"), 0, 4)}
+    cleaned |= {"stays_in_weekend_nights": clip(whole("stays_in_weekend_nights"), 0, 14), "stays_in_week_nights": clip(whole("stays_in_week_nights"), 0, 50), "agent": whole("agent"), "company": whole("company"), "adr": number("adr")}
+    cleaned |= {c: base._title.format(c=c) for c in ("market_segment", "distribution_channel", "customer_type")}
+    cleaned |= {"meal": "coalesce(CASE meal WHEN 'BB' THEN 'Bed & Breakfast' WHEN 'HB' THEN 'Half Board' WHEN 'FB' THEN 'Full Board' WHEN 'SC' THEN 'Self Catering' WHEN 'Undefined' THEN 'Undefined/SC' ELSE meal END, 'Undefined/SC')", "country": "coalesce(country, 'Unknown')"}
+    cleaned |= {"reservation_status_date": "strftime(try_strptime(reservation_status_date, '%B %d, %Y'), '%Y-%m-%d')"}
+    raw = f"SELECT {', '.join(f'{x} AS {c}' for c, x in _BOOKINGS.items())} FROM (SELECT o_orderkey % 4000 AS k FROM orders)"
+    return f"SELECT * FROM (SELECT DISTINCT {', '.join(f'{x} AS {c}' for c, x in cleaned.items())} FROM ({raw})) WHERE adults + children + babies > 0"
+
+
+@query("workflow_bookings", _bookings_sql())
+def workflow_bookings(spark: SparkSession, d: str) -> DataFrame:
+    """The whole workflow on all 32 columns of bookings: every step has cells to change."""
+    k = load(spark, d, "orders").select((F.col("o_orderkey") % 4000).alias("k"))
+    bookings = k.select(*(F.expr(x).alias(c) for c, x in _BOOKINGS.items()))
+    return clean.hotel_workflow(bookings).withColumn("reservation_status_date", F.date_format("reservation_status_date", "yyyy-MM-dd"))

@@ -115,12 +115,22 @@ def is_numeric(kind: T.DataType) -> bool:
     return isinstance(kind, (T.NumericType, T.BooleanType))
 
 
+#: Fixed value: what opens and closes a block of code in a model's answer.
+FENCE = "```"
+
+
+def _block(opening: str) -> str:
+    """Pattern of a block: its opening mark, its text up to the first fence after that."""
+    return rf"(?s){opening}\s*(.*?){FENCE}"
+
+
 def first_code_block(c: Column | str) -> Column:
     """The first fenced Python block of a text, else its first fenced block, else the text; stripped."""
-    x = column(c)
-    python, bare = F.regexp_extract(x, r"(?s)```python\s*(.*?)```", 1), F.regexp_extract(x, r"(?s)```\s*(.*?)```", 1)
-    has = lambda p: x.rlike(p)
-    return strip(F.when(has(r"(?s)```python\s*.*?```"), python).when(has(r"(?s)```\s*.*?```"), bare).otherwise(x))
+    x, found = column(c), None
+    for opening in (f"{FENCE}python", FENCE):
+        test, inside = x.rlike(_block(opening)), F.regexp_extract(x, _block(opening), 1)
+        found = F.when(test, inside) if found is None else found.when(test, inside)
+    return strip(found.otherwise(x))
 
 
 def last_line(c: Column | str) -> Column:

@@ -3,33 +3,39 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.values import NUMBER
 from ..operators.clean import na_to_null
 
-_READ = {"header": "true", "escape": '"', "multiLine": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+_READ = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 _WRITE = {"header": "true", "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = True) -> DataFrame:
+def has_breaks_in_cells(spark: SparkSession, path: str) -> bool:
+    """Whether a cell of a CSV holds a line break: only then does a line have an odd number of quotes. A scan of lines in splits, which ends
+    at the first one found."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).limit(1).isEmpty()
+
+
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool | None = None) -> DataFrame:
     """A CSV with a header. Text that stands for null becomes null before types are inferred.
 
-    With a schema the file is scanned once and, if cells hold no line breaks (multi_line=False), in splits.
+    Files are read in splits unless cells hold line breaks; multi_line says so beforehand, and None has it checked. With a schema and a
+    known multi_line the file is scanned once; without a schema one aggregate finds the types first.
     """
-    options = _READ | {"multiLine": str(multi_line).lower()}
+    if multi_line is None:
+        multi_line = has_breaks_in_cells(spark, path)
+    text = na_to_null(spark.read.options(**_READ | {"multiLine": str(multi_line).lower()}).csv(path))
     if schema:
         wanted = spark.createDataFrame([], schema).schema
-        text = na_to_null(spark.read.options(**options).csv(path))
         return text.select(*(text[f.name].try_cast(f.dataType).alias(f.name) for f in wanted))
-    text = na_to_null(spark.read.options(**options).csv(path))
     return infer_types(text)
 
 
 def infer_types(df: DataFrame) -> DataFrame:
     """Text columns whose every value is a whole number, a number or a boolean get that type; one aggregate decides."""
-    from pyspark.sql import functions as F
-
-    from ..functions.values import NUMBER
-
     tests = []
     for i, c in enumerate(df.columns):
         x = F.col(f"`{c}`")
