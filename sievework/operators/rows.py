@@ -19,28 +19,31 @@ _DIGITS, _KEY_DIGITS, _SMALL = 3, 32, 1 << 16
 _MOST_FILES = 100_000
 
 
-def _plain_scan(df: DataFrame) -> bool:
-    """Whether df is columns of one table of files, each row of a file once: no join, sort, filter or grouping in between."""
+def plain_scan(df: DataFrame, whole: bool = True) -> bool:
+    """Whether df is columns of one table of files, each row of a file once, or (not whole) at most once: no join, sort or grouping in
+    between, and nothing that comes out differently each time."""
     if "_metadata" in df.columns or not hasattr(df, "_jdf"):
         return False
     node = df._jdf.queryExecution().analyzed()
-    while node.nodeName() in ("Project", "SubqueryAlias", "View") and node.children().size() == 1:
+    between = ("Project", "SubqueryAlias", "View") if whole else ("Project", "SubqueryAlias", "View", "Filter")
+    while node.nodeName() in between and node.deterministic() and node.children().size() == 1:
         node = node.children().apply(0)
     return node.nodeName().startswith("LogicalRelation") and "HadoopFsRelation" in node.relation().getClass().getName()
 
 
-def located(df: DataFrame, file: str = "file", place: str = "place") -> DataFrame:
+def located(df: DataFrame, file: str = "file", place: str = "place", whole: bool = False, folder: str | None = None) -> DataFrame:
     """df with each row's place: the file it is in and its number there. The place is read, not counted, so it is the same however
-    often and however the plan runs. A frame that is not a plain scan of files is written once, in its order of rows."""
+    often and however the plan runs. A frame that does not come straight from files is written once, in its order of rows, to
+    `folder` or a new one; with whole, so is one that leaves out rows of a file, and numbers have no gaps."""
     place_columns = F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place)
-    if _plain_scan(df):
+    if plain_scan(df, whole):
         try:
             return df.select("*", *place_columns)
         except AnalysisException:  # files of a kind that has no row numbers
             pass
-    path = work_folder(df.sparkSession, "rows")
+    path = folder or work_folder(df.sparkSession, "rows")
     columns = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
-    columns.write.option("compression", "zstd").parquet(path)
+    columns.write.mode("overwrite").option("compression", "zstd").parquet(path)
     written = df.sparkSession.read.schema(columns.schema).parquet(path)
     return written.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(df.columns)), *place_columns)
 
@@ -48,7 +51,7 @@ def located(df: DataFrame, file: str = "file", place: str = "place") -> DataFram
 def with_row_id(df: DataFrame, name: str = ROW) -> DataFrame:
     """Adds row numbers 0..N-1: files by name, rows as they stand in them, without a sort. Each row's number is its place in its file and
     the rows of the files before; one row per file reaches the driver and goes out again."""
-    placed = located(df, "__file", "__place")
+    placed = located(df, "__file", "__place", whole=True)
     sizes = placed.groupBy("__file").agg(F.count(F.lit(1)).alias("n")).toArrow().to_pydict()
     offsets, before = [], 0
     for path, n in sorted(zip(sizes["__file"], sizes["n"])):
