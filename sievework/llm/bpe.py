@@ -1,10 +1,9 @@
 """Byte-level BPE encoding and decoding over a table of distinct words.
 
 Spark splits the texts into words (a word here is a piece of the tokenizer's own pre-tokenisation), counts them and writes
-a table of distinct words; each is encoded once. The ids go back to the words of a text by position. The table that
-travels for this holds the most frequent words up to a fixed number and size, so it is bounded; words beyond it
-are rare and are encoded once per batch of texts that has them. Decoding joins ids with the vocabulary's pieces, a
-table of fixed size.
+a table of distinct words. The most frequent ones, up to a fixed number and size, are encoded once and travel to all tasks; words
+beyond these are encoded once per batch of texts that has them. The ids go back to the words of a text by position.
+Decoding looks each id up among the vocabulary's pieces, a table of fixed size that every task has.
 
 Defined cases: a null text is an empty text and has no tokens; the text of a special token is that token, as in the
 tokenizers library; words of any length are encoded whole; repeated rows and null identifiers are documents of their own; an
@@ -106,18 +105,29 @@ def word_table(docs: DataFrame, vocabulary, scratch: Scratch, text_col: str = "t
     return scratch.write(words, "words")
 
 
-def least_count(counted: DataFrame, most_words: int, most_bytes: int) -> int:
-    """The smallest count from which at most most_words words of at most most_bytes bytes in all remain; from a histogram of counts,
-    not by sorting words."""
-    top = 1 << 20
-    rows = counted.groupBy(F.least("n", F.lit(top)).alias("n")).agg(F.count(F.lit(1)).alias("words"), F.sum(F.octet_length("word")).alias("bytes")).collect()
-    words, size, least = most_words, most_bytes, top + 1
-    for r in sorted(rows, key=lambda r: -r["n"]):
-        words, size = words - r["words"], size - r["bytes"]
-        if words < 0 or size < 0:
-            break
-        least = r["n"]
-    return least
+def most_frequent(counted: DataFrame, most_words: int, most_bytes: int) -> Column:
+    """A test that at most most_words words of at most most_bytes bytes in all pass, frequent words first.
+
+    Words fall into classes of about equal counts (eight to each doubling, without a last one); the class that is not taken whole is
+    taken by the words' hashes. Two histograms of fixed size reach the driver; no word does.
+    """
+    level, spot = F.floor(F.log2("n") * 8).cast("int"), F.pmod(F.xxhash64("word"), F.lit(4096)).cast("int")
+
+    def taken(rows: DataFrame, name: str, upwards: bool) -> tuple[int | None, int, int]:
+        """(the first class that does not fit, or None; words and bytes that are left)."""
+        left_words, left_bytes = most_words, most_bytes
+        for r in sorted(rows.collect(), key=lambda r: r[name] if upwards else -r[name]):
+            if r["words"] > left_words or r["bytes"] > left_bytes:
+                return r[name], left_words, left_bytes
+            left_words, left_bytes = left_words - r["words"], left_bytes - r["bytes"]
+        return None, left_words, left_bytes
+
+    size = [F.count(F.lit(1)).alias("words"), F.sum(F.octet_length("word")).alias("bytes")]
+    edge, most_words, most_bytes = taken(counted.groupBy(level.alias("level")).agg(*size), "level", False)
+    if edge is None:
+        return F.lit(True)
+    cut, _, _ = taken(counted.filter(level == edge).groupBy(spot.alias("spot")).agg(*size), "spot", True)
+    return (level > edge) | ((level == edge) & (spot < (4096 if cut is None else cut)))
 
 
 class _Table:
@@ -182,7 +192,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     counted = word_table(docs, vocabulary, scratch, text_col)
     # At most most_words words and most_bytes bytes of words: the size that is broadcast is bounded whatever the corpus.
     often = counted.filter(F.col("n") > 1)
-    frequent = often.filter(F.col("n") >= least_count(often, most_words, most_bytes)).select("word")
+    frequent = often.filter(most_frequent(often, most_words, most_bytes)).select("word")
     encoded = frequent.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_encode_each(vocabulary), "word string, ids array<int>")
     table = spark.sparkContext.broadcast(_Table(encoded.toArrow()))
     rows = docs.select(F.col(id_col).alias("id"), split_words(whole(F.col(text_col)), sorted(vocabulary.value.special)).alias("words"))
@@ -202,7 +212,7 @@ def _decoded(vocabulary):
 
 
 def decode(tokens: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """id_col, text from id_col, ids: each id is joined with its piece of the vocabulary."""
+    """id_col, text from id_col, ids: the pieces of the ids, in order. Null ids are none."""
     vocabulary = tokens.sparkSession.sparkContext.broadcast(Vocabulary(path))
     rows = tokens.select(F.col(id_col).alias("id"), "ids")
     id_type = rows.schema["id"].dataType.simpleString()

@@ -40,3 +40,17 @@ def test_query(spark, tmp_path):
 
 def test_empty_table(spark):
     assert bpe.encode(table(spark, []), bpe.default_vocabulary()).count() == 0
+
+
+@pytest.mark.parametrize("words,size,all_", [(5, 1 << 20, False), (1000, 1 << 20, True), (0, 10, False), (1000, 50, False), (700, 1 << 20, False)])
+def test_bound_of_the_travelling_table(spark, words, size, all_):
+    """Counts far above and below a million; classes that do not fit are cut, not taken whole."""
+    rows = [(f"w{i:03d}", n) for i, n in enumerate([2_000_000 + i for i in range(300)] + [1 << 40] * 300 + [2] * 300)]
+    counted = spark.createDataFrame(rows, "word string, n long")
+    kept = counted.filter(bpe.most_frequent(counted, words, size)).collect()
+    assert len(kept) <= words and sum(len(r.word) for r in kept) <= size
+    assert (len(kept) == 900) is all_
+    if words == 700:
+        assert len(kept) > 550 and sum(r.n == 1 << 40 for r in kept) == 300 and sum(2_000_000 <= r.n < 1 << 40 for r in kept) == 300
+    if words == 5:
+        assert all(r.n == 1 << 40 for r in kept)

@@ -67,6 +67,15 @@ def test_every_stage_against_a_plain_computation(spark, tmp_path):
     assert sorted((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted((i, len(x)) for i, x in want)
 
 
+def test_near_copies_that_share_an_identifier(spark, tmp_path):
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join(words[:-1] + ["other"])
+    docs = [(5, " ".join(words), "en", "s", 1), (5, near, "en", "s", 1), (None, near + " more", "en", "s", 1), (5, "quite another text, and clean", "en", "s", 1), (7, None, "en", "s", 1), (7, None, "en", "s", 1)]
+    spark.createDataFrame(docs, SCHEMA).repartition(2).write.parquet(f"{tmp_path}/d")
+    kept = corpus_pipeline.drop_near_copies(spark, spark.read.parquet(f"{tmp_path}/d"), str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, near + " more"), (5, "quite another text, and clean"), (7, ""), (7, "")]
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
