@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sievework.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
 from sievework.llm.scratch import Scratch, workers_import
+from sievework.operators.rows import with_row_id
 
 TOXIC_FROM = 0.5
 
@@ -29,12 +30,17 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word shingles link at a similarity of 0.8 or more, that with the smallest identifier."""
+    """One document of each group that five-word shingles link at a similarity of 0.8 or more: that with the smallest identifier, of these the first row.
+
+    Rows are told apart by their numbers, so documents that share an identifier are documents of their own.
+    """
     workers_import(spark)
-    groups = ngram_join.similar_groups(docs, words=5, low=80)
-    stays = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.struct("doc_id").alias("stays")).distinct()
-    rows = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns))).alias("row"), F.struct("doc_id").alias("own"))
-    return rows.join(stays, F.col("own") == F.col("stays"), "left_semi").select(*(F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)))
+    rows = with_row_id(docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns))).alias("row")), "number")
+    own = F.struct(F.col(f"row.c{docs.columns.index('doc_id')}").alias("doc_id"), "number")
+    groups = ngram_join.similar_groups(rows.select(own.alias("own"), F.col(f"row.c{docs.columns.index('text')}").alias("text")), id_col="own", words=5, low=80)
+    stays = groups.filter(F.col("own").eqNullSafe(F.col("component_id"))).select(F.col("own.number").alias("stays"))
+    kept = rows.join(stays, F.col("number") == F.col("stays"), "left_semi")
+    return kept.select(*(F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
