@@ -15,7 +15,11 @@ order into fragments; a set falls into segments, one for each fragment.
    overlaps within its fragment for all pairs of the block, as one matrix.
 3. Sums. The matrices of a block's fragments are summed per pair; in a block the nodes of each component point at the
    least of them, so links grow with the members of a group, not with their pairs. The blocks of a
-   group share its hub and some landmarks; then nodes outside the group's largest component are compared with all of it.
+   group share its hub and some landmarks.
+4. Groups that stay open, that is, have several blocks and nodes outside their largest component (pages of one template, say), are grouped anew by
+   single n-grams: the n-grams of their sets are put in order of frequency among them, and each set hands on as many of its rarest as it may
+   differ in, and one more. What a template gives all of its pages is frequent and makes none of them meet. Steps 2 and 3 follow on the new groups; only
+   in what is open even then are nodes outside the largest component compared with all of their group.
 
 Defined cases: null and blank texts have an empty set, are linked with nothing and are their own component; repeated rows and
 identifiers are fine, a null identifier counts as least; an empty table gives an empty result; other columns, whatever their
@@ -29,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytestrings import mixed, ragged, utf8
@@ -310,12 +314,12 @@ def _links(blocks: DataFrame, arrays: DataFrame, low: int, high: int) -> DataFra
     return partial.repartition(width, "hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(_summed(low, high), "a long, b long")
 
 
-def _around(members: DataFrame, scratch: Scratch) -> DataFrame:
+def _around(members: DataFrame, scratch: Scratch, name: str = "") -> DataFrame:
     """hub, node: groups such that two nodes with a token in common stand in one."""
     # Tokens of the same nodes are one: near copies share most of their segments.
     tokens = members.groupBy("token").agg(F.count(F.lit(1)).alias("met"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("y"))
     tokens = tokens.groupBy("met", "x", "y").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("times")).select("token", "met", "times")
-    met = scratch.write(members.join(tokens, "token"), "met")
+    met = scratch.write(members.join(tokens, "token"), f"met{name}")
     # A text that others were made from shares most with them.
     central = met.groupBy("node").agg(F.sum(F.col("met") * F.col("times")).alias("central"))
     hubs = met.join(central, "node").groupBy("token").agg(F.max(F.struct("central", "node")).alias("top")).select("token", F.col("top.node").alias("hub"))
@@ -325,7 +329,71 @@ def _around(members: DataFrame, scratch: Scratch) -> DataFrame:
     look = around.join(size, "hub").groupBy("node").agg(F.max(F.struct("m", "hub")).alias("to")).select("node", F.col("to.hub").alias("to"))
     agreed = met.join(look, "node").groupBy("token").agg(F.min("to").alias("a"), F.max("to").alias("b"))
     hubs = hubs.join(agreed, "token").select("token", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("hub")).alias("hub"))
-    return scratch.write(met.join(hubs, "token").select("hub", "node").distinct(), "around")
+    return scratch.write(met.join(hubs, "token").select("hub", "node").distinct(), f"around{name}")
+
+
+def _with_size(around: DataFrame, arrays: DataFrame) -> DataFrame:
+    """hub, node, hub_n: with the size of the hub's set."""
+    return around.join(arrays.select(F.col("node").alias("hub"), F.col("n").alias("hub_n")), "hub")
+
+
+def _spot(salt: int, parts: str) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(salt)), F.col(parts)).cast("int")
+
+
+def _block_links(around: DataFrame, arrays: DataFrame, low: int, high: int) -> DataFrame:
+    """Links within blocks: every group in blocks of about BLOCK nodes; the hub and a few landmarks of the group stand in all of them."""
+    sizes = around.groupBy("hub").agg(F.count(F.lit(1)).alias("m"))
+    dealt = around.join(sizes, "hub").withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int"))
+    every = (F.col("hub") == F.col("node")) | ((F.col("parts") > 1) & (_spot(0, "m") < LANDMARKS))
+    places = F.when(every, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(_spot(1, "parts")))
+    blocks = dealt.select("hub", F.explode(places).alias("i"), F.lit(0).alias("j"), F.lit(2).cast("byte").alias("side"), "node", F.col("node").alias("comp"), "hub_n")
+    return _links(blocks, arrays, low, high)
+
+
+def _open_groups(around: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes with their group and component, groups of several blocks with nodes outside their largest component)."""
+    labelled = around.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    main = labelled.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("hub").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("m")).filter(f"m > {BLOCK} and m > top.k")
+    return labelled, main.select("hub", F.col("top.comp").alias("main"), F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"), F.ceil((F.col("m") - F.col("top.k")) / BLOCK).cast("int").alias("strips"))
+
+
+def _unsettled(around: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, outside: nodes of open groups, and whether any of these has them outside its largest component."""
+    labelled, main = _open_groups(around, roots)
+    return labelled.join(main, "hub").groupBy("node").agg(F.max(F.col("comp") != F.col("main")).alias("outside"))
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(x, np.int64) for x in batch.column("grams").to_pylist()]
+        own = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+        yield pa.record_batch([pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])), *(batch.column(c).take(own) for c in ("node", "outside", "n"))], names=["token", "node", "outside", "n"])
+
+
+def _rare_members(unsettled: DataFrame, arrays: DataFrame, low: int, high: int, scratch: Scratch) -> DataFrame:
+    """token, node: for each unsettled node as many of its rarest n-grams as a similar set may lack, and one more; tokens that only one node has,
+    or none that is outside, make no pair and are left out."""
+    every = scratch.write(arrays.join(unsettled, "node").select("node", "outside", "n", "grams").mapInArrow(_grams, "token long, node long, outside boolean, n long"), "grams")
+    met = every.groupBy("token").agg(F.count(F.lit(1)).alias("met"), F.max("outside").alias("any_outside")).filter("met > 1")
+    # n-grams that nobody else has come first, so a node's shared ones stand behind as many as it has of those
+    shared = every.join(met, "token")
+    order = Window.partitionBy("node").orderBy(F.desc("met"), F.desc("token"))
+    spare = F.ceil(F.col("n") * F.lit(low) / F.lit(high)) - 1
+    return shared.withColumn("behind", F.row_number().over(order)).filter((F.col("behind") > spare) & F.col("any_outside")).select("token", "node")
+
+
+def _strip_links(around: DataFrame, roots: DataFrame, arrays: DataFrame, low: int, high: int, scratch: Scratch) -> DataFrame | None:
+    """In groups that are open still: links between what is outside the largest component and the whole group."""
+    labelled, main = _open_groups(around, roots)
+    main = scratch.write(main, "open")
+    if main.isEmpty():
+        return None
+    labelled = labelled.join(main, "hub")
+    left = labelled.filter("comp <> main").select("hub", _spot(2, "strips").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(0).cast("byte").alias("side"), "node", "comp", "hub_n")
+    right = labelled.select("hub", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("i"), _spot(3, "parts").alias("j"), F.lit(1).cast("byte").alias("side"), "node", "comp", "hub_n")
+    found = scratch.write(_links(left.unionByName(right), arrays, low, high), "rest")
+    return None if found.isEmpty() else found
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, low: int = 80, high: int = 100) -> DataFrame:
@@ -351,30 +419,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     picked = rows.join(owners.hint("merge"), F.col("id").eqNullSafe(F.col("rep"))).select("text")
     arrays = scratch.write(picked.mapInArrow(_arrays(words), "node long, n long, grams binary").join(named, "node", "left_semi"), "arrays")
     release(spark)
-    around = around.join(arrays.select(F.col("node").alias("hub"), F.col("n").alias("hub_n")), "hub")
-
-    # Every group in blocks of about BLOCK nodes; the hub and a few landmarks of the group stand in all of them.
-    def spot(salt: int, parts: str) -> Column:
-        return F.pmod(F.xxhash64("node", F.lit(salt)), F.col(parts)).cast("int")
-
-    sizes = around.groupBy("hub").agg(F.count(F.lit(1)).alias("m"))
-    dealt = around.join(sizes, "hub").withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int"))
-    every = (F.col("hub") == F.col("node")) | ((F.col("parts") > 1) & (spot(0, "m") < LANDMARKS))
-    places = F.when(every, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(spot(1, "parts")))
-    blocks = dealt.select("hub", F.explode(places).alias("i"), F.lit(0).alias("j"), F.lit(2).cast("byte").alias("side"), "node", F.col("node").alias("comp"), "hub_n")
-    links = scratch.write(_links(blocks, arrays, low, high), "links")
+    around = _with_size(around, arrays)
+    links = scratch.write(_block_links(around, arrays, low, high), "links")
     roots = connected_components(links, scratch, "cc")
-
-    # In groups of several blocks: what is outside the group's largest component, against the whole group.
-    labelled = around.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    main = labelled.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("hub").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("m")).filter(f"m > {BLOCK} and m > top.k")
-    main = scratch.write(main.select("hub", F.col("top.comp").alias("main"), F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"), F.ceil((F.col("m") - F.col("top.k")) / BLOCK).cast("int").alias("strips")), "open")
-    if not main.isEmpty():
-        labelled = labelled.join(main, "hub")
-        left = labelled.filter("comp <> main").select("hub", spot(2, "strips").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(0).cast("byte").alias("side"), "node", "comp", "hub_n")
-        right = labelled.select("hub", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("i"), spot(3, "parts").alias("j"), F.lit(1).cast("byte").alias("side"), "node", "comp", "hub_n")
-        found = scratch.write(_links(left.unionByName(right), arrays, low, high), "rest")
-        if not found.isEmpty():
+    unsettled = scratch.write(_unsettled(around, roots), "unsettled")
+    if not unsettled.isEmpty():
+        rare = scratch.write(_rare_members(unsettled, arrays, low, high, scratch), "rare")
+        around = _with_size(_around(rare, scratch, "again"), arrays)
+        links = scratch.write(links.unionByName(_block_links(around, arrays, low, high)), "links_again")
+        roots = connected_components(links, scratch, "cc_again")
+        if (found := _strip_links(around, roots, arrays, low, high, scratch)) is not None:
             roots = connected_components(links.unionByName(found), scratch, "cc_rest")
     scratch.drop("arrays")
 

@@ -68,6 +68,21 @@ def test_large_group_without_a_common_neighbour(spark, monkeypatch):
         assert got == outright(data, 1, low)
 
 
+def test_pages_of_a_template_make_no_square(spark):
+    """Two thirds of the words shared, little linked: rows of blocks grow with the pages, not with their square."""
+    seen, plain = {}, ngram_join._links
+    try:
+        for n in (600, 1200, 2400):
+            ngram_join._links = lambda blocks, *a: seen.update({n: seen.get(n, 0) + blocks.count()}) or plain(blocks, *a)  # noqa: B023
+            data = [(i, " ".join([*(f"t{k}" for k in range(80)), *(f"p{i}_{k}" for k in range(40))]), "en", "s", 1) for i in range(n)]
+            data += [(5000 + i, " ".join([*(f"t{k}" for k in range(80)), *(f"p{i}_{k}" for k in range(39)), "new"]), "en", "s", 1) for i in range(5)]
+            got = {r.doc_id: r.component_id for r in ngram_join.similar_groups(table(spark, data), words=5, low=80).collect()}
+            assert got == {i: i for i in range(n)} | {5000 + i: i for i in range(5)}
+    finally:
+        ngram_join._links = plain
+    assert seen[1200] <= 2.2 * seen[600] and seen[2400] <= 2.2 * seen[1200], seen
+
+
 def test_null_and_repeated_identifiers_and_other_columns(spark):
     text = " ".join(f"w{i}" for i in range(30))
     data = [(None, text, "en", "s", 1), (4, text + " more", "en", "s", 1), (4, text + " more", "en", "s", 1), (4, "something else entirely here", "en", "s", 1), (9, None, "en", "s", 1)]
