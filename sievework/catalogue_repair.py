@@ -382,3 +382,29 @@ def workflow_bookings(spark: SparkSession, d: str) -> DataFrame:
     k = load(spark, d, "orders").select((F.col("o_orderkey") % 4000).alias("k"))
     bookings = k.select(*(F.expr(x).alias(c) for c, x in _BOOKINGS.items()))
     return clean.hotel_workflow(bookings).withColumn("reservation_status_date", F.date_format("reservation_status_date", "yyyy-MM-dd"))
+
+
+@query("repair_three_attempts", f"""SELECT * FROM (SELECT 1::INTEGER AS attempt, 'step ''unknown'' is not allowed' AS error_message, NULL::BIGINT AS rows, NULL::BIGINT AS filled
+UNION ALL SELECT 2, 'step 2 (title_case): ' || column_name || ' is ' || CASE column_type WHEN 'INTEGER' THEN 'int' ELSE 'bigint' END || ', and text is needed', NULL, NULL FROM (DESCRIBE customer) WHERE column_name = 'c_nationkey'
+UNION ALL SELECT 3, NULL, count(*), count(*) - count(c_mktsegment) FROM ({base._HOLES}))""")
+def repair_three_attempts(spark: SparkSession, d: str) -> DataFrame:
+    """The loop up to its last attempt, on a noisy table: an unknown step, a step for another type, then a plan that works; what it wrote is counted."""
+    noisy = base._noisy_customer(spark, d)[0].join(load(spark, d, "customer").select("c_custkey", "c_nationkey"), "c_custkey").withColumnRenamed("c_custkey", rows.ROW)
+    plans = [
+        [{"step": "unknown"}],
+        [{"step": "disguised_to_null", "columns": ["c_mktsegment"]}, {"step": "title_case", "columns": ["c_nationkey"]}],
+        [{"step": "disguised_to_null", "columns": ["c_mktsegment"]}, {"step": "fill_constant", "columns": ["c_mktsegment"], "value": "none given"}],
+    ]
+
+    class Learner(planner.Planner):
+        asked = 0
+
+        def plan(self, prompt: str) -> str:
+            Learner.asked += 1
+            return json.dumps(plans[Learner.asked - 1])
+
+    folder = work_folder(spark, "three")
+    out = run_loop(spark, noisy, Learner(), lambda df: df.write.mode("overwrite").parquet(folder))
+    counted = spark.read.parquet(folder).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("c_mktsegment") == "none given").alias("filled"))
+    attempts = spark.createDataFrame([(k + 1, r["error_message"], r["success"]) for k, r in enumerate(out.records)], "attempt int, error_message string, success boolean")
+    return attempts.join(counted, F.col("success"), "left").select("attempt", "error_message", "rows", "filled")

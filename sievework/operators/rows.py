@@ -85,10 +85,13 @@ def _cells(df: DataFrame, keys: dict[str, Column], prefixes: dict[str, str], row
 def _counts(df: DataFrame, keys: dict[str, Column], prefixes: dict[str, str], row: str) -> dict[str, list[tuple[str, int]]]:
     """(bucket, rows) of each key, in order: the prefixes of _DIGITS more digits, a fixed number of buckets."""
     width = max(map(len, prefixes.values())) + _DIGITS
-    counted = _cells(df, keys, prefixes, row).groupBy("c", F.substring("k", 1, width).alias("b")).agg(F.count(F.lit(1)).alias("n")).toArrow().to_pydict()
+    names = list(prefixes)
+    cells = F.array(*[F.when(keys[c].startswith(p) if p else F.lit(True), F.struct(F.lit(i).alias("c"), F.substring(keys[c], 1, width).alias("b"))) for i, (c, p) in enumerate(prefixes.items())])
+    wanted = F.filter(cells, lambda x: x.isNotNull()) if any(prefixes.values()) else cells
+    counted = df.select(F.explode(wanted).alias("x")).groupBy("x.c", "x.b").agg(F.count(F.lit(1)).alias("n")).toArrow().to_pydict()
     out: dict[str, list[tuple[str, int]]] = {c: [] for c in keys}
     for c, b, n in sorted(zip(counted["c"], counted["b"], counted["n"])):
-        out[c].append((b, n))
+        out[names[c]].append((b, n))
     return out
 
 
