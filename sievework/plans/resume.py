@@ -10,10 +10,9 @@ import hashlib
 import json
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import work_folder
+from ..session import exists, work_folder
 from .plan import CleaningPlan, PlanError, Step
 
 
@@ -48,11 +47,7 @@ class Prefixes:
 
     def kept(self, key: str) -> DataFrame | None:
         path = f"{self.folder}/{key}"
-        try:
-            self.spark.read.text(f"{path}/_SUCCESS")  # a table that was not written to its end does not count
-            return self.spark.read.parquet(path)
-        except AnalysisException:
-            return None
+        return self.spark.read.parquet(path) if exists(self.spark, f"{path}/_SUCCESS") else None  # what was not written to its end does not count
 
     def run(self, plan: CleaningPlan, df: DataFrame, allowed: frozenset[str] | None = None) -> DataFrame:
         """The plan's result, from the longest kept prefix on; each further step is written once. Raises StepFailed."""
