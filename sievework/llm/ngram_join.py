@@ -16,10 +16,10 @@ order into fragments; a set falls into segments, one for each fragment.
 3. Sums. The matrices of a block's fragments are summed per pair; in a block the nodes of each component point at the
    least of them, so links grow with the members of a group, not with their pairs. The blocks of a
    group share its hub and some landmarks.
-4. Groups that stay open, that is, have several blocks and nodes outside their largest component (pages of one template, say), are grouped anew by
+4. In groups that stay open, that is, have several blocks and nodes outside their largest component, these nodes are compared with all of the
+   group, if that sends a set to few blocks. Larger ones (pages of one template, say) are grouped anew by
    single n-grams: the n-grams of their sets are put in order of frequency among them, and each set hands on as many of its rarest as it may
-   differ in, and one more. What a template gives all of its pages is frequent and makes none of them meet. Steps 2 and 3 follow on the new groups; only
-   in what is open even then are nodes outside the largest component compared with all of their group.
+   differ in, and one more. What a template gives all of its pages is frequent and makes none of them meet. Steps 2 to 4 follow once more on the new groups.
 
 Defined cases: null and blank texts have an empty set, are linked with nothing and are their own component; repeated rows and
 identifiers are fine, a null identifier counts as least; an empty table gives an empty result; other columns, whatever their
@@ -48,6 +48,8 @@ BLOCK, FRAGMENT, SEGMENT = 256, 256, 2
 COMBINE = 1 << 20
 #: Nodes of a group, about, that stand in each of its blocks, so that what is linked at all is one component after one turn.
 LANDMARKS = 16
+#: Blocks that a set of an open group goes to, on average, before the group is grouped anew instead.
+COPIES = 8
 _ROOM = 1.15  # fragments for each segment that is needed: some are too small to be handed on
 
 
@@ -352,15 +354,19 @@ def _block_links(around: DataFrame, arrays: DataFrame, low: int, high: int) -> D
 
 
 def _open_groups(around: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes with their group and component, groups of several blocks with nodes outside their largest component)."""
+    """(nodes with their group and component, groups of several blocks with nodes outside their largest component: hub, main, parts, strips, wide).
+
+    wide: to compare these nodes with all of the group would send each set, on average, to more than COPIES blocks.
+    """
     labelled = around.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     main = labelled.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("hub").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("m")).filter(f"m > {BLOCK} and m > top.k")
-    return labelled, main.select("hub", F.col("top.comp").alias("main"), F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"), F.ceil((F.col("m") - F.col("top.k")) / BLOCK).cast("int").alias("strips"))
+    outside = F.col("m") - F.col("top.k")
+    sized = main.select("hub", F.col("top.comp").alias("main"), "m", outside.alias("outside"), F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"), F.ceil(outside / BLOCK).cast("int").alias("strips"))
+    return labelled, sized.select("hub", "main", "parts", "strips", (F.col("outside") * F.col("parts") + F.col("m") * F.col("strips") > COPIES * F.col("m")).alias("wide"))
 
 
-def _unsettled(around: DataFrame, roots: DataFrame) -> DataFrame:
+def _unsettled(labelled: DataFrame, main: DataFrame) -> DataFrame:
     """node, outside: nodes of open groups, and whether any of these has them outside its largest component."""
-    labelled, main = _open_groups(around, roots)
     return labelled.join(main, "hub").groupBy("node").agg(F.max(F.col("comp") != F.col("main")).alias("outside"))
 
 
@@ -383,17 +389,12 @@ def _rare_members(unsettled: DataFrame, arrays: DataFrame, low: int, high: int,
     return shared.withColumn("behind", F.row_number().over(order)).filter((F.col("behind") > spare) & F.col("any_outside")).select("token", "node")
 
 
-def _strip_links(around: DataFrame, roots: DataFrame, arrays: DataFrame, low: int, high: int, scratch: Scratch) -> DataFrame | None:
-    """In groups that are open still: links between what is outside the largest component and the whole group."""
-    labelled, main = _open_groups(around, roots)
-    main = scratch.write(main, "open")
-    if main.isEmpty():
-        return None
+def _strip_links(labelled: DataFrame, main: DataFrame, arrays: DataFrame, low: int, high: int) -> DataFrame:
+    """In open groups: links between what is outside the largest component and the whole group."""
     labelled = labelled.join(main, "hub")
     left = labelled.filter("comp <> main").select("hub", _spot(2, "strips").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(0).cast("byte").alias("side"), "node", "comp", "hub_n")
     right = labelled.select("hub", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("i"), _spot(3, "parts").alias("j"), F.lit(1).cast("byte").alias("side"), "node", "comp", "hub_n")
-    found = scratch.write(_links(left.unionByName(right), arrays, low, high), "rest")
-    return None if found.isEmpty() else found
+    return _links(left.unionByName(right), arrays, low, high)
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, low: int = 80, high: int = 100) -> DataFrame:
@@ -422,14 +423,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     around = _with_size(around, arrays)
     links = scratch.write(_block_links(around, arrays, low, high), "links")
     roots = connected_components(links, scratch, "cc")
-    unsettled = scratch.write(_unsettled(around, roots), "unsettled")
-    if not unsettled.isEmpty():
-        rare = scratch.write(_rare_members(unsettled, arrays, low, high, scratch), "rare")
-        around = _with_size(_around(rare, scratch, "again"), arrays)
-        links = scratch.write(links.unionByName(_block_links(around, arrays, low, high)), "links_again")
-        roots = connected_components(links, scratch, "cc_again")
-        if (found := _strip_links(around, roots, arrays, low, high, scratch)) is not None:
-            roots = connected_components(links.unionByName(found), scratch, "cc_rest")
+    labelled, main = _open_groups(around, roots)
+    main = scratch.write(main, "open")
+    if not main.isEmpty():
+        links = links.unionByName(scratch.write(_strip_links(labelled, main.filter("not wide"), arrays, low, high), "strips"))
+        unsettled = scratch.write(_unsettled(labelled, main.filter("wide")), "unsettled")
+        if not unsettled.isEmpty():
+            rare = scratch.write(_rare_members(unsettled, arrays, low, high, scratch), "rare")
+            around = _with_size(_around(rare, scratch, "again"), arrays)
+            links = scratch.write(links.unionByName(_block_links(around, arrays, low, high)), "links_again")
+            roots = connected_components(links, scratch, "cc_again")
+            labelled, main = _open_groups(around, roots)
+            links = links.unionByName(scratch.write(_strip_links(labelled, scratch.write(main, "open_again"), arrays, low, high), "strips_again"))
+        roots = connected_components(links, scratch, "cc_rest")
     scratch.drop("arrays")
 
     named_texts = texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

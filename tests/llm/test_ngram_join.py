@@ -58,8 +58,10 @@ def test_similar_sets_share_a_token(low, high):
             assert set(token[owner == 0].tolist()) & set(token[owner == 1].tolist()), (n, gone, new)
 
 
-def test_large_group_without_a_common_neighbour(spark, monkeypatch):
+@pytest.mark.parametrize("copies", [0, 2, 1 << 20])
+def test_large_group_without_a_common_neighbour(spark, monkeypatch, copies):
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "COPIES", copies)
     base = [f"w{i}" for i in range(60)]
     data = [(i, " ".join(w if (7 * i + k) % 60 > 5 else f"x{i}_{k}" for k, w in enumerate(base)), "en", "s", 1) for i in range(90)]
     data += [(200 + i, " ".join([*base[: 50 - i], *(f"y{k}" for k in range(i))]), "en", "s", 1) for i in range(12)]
