@@ -6,8 +6,8 @@ of distinct shingles. Texts with fewer than k shingles are held whole, so estima
 them are exact; a full sketch does not tell whether there were more, so the count of a text with just k is an estimate.
 
 Defined cases: a null text is an empty text and has an empty sketch; a text of fewer than five words is one shingle; two
-empty sketches have likeness 1, an empty and another 0; equal texts have equal fingerprints; rows with a null identifier
-come after all others in document order, repeated identifiers are ordered by their texts; an empty table gives an empty
+empty sketches have likeness 1, an empty and another 0; equal texts have equal fingerprints; document order needs identifiers that are whole numbers; rows with a null
+one come after all others, repeated identifiers are ordered by their texts; an empty table gives an empty
 result. Only DataFrame functions are used.
 """
 

@@ -12,7 +12,8 @@ payload_digest from the payload itself, and fail if a header says otherwise). Of
 Paths are opened with pyarrow's file systems, so they must be in a folder that all executors share.
 
 Defined cases: a null payload is empty; a record without payload (revisit) reads back with a null payload; unknown header
-fields are kept in the map `headers`; an empty folder gives an empty table; a cut-off file raises ValueError.
+fields are kept in the map `headers`; an empty folder gives an empty table; a cut-off file and a record
+without a length raise ValueError.
 """
 
 from __future__ import annotations
@@ -218,7 +219,10 @@ class WarcReader(DataSourceReader):
         stream = _Stream(source)
         while (block := stream.header()) is not None:
             header = parse_header(block)
-            at, n = stream.member, int(header["content-length"])
+            length = header.get("content-length", "")
+            if not length.isdecimal():
+                raise ValueError(f"{path}: a record at {stream.member} without a length")
+            at, n = stream.member, int(length)
             if not self._passes(header):
                 stream.step_over(n)
                 continue

@@ -100,6 +100,12 @@ def test_archives_of_others(spark, tmp_path, form):
         warc.read_warc(spark, str(tmp_path)).collect()
 
 
+def test_a_record_without_a_length(spark, tmp_path):
+    (tmp_path / "a.warc").write_bytes(b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <r>\r\n\r\nabc\r\n\r\n")
+    with pytest.raises(Exception, match="without a length"):
+        warc.read_warc(spark, str(tmp_path)).collect()
+
+
 def test_empty(spark, tmp_path):
     (tmp_path / "none").mkdir()
     assert warc.read_warc(spark, str(tmp_path / "none")).count() == 0
