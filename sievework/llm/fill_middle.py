@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.rows import located
+from .scratch import Scratch
 from .text import sha256_hex, whole
 
 UNIT = "[A-Za-z]+|[^A-Za-z]"
@@ -66,7 +67,8 @@ def _at(cut: str) -> Column:
 
 def fill_in_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 1, plain_from: int = 90, spm_below: int = 20) -> DataFrame:
     """id_col, n (units), form, prefix_chars, middle_chars, output: the rearranged text; plain_from and spm_below in hundredths."""
-    base = located(docs.select(F.col(f"`{id_col}`").alias("id"), whole(F.col(f"`{text_col}`")).alias("text")))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), whole(F.col(f"`{text_col}`")).alias("text"))
+    base = located(rows, folder=Scratch(docs.sparkSession, "middle").path("rows"))
     marked = F.lit(False)
     for mark in MARKS:
         marked = marked | F.contains("text", F.lit(mark))
