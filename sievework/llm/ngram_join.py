@@ -425,16 +425,25 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     roots = connected_components(links, scratch, "cc")
     labelled, main = _open_groups(around, roots)
     main = scratch.write(main, "open")
-    if not main.isEmpty():
-        links = links.unionByName(scratch.write(_strip_links(labelled, main.filter("not wide"), arrays, low, high), "strips"))
-        unsettled = scratch.write(_unsettled(labelled, main.filter("wide")), "unsettled")
-        if not unsettled.isEmpty():
-            rare = scratch.write(_rare_members(unsettled, arrays, low, high, scratch), "rare")
-            around = _with_size(_around(rare, scratch, "again"), arrays)
-            links = scratch.write(links.unionByName(_block_links(around, arrays, low, high)), "links_again")
+    kinds, more = {r.wide for r in main.select("wide").distinct().collect()}, False
+    if False in kinds:
+        found = scratch.write(_strip_links(labelled, main.filter("not wide"), arrays, low, high), "strips")
+        if not found.isEmpty():
+            links, more = links.unionByName(found), True
+    if True in kinds:
+        rare = scratch.write(_rare_members(scratch.write(_unsettled(labelled, main.filter("wide")), "unsettled"), arrays, low, high, scratch), "rare")
+        around = _with_size(_around(rare, scratch, "again"), arrays)
+        found = scratch.write(_block_links(around, arrays, low, high), "links_again")
+        if more or not found.isEmpty():
+            links, more = links.unionByName(found), False
             roots = connected_components(links, scratch, "cc_again")
-            labelled, main = _open_groups(around, roots)
-            links = links.unionByName(scratch.write(_strip_links(labelled, scratch.write(main, "open_again"), arrays, low, high), "strips_again"))
+        labelled, main = _open_groups(around, roots)
+        main = scratch.write(main, "open_again")
+        if not main.isEmpty():
+            found = scratch.write(_strip_links(labelled, main, arrays, low, high), "strips_again")
+            if not found.isEmpty():
+                links, more = links.unionByName(found), True
+    if more:
         roots = connected_components(links, scratch, "cc_rest")
     scratch.drop("arrays")
 
