@@ -2,7 +2,8 @@
 
 Two texts within d edits of each other have a text in common that each becomes by deleting at most d letters. So the known values are
 written out with all their deletions, as 64-bit hashes, and so are the values of the column that are no known value; equal hashes make a pair,
-and only pairs are measured. Nothing compares all with all, and nothing is collected. A value has 1 + n + n(n-1)/2 entries for
+and only pairs are measured. Nothing compares all with all, and nothing is collected or broadcast, since all of it grows with the values; the planner
+cannot know how many entries a value has. A value has 1 + n + n(n-1)/2 entries for
 d = 2, of its first LETTERS letters at most: within d edits, beginnings of equal length have such a text in common too.
 """
 
@@ -37,14 +38,16 @@ def nearest_known(values: DataFrame, known: DataFrame, distance: int = 2, letter
     """
     targets = known.toDF("known").filter("known is not null").groupBy(F.lower(strip("known")).alias("target")).agg(F.min("known").alias("known"))
     own = values.toDF("value").filter("value is not null").distinct().withColumn("own", F.lower(strip("value")))
-    same = own.join(targets, F.col("own") == F.col("target")).select("value", "known", F.lit(0).alias("edits"))
-    rest = own.join(targets, F.col("own") == F.col("target"), "left_anti")
-    index = targets.select("target", "known", F.explode(deletions(F.col("target"), distance, letters)).alias("key"))
-    asked = rest.select("value", "own", F.explode(deletions(F.col("own"), distance, letters)).alias("key"))
-    pairs = asked.join(index, "key").select("value", "own", "target", "known").distinct()
+    grown = targets.hint("merge")
+    same = own.join(grown, F.col("own") == F.col("target")).select("value", "known", F.lit(0).alias("edits"))
+    rest = own.join(grown, F.col("own") == F.col("target"), "left_anti")
+    # The entries of both sides carry the compared text only; what it stands for is looked up for the pairs that are near.
+    index = targets.select("target", F.explode(deletions(F.col("target"), distance, letters)).alias("key"))
+    asked = rest.select("own").distinct().select("own", F.explode(deletions(F.col("own"), distance, letters)).alias("key"))
+    pairs = asked.join(index.hint("merge"), "key").select("own", "target").distinct()
     measured = pairs.withColumn("edits", F.levenshtein("own", "target", distance)).filter("edits >= 0")
-    near = measured.groupBy("value").agg(F.min(F.struct("edits", "known")).alias("best")).select("value", "best.known", "best.edits")
-    return same.unionByName(near)
+    near = measured.join(grown, "target").groupBy("own").agg(F.min(F.struct("edits", "known")).alias("best"))
+    return same.unionByName(rest.join(near.hint("merge"), "own").select("value", "best.known", "best.edits"))
 
 
 def harmonise_known(df: DataFrame, column: str, known: DataFrame, distance: int = 2, letters: int = LETTERS) -> DataFrame:
@@ -52,5 +55,5 @@ def harmonise_known(df: DataFrame, column: str, known: DataFrame, distance: int
     if column not in df.columns:
         return df
     found = nearest_known(df.select(F.col(f"`{column}`")), known, distance, letters).filter("value <> known").select(F.col("value").alias("__value"), F.col("known").alias("__known"))
-    met = df.join(found, F.col(f"`{column}`") == F.col("__value"), "left")
+    met = df.join(found.hint("merge"), F.col(f"`{column}`") == F.col("__value"), "left")
     return met.select(*(F.coalesce("__known", F.col(f"`{c}`")).alias(c) if c == column else F.col(f"`{c}`") for c in df.columns))

@@ -84,3 +84,11 @@ def test_duplicates_keep_a_row_that_was_there(spark):
     assert sorted(map(tuple, clean.drop_duplicate_rows(df, ("a", "b")).collect())) == [("x", 1, 9), ("y", None, 5)]
     assert clean.drop_duplicate_rows(df.select("a"), ("a",)).count() == 1
     assert clean.drop_duplicate_rows(df.withColumn("n", F.lit(None).cast("int")), ("absent",)).count() == 4
+
+
+def test_nearest_broadcasts_nothing_that_grows(spark):
+    """Each value has dozens of entries, which the planner takes for one: what looks small to it is not."""
+    df = spark.range(500).selectExpr("substr(md5(cast(id as string)), 1, 10) as v")
+    out = nearest.harmonise_known(df, "v", df)
+    assert out.count() == 500
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
