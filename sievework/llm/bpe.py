@@ -31,6 +31,8 @@ _WHITE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
 
 MOST_WORDS, MOST_BYTES = 1 << 18, 1 << 24
+#: Words that the tokenizers library gets in one call.
+AT_ONCE = 4096
 
 
 class Vocabulary:
@@ -60,7 +62,10 @@ class Vocabulary:
             self._tokenizer = Tokenizer.from_str(self.definition)
             self._tokenizer.no_truncation()
             self._tokenizer.no_padding()
-        return [e.ids for e in self._tokenizer.encode_batch(words, add_special_tokens=False)]
+        out: list[list[int]] = []
+        for i in range(0, len(words), AT_ONCE):  # the library returns far more than ids for each word
+            out += [e.ids for e in self._tokenizer.encode_batch(words[i : i + AT_ONCE], add_special_tokens=False)]
+        return out
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The joined bytes of ids, and each id's number of bytes."""
@@ -184,8 +189,12 @@ def _apply(vocabulary, table):
     return run
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most_words: int = MOST_WORDS, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """id_col, ids (array of token ids) for every row."""
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most_words: int = MOST_WORDS, most_bytes: int = MOST_BYTES, then=None) -> DataFrame:
+    """id_col, ids (array of token ids) for every row.
+
+    then: (make, columns) where make(vocabulary) gives a function on batches of id and ids, and columns are those it returns, in place of ids. It runs
+    in the tasks that encode, so ids go to no second Python worker with a vocabulary of its own.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "bpe")
     vocabulary = spark.sparkContext.broadcast(Vocabulary(path))  # fixed size
@@ -197,7 +206,15 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     table = spark.sparkContext.broadcast(_Table(encoded.toArrow()))
     rows = docs.select(F.col(id_col).alias("id"), split_words(whole(F.col(text_col)), sorted(vocabulary.value.special)).alias("words"))
     id_type = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_apply(vocabulary, table), f"id {id_type}, ids array<int>").withColumnRenamed("id", id_col)
+    apply, columns = _apply(vocabulary, table), "ids array<int>"
+    if then:
+        make, columns = then
+        apply = _in_turn(apply, make(vocabulary))
+    return rows.mapInArrow(apply, f"id {id_type}, {columns}").withColumnRenamed("id", id_col)
+
+
+def _in_turn(first, second):
+    return lambda batches: second(first(batches))
 
 
 def _decoded(vocabulary):
@@ -230,7 +247,7 @@ def _digests(vocabulary):
                 n.append(b - a)
                 ids_sha.append(hashlib.sha256(own.astype("<u4").tobytes()).hexdigest())
                 text_sha.append(hashlib.sha256(vocabulary.value.decode(own)[0].tobytes().decode("utf-8", "replace").encode()).hexdigest())
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.record_batch([batch.column("id"), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
@@ -242,10 +259,8 @@ def default_vocabulary() -> str:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = default_vocabulary()
-    tokens = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
-    vocabulary = spark.sparkContext.broadcast(Vocabulary(path))
-    return tokens.mapInArrow(_digests(vocabulary), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return encode(docs, default_vocabulary(), then=(_digests, "n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 
 SQL = None  # tests compare with the tokenizers library

@@ -38,6 +38,12 @@ def test_query(spark, tmp_path):
     assert got == [(i, len(ids), sha(b"".join(x.to_bytes(4, "little") for x in ids)), sha(t.encode())) for i, ids, t in expected(data)]
 
 
+def test_query_has_one_python_step(spark, tmp_path):
+    """Ids are digested where they are made: a second step would be a second Python worker beside each, with a vocabulary of its own."""
+    table(spark, rows(30)).write.parquet(f"{tmp_path}/documents.parquet")
+    assert bpe.op5_bpe(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_empty_table(spark):
     assert bpe.encode(table(spark, []), bpe.default_vocabulary()).count() == 0
 
