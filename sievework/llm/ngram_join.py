@@ -17,7 +17,7 @@ order into fragments; a set falls into segments, one for each fragment.
    least of them, so links grow with the members of a group, not with their pairs. The blocks of a
    group share its hub and some landmarks.
 4. In groups that stay open, that is, have several blocks and nodes outside their largest component, these nodes are compared with all of the
-   group, if that sends a set to few blocks. Larger ones (pages of one template, say) are grouped anew by
+   group, if that sends a set to few blocks, or few sets in all beside the table. Larger ones (pages of one template, say) are grouped anew by
    single n-grams: the n-grams of their sets are put in order of frequency among them, and each set hands on as many of its rarest as it may
    differ in, and one more. What a template gives all of its pages is frequent and makes none of them meet. Steps 2 to 4 follow once more on the new groups.
 
@@ -50,6 +50,8 @@ COMBINE = 1 << 20
 LANDMARKS = 16
 #: Blocks that a set of an open group goes to, on average, before the group is grouped anew instead.
 COPIES = 8
+#: Sets that all such groups together may send to blocks without being grouped anew, as a share of the table's rows.
+SHARE = 0.75
 _ROOM = 1.15  # fragments for each segment that is needed: some are too small to be handed on
 
 
@@ -318,20 +320,19 @@ def _links(blocks: DataFrame, arrays: DataFrame, low: int, high: int) -> DataFra
 
 def _around(members: DataFrame, scratch: Scratch, name: str = "") -> DataFrame:
     """hub, node: groups such that two nodes with a token in common stand in one."""
+    # What a step needs of a token's rows, or a node's, is worked out where these rows meet, so a step is one shuffle.
+    members = members.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token").distinct()
     # Tokens of the same nodes are one: near copies share most of their segments.
     tokens = members.groupBy("token").agg(F.count(F.lit(1)).alias("met"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("y"))
     tokens = tokens.groupBy("met", "x", "y").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("times")).select("token", "met", "times")
     met = scratch.write(members.join(tokens, "token"), f"met{name}")
-    # A text that others were made from shares most with them.
-    central = met.groupBy("node").agg(F.sum(F.col("met") * F.col("times")).alias("central"))
-    hubs = met.join(central, "node").groupBy("token").agg(F.max(F.struct("central", "node")).alias("top")).select("token", F.col("top.node").alias("hub"))
-    # Each node looks to the hub with most nodes around it; a token whose nodes all look to one hub takes that one.
-    around = met.join(hubs, "token").select("hub", "node").distinct()
-    size = around.groupBy("hub").agg(F.count(F.lit(1)).alias("m"))
-    look = around.join(size, "hub").groupBy("node").agg(F.max(F.struct("m", "hub")).alias("to")).select("node", F.col("to.hub").alias("to"))
-    agreed = met.join(look, "node").groupBy("token").agg(F.min("to").alias("a"), F.max("to").alias("b"))
-    hubs = hubs.join(agreed, "token").select("token", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("hub")).alias("hub"))
-    return scratch.write(met.join(hubs, "token").select("hub", "node").distinct(), f"around{name}")
+    token, node = Window.partitionBy("token"), Window.partitionBy("node")
+    # A text that others were made from shares most with them: a token's hub is its most central node.
+    seen = met.withColumn("central", F.sum(F.col("met") * F.col("times")).over(node)).withColumn("top", F.max(F.struct("central", "node")).over(token))
+    # Each node looks to its most central hub; a token whose nodes all look to one hub takes that one.
+    seen = seen.withColumn("to", F.max("top").over(node)["node"])
+    seen = seen.select("node", F.col("top.node").alias("hub"), F.min("to").over(token).alias("a"), F.max("to").over(token).alias("b"))
+    return scratch.write(seen.select(F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("hub")).alias("hub"), "node").distinct(), f"around{name}")
 
 
 def _with_size(around: DataFrame, arrays: DataFrame) -> DataFrame:
@@ -354,15 +355,17 @@ def _block_links(around: DataFrame, arrays: DataFrame, low: int, high: int) -> D
 
 
 def _open_groups(around: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes with their group and component, groups of several blocks with nodes outside their largest component: hub, main, parts, strips, wide).
+    """(nodes with their group and component, groups of several blocks with nodes outside their largest component: hub, main, parts, strips, copies, wide).
 
-    wide: to compare these nodes with all of the group would send each set, on average, to more than COPIES blocks.
+    copies: how many sets would be sent to blocks if these nodes were compared with all of the group; wide: these are more than COPIES
+    for each set of the group.
     """
     labelled = around.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     main = labelled.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("hub").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("m")).filter(f"m > {BLOCK} and m > top.k")
     outside = F.col("m") - F.col("top.k")
     sized = main.select("hub", F.col("top.comp").alias("main"), "m", outside.alias("outside"), F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"), F.ceil(outside / BLOCK).cast("int").alias("strips"))
-    return labelled, sized.select("hub", "main", "parts", "strips", (F.col("outside") * F.col("parts") + F.col("m") * F.col("strips") > COPIES * F.col("m")).alias("wide"))
+    copies = F.col("outside") * F.col("parts") + F.col("m") * F.col("strips")
+    return labelled, sized.select("hub", "main", "parts", "strips", copies.alias("copies"), (copies > COPIES * F.col("m")).alias("wide"))
 
 
 def _unsettled(labelled: DataFrame, main: DataFrame) -> DataFrame:
@@ -409,7 +412,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bound = scratch.write(handed.repartition(width, key).sortWithinPartitions("token", "node").mapInArrow(_bind, kind), "bound")
     texts = bound.filter("token is null").select("id", "n", "node")
     bound = bound.filter("token is not null")
-    members = bound.select("token", "node").union(bound.select("token", "hub")).distinct()
+    members = bound.select("token", "node").union(bound.select("token", "hub"))
     around = _around(members, scratch)
     scratch.drop("met")
     release(spark)
@@ -425,12 +428,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     roots = connected_components(links, scratch, "cc")
     labelled, main = _open_groups(around, roots)
     main = scratch.write(main, "open")
-    kinds, more = {r.wide for r in main.select("wide").distinct().collect()}, False
-    if False in kinds:
+    cost, more = {r.wide: r.copies for r in main.groupBy("wide").agg(F.sum("copies").alias("copies")).collect()}, False
+    if True in cost and cost[True] <= SHARE * texts.count():  # few beside the whole table: compared at once, which is fewer passes
+        main, cost = main.withColumn("wide", F.lit(False)), {False: sum(cost.values())}
+    if False in cost:
         found = scratch.write(_strip_links(labelled, main.filter("not wide"), arrays, low, high), "strips")
         if not found.isEmpty():
             links, more = links.unionByName(found), True
-    if True in kinds:
+    if True in cost:
         rare = scratch.write(_rare_members(scratch.write(_unsettled(labelled, main.filter("wide")), "unsettled"), arrays, low, high, scratch), "rare")
         around = _with_size(_around(rare, scratch, "again"), arrays)
         found = scratch.write(_block_links(around, arrays, low, high), "links_again")

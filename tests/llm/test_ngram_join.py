@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -109,3 +110,17 @@ def test_small_blocks_and_fragments(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert ngram_join.similar_groups(table(spark, [])).count() == 0
+
+
+def test_small_open_groups_are_compared_at_once(spark, monkeypatch):
+    """A group of several blocks that is open and wide, but small beside the table, is not grouped anew, which is a dozen passes more."""
+    draw = random.Random(3)
+    page = [f"p{i}" for i in range(12)]
+    pages = [" ".join(page + [f"n{k}x{draw.randint(0, 10**9)}"]) for k in range(80)]
+    data = [(i, t, None, None, None) for i, t in enumerate(pages + [f"a{k} b{k} c{k} d{k}" for k in range(4000)])]
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    written, write = [], ngram_join.Scratch.write
+    monkeypatch.setattr(ngram_join.Scratch, "write", lambda self, df, name: written.append(name) or write(self, df, name))
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_groups(table(spark, data), words=3, low=95).collect()}
+    assert got == {i: i for i in range(len(data))}
+    assert "rare" not in written
