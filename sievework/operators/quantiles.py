@@ -1,9 +1,10 @@
 """Exact quantiles without a sort and without a state that grows: selection by refined histograms.
 
 Every number becomes a 64-bit key with the same order. One pass finds rows, least and greatest key of all columns; each further pass counts, for
-all columns and all wanted ranks together, the next DIGITS bits of the keys that still share the prefix of a rank, so what
-reaches the driver is a histogram of fixed size for each rank. When the keys left around every rank are few, a last pass brings
-them. Passes: at most 64 / DIGITS, commonly three; no task holds the values of a column.
+all columns and all wanted ranks together, the next DIGITS bits of the keys that still share the prefix of a rank, in arrays of fixed size in each task, so
+what reaches the driver is a histogram of fixed size for each rank. A bucket brings its least and greatest key too: if these are one, the rank
+is found, else the next pass begins where they part. Passes: at most 64 / DIGITS, and no more than the values have
+digits, however many rows share a value; no task holds the values of a column.
 
 Defined cases: nulls do not count; NaN is the greatest number, as Spark orders it; a column without values has no quantiles; between two ranks
 a quantile is their linear interpolation.
@@ -12,15 +13,18 @@ a quantile is their linear interpolation.
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import ceil, floor
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIGITS = 12
-#: Different keys of a rank's bucket that the last pass may bring to the driver.
+#: No longer a bound: passes end where a bucket has one key, however many rows have it.
 _FEW = 1 << 14
 _SIGN = 1 << 63
 #: Bits of the format of doubles.
@@ -31,30 +35,6 @@ def _is_whole(kind: T.DataType) -> bool:
     return isinstance(kind, (T.IntegralType, T.BooleanType))
 
 
-def _keyed(df: DataFrame, columns: list[str]) -> DataFrame:
-    """k0, k1, ...: bigints that order as the columns' numbers do when they are read as unsigned.
-
-    For doubles these are the bits of their format, worked out by scaling with powers of two, which is exact; each step is
-    a projection of its own, so no term is computed twice.
-    """
-    real = [i for i, c in enumerate(columns) if not _is_whole(df.schema[c].dataType)]
-    whole = [F.col(f"`{c}`").cast("bigint").bitwiseXOR(F.lit(-_SIGN)).alias(f"k{i}") for i, c in enumerate(columns) if i not in real]
-    kept = [f"k{i}" for i in range(len(columns)) if i not in real]
-    out = df.select(*whole, *(F.col(f"`{columns[i]}`").cast("double").alias(f"x{i}") for i in real))
-    power = lambda e: F.pow(F.lit(2.0), e)
-    out = out.select(*kept, *(F.col(f"x{i}") for i in real), *(F.greatest(F.lit(-1022.0), F.least(F.lit(1023.0), F.coalesce(F.floor(F.log2(F.abs(f"x{i}"))).cast("double"), F.lit(-1022.0)))).alias(f"e{i}") for i in real))
-    out = out.select(*kept, *(F.col(f"{v}{i}") for i in real for v in "xe"), *((F.abs(f"x{i}") * power(-F.col(f"e{i}"))).alias(f"s{i}") for i in real))
-    bits = []
-    for i in real:
-        x, e, s = (F.col(f"{v}{i}") for v in "xes")
-        off = F.when(s >= 2, 1).when((s < 1) & (e > -1022), -1).otherwise(0)  # a logarithm may miss by one
-        own = (e + off + 1022).cast("bigint") * F.lit(1 << 52) + (s * F.when(off == 1, float(1 << 51)).when(off == -1, float(1 << 53)).otherwise(float(1 << 52))).cast("bigint")
-        plain = F.when(F.isnan(x), F.lit(_NAN)).when(F.abs(x) == F.lit(float("inf")), F.lit(_INFINITE)).otherwise(own)
-        signed = plain.bitwiseXOR(F.lit(-_SIGN))
-        bits.append(F.when(x.isNotNull(), F.when(x < 0, F.bitwise_not(signed)).otherwise(signed)).alias(f"k{i}"))
-    return out.select(*kept, *bits)
-
-
 def _key(x: float | int, whole: bool) -> int:
     """The unsigned key of a number."""
     if whole:
@@ -71,10 +51,6 @@ def _value(key: int, whole: bool) -> float | int:
     return struct.unpack(">d", bits.to_bytes(8, "big"))[0]
 
 
-def _unsigned(x: int) -> int:
-    return x & (2 * _SIGN - 1)
-
-
 @dataclass
 class _Search:
     """One rank of one column: its keys agree above `shift` with `prefix`, and `left` of them stand before it."""
@@ -87,13 +63,6 @@ class _Search:
     size: int = 0
     found: int | None = field(default=None)
 
-    def test(self, key: Column) -> Column:
-        return F.lit(True) if self.shift >= 64 else F.shiftrightunsigned(key, self.shift) == F.lit(_signed(self.prefix))
-
-
-def _signed(x: int) -> int:
-    return x - 2 * _SIGN if x >= _SIGN else x
-
 
 def order_statistics(df: DataFrame, ranks: dict[str, list[int]], extent: dict[str, tuple[int, int, int]] | None = None) -> dict[tuple[str, int], float | int]:
     """The values at ranks (from 0) of each column; extent is what `extents` has found, if it is known."""
@@ -110,33 +79,64 @@ def order_statistics(df: DataFrame, ranks: dict[str, list[int]], extent: dict[st
                 raise ValueError(f"{c}: no rank {r} among {n} values")
             shift = (low ^ high).bit_length()
             searches.append(_Search(i, r, shift, low >> shift, r, n, low if shift == 0 else None))
-    keyed = _keyed(df, names)
+    numbers = df.select(*(F.col(f"`{c}`").cast("bigint" if whole[c] else "double").alias(f"x{i}") for i, c in enumerate(names)))
     while active := [s for s in searches if s.found is None]:
-        last = all(s.size <= _FEW for s in active)
-        groups = {(s.column, s.shift, s.prefix): s for s in active}
-        cells = []
-        for g, s in enumerate(groups.values()):
-            key = F.col(f"k{s.column}")
-            step = 0 if last else max(0, s.shift - DIGITS)
-            cells.append(F.when(key.isNotNull() & s.test(key), F.struct(F.lit(g).alias("g"), F.shiftrightunsigned(key, step).alias("b"))))
-        counted = keyed.select(F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("x")).groupBy("x.g", "x.b").agg(F.count(F.lit(1)).alias("n")).toArrow().to_pydict()
-        histograms: list[list[tuple[int, int]]] = [[] for _ in groups]
-        for g, b, n in zip(counted["g"], counted["b"], counted["n"]):
-            histograms[g].append((_unsigned(b), n))
+        groups = list({(s.column, s.shift, s.prefix): None for s in active})
+        found = numbers.mapInArrow(_counted(groups), "g int, b bigint, n bigint, low bigint, high bigint").groupBy("g", "b").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+        counted = found.toArrow().to_pydict()
+        histograms: list[list[tuple[int, int, int, int]]] = [[] for _ in groups]
+        for g, b, n, low, high in zip(*(counted[c] for c in ("g", "b", "n", "low", "high"))):
+            histograms[g].append((b, n, low + _SIGN, high + _SIGN))
         of = {k: sorted(h) for k, h in zip(groups, histograms)}
         for s in active:
-            buckets = of[s.column, s.shift, s.prefix]
-            step = 0 if last else max(0, s.shift - DIGITS)
-            for b, n in buckets:
+            for _, n, low, high in of[s.column, s.shift, s.prefix]:
                 if s.left < n:
-                    s.shift, s.prefix, s.size = step, b, n
+                    # the bucket's own least and greatest key say how far its keys agree
+                    s.shift = (low ^ high).bit_length()
+                    s.prefix, s.size = low >> s.shift, n
+                    s.found = low if low == high else None
                     break
                 s.left -= n
-            if step == 0:
-                s.found = s.prefix
     return {(names[s.column], s.rank): _value(s.found, whole[names[s.column]]) for s in searches}
 
 
+def _counted(groups: list[tuple[int, int, int]]):
+    """Rows (g, b, n, low, high): how many keys of a task's rows are in bucket b of group g, and the least and greatest of them (as signed numbers). Groups are
+    (column, shift, prefix); a task holds a histogram of 2 ** DIGITS buckets at most for each. Workers need not import this package."""
+
+    def in_order(x: np.ndarray) -> np.ndarray:
+        """Unsigned keys in the order of the numbers."""
+        if x.dtype == np.int64:
+            return x.view(np.uint64) ^ np.uint64(_SIGN)
+        x = np.where(np.isnan(x), np.float64("nan"), x + 0.0)  # one form of NaN, no negative zero
+        bits = x.view(np.uint64)
+        return np.where(bits >> np.uint64(63) == 1, ~bits, bits | np.uint64(_SIGN))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = [1 << min(DIGITS, shift) for _, shift, _ in groups]
+        n = [np.zeros(k, np.int64) for k in sizes]
+        low = [np.full(k, 2 * _SIGN - 1, np.uint64) for k in sizes]
+        high = [np.zeros(k, np.uint64) for k in sizes]
+        for batch in batches:
+            keys: dict[int, np.ndarray] = {}
+            for g, (column, shift, prefix) in enumerate(groups):
+                if column not in keys:
+                    keys[column] = in_order(batch.column(column).drop_null().to_numpy(zero_copy_only=False))
+                own = keys[column]
+                if shift < 64:
+                    own = own[own >> np.uint64(shift) == np.uint64(prefix)]
+                b = (own >> np.uint64(max(0, shift - DIGITS)) & np.uint64(sizes[g] - 1)).astype(np.int64)
+                n[g] += np.bincount(b, minlength=sizes[g])
+                np.minimum.at(low[g], b, own)
+                np.maximum.at(high[g], b, own)
+        for g in range(len(groups)):
+            b = np.flatnonzero(n[g])
+            ends = [(x[g][b] ^ np.uint64(_SIGN)).view(np.int64) for x in (low, high)]
+            yield pa.record_batch([pa.array(np.full(len(b), g, np.int32)), pa.array(b), pa.array(n[g][b]), *map(pa.array, ends)], names=["g", "b", "n", "low", "high"])
+
+    return run
+
+
 def extents(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, int, int]]:
     """(values, least key, greatest key) of each column, in one pass."""
     stats = []

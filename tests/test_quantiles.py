@@ -35,6 +35,16 @@ def test_like_sorted_lists(spark, monkeypatch, few):
             assert all(a == b or (math.isnan(a) and math.isnan(b)) for a, b in zip(got[c], want)), c
 
 
+def test_passes_do_not_grow_with_the_rows_of_a_value(spark, monkeypatch):
+    """Few values in many rows: a bucket of one value is done, although it has more rows than a last pass would bring."""
+    monkeypatch.setattr(Q, "_FEW", 10)
+    df = spark.range(20000).selectExpr("cast(id % 50 + 1 as double) as a", "(id % 11) / 100.0 as b")
+    passes, plain = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, *a, **k: passes.append(1) or plain(self, *a, **k))
+    assert Q.quantiles(df, ["a", "b"], [0.0, 0.5, 1.0]) == {"a": [1.0, 25.5, 50.0], "b": [0.0, 0.05, 0.1]}
+    assert 1 <= len(passes) <= 2
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(None, 1.0, True), (None, math.nan, False)], "a double, b double, c boolean")
     got = Q.quantiles(df, ["a", "b", "c"], [0.0, 1.0])
