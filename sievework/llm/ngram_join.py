@@ -52,6 +52,8 @@ LANDMARKS = 16
 COPIES = 8
 #: Sets that all such groups together may send to blocks without being grouped anew, as a share of the table's rows.
 SHARE = 0.75
+#: Frequent n-grams of open groups that travel to the sets are fewer than this.
+FREQUENT = 1 << 16
 _ROOM = 1.15  # fragments for each segment that is needed: some are too small to be handed on
 
 
@@ -373,23 +375,68 @@ def _unsettled(labelled: DataFrame, main: DataFrame) -> DataFrame:
     return labelled.join(main, "hub").groupBy("node").agg(F.max(F.col("comp") != F.col("main")).alias("outside"))
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """token, row: the n-grams of a batch's sets."""
+    sets = [np.frombuffer(x, np.int64) for x in batch.column("grams").to_pylist()]
+    return np.concatenate([*sets, np.zeros(0, np.int64)]), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """token, met, any_outside: how many sets of a batch have an n-gram, and whether one of them is outside."""
     for batch in batches:
-        sets = [np.frombuffer(x, np.int64) for x in batch.column("grams").to_pylist()]
-        own = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
-        yield pa.record_batch([pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])), *(batch.column(c).take(own) for c in ("node", "outside", "n"))], names=["token", "node", "outside", "n"])
+        every, own = _flat(batch)
+        token, at, met = np.unique(every, return_inverse=True, return_counts=True)
+        outside = batch.column("outside").to_numpy(zero_copy_only=False).astype(bool)
+        yield pa.record_batch([pa.array(token), pa.array(met.astype(np.int64)), pa.array(np.bincount(at, weights=outside[own], minlength=len(token)) > 0)], names=["token", "met", "any_outside"])
+
+
+def _rarest(token: np.ndarray, met: np.ndarray, any_outside: np.ndarray, low: int, high: int):
+    """Rows (token, node, n, before) of sets, given the frequent n-grams. Of these a set hands on what its place leaves to it (before is null); its
+    other n-grams stand behind as many as it has of the frequent ones (before)."""
+    by_token = np.argsort(token)
+    token, any_outside = token[by_token], any_outside[by_token]
+    place = np.empty(len(token), np.int64)
+    place[np.lexsort((token, met[by_token]))[::-1]] = np.arange(len(token))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every, own = _flat(batch)
+            n = batch.column("n").to_numpy()
+            at = np.searchsorted(token, every)
+            often = np.append(token, 0)[at] == every
+            often &= at < len(token)
+            who, which = own[often], at[often]
+            order = np.lexsort((place[which], who))
+            who, which = who[order], which[order]
+            before = np.bincount(who, minlength=batch.num_rows)
+            behind = np.arange(1, len(who) + 1) - (np.cumsum(before) - before)[who]
+            use = (behind > -(-n * low // high)[who] - 1) & any_outside[which]
+            for t, o, b in ((token[which[use]], who[use], pa.nulls(int(use.sum()), pa.int64())), (every[~often], own[~often], pa.array(before[own[~often]].astype(np.int64)))):
+                yield pa.record_batch([pa.array(t), batch.column("node").take(pa.array(o)), pa.array(n[o]), b], names=["token", "node", "n", "before"])
+
+    return run
 
 
 def _rare_members(unsettled: DataFrame, arrays: DataFrame, low: int, high: int, scratch: Scratch) -> DataFrame:
     """token, node: for each unsettled node as many of its rarest n-grams as a similar set may lack, and one more; tokens that only one node has,
-    or none that is outside, make no pair and are left out."""
-    every = scratch.write(arrays.join(unsettled, "node").select("node", "outside", "n", "grams").mapInArrow(_grams, "token long, node long, outside boolean, n long"), "grams")
-    met = every.groupBy("token").agg(F.count(F.lit(1)).alias("met"), F.max("outside").alias("any_outside")).filter("met > 1")
+    or none that is outside, make no pair and are left out.
+
+    An n-gram of more than a block of nodes (a template's) would come as a row for each of them, of which hardly any is handed on. Such n-grams
+    are fewer than FREQUENT: they travel to the sets, and only the others are joined with their counts.
+    """
+    sets = scratch.write(arrays.join(unsettled, "node").select("node", "outside", "n", "grams"), "open_sets")
+    counts = sets.mapInArrow(_counted, "token long, met long, any_outside boolean").groupBy("token").agg(F.sum("met").alias("met"), F.max("any_outside").alias("any_outside"))
+    counts = scratch.write(counts.filter("met > 1"), "counts")
+    most = max(BLOCK, (counts.agg(F.sum("met")).first()[0] or 0) // FREQUENT)
+    frequent = counts.filter(F.col("met") > most).toArrow()  # fewer than FREQUENT, as each has more than that share of all
+    table = (frequent.column(c).to_numpy() for c in ("token", "met", "any_outside"))
+    handed = scratch.write(sets.mapInArrow(_rarest(*table, low, high), "token long, node long, n long, before long"), "grams")
     # n-grams that nobody else has come first, so a node's shared ones stand behind as many as it has of those
-    shared = every.join(met, "token")
+    shared = handed.filter("before is not null").join(counts.filter(F.col("met") <= most), "token")
     order = Window.partitionBy("node").orderBy(F.desc("met"), F.desc("token"))
     spare = F.ceil(F.col("n") * F.lit(low) / F.lit(high)) - 1
-    return shared.withColumn("behind", F.row_number().over(order)).filter((F.col("behind") > spare) & F.col("any_outside")).select("token", "node")
+    rest = shared.withColumn("behind", F.col("before") + F.row_number().over(order)).filter((F.col("behind") > spare) & F.col("any_outside"))
+    return handed.filter("before is null").select("token", "node").union(rest.select("token", "node"))
 
 
 def _strip_links(labelled: DataFrame, main: DataFrame, arrays: DataFrame, low: int, high: int) -> DataFrame:

@@ -86,6 +86,45 @@ def test_pages_of_a_template_make_no_square(spark):
     assert seen[1200] <= 2.2 * seen[600] and seen[2400] <= 2.2 * seen[1200], seen
 
 
+def test_ngrams_of_a_template_make_no_rows_for_each_page(spark, monkeypatch):
+    """Of n-grams that very many pages share only what is handed on becomes rows, not one for each page."""
+    monkeypatch.setattr(ngram_join, "SHARE", 0)
+    n, shared, own = 1200, 160, 30
+    data = [(i, " ".join([*(f"t{k}" for k in range(shared)), *(f"p{i}_{k}" for k in range(own))]), "en", "s", 1) for i in range(n)]
+    data += [(5000 + i, " ".join([*(f"t{k}" for k in range(shared)), *(f"p{i}_{k}" for k in range(own - 1)), "new"]), "en", "s", 1) for i in range(5)]
+    written, write = {}, ngram_join.Scratch.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join.Scratch, "write", counted)
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_groups(table(spark, data), words=1, low=90).collect()}
+    assert got == {i: i for i in range(n)} | {5000 + i: i for i in range(5)}
+    assert "rare" in written
+    assert written["grams"] <= 1.2 * n * own, written
+
+
+@pytest.mark.parametrize("frequent", [1, 20, 1 << 16])
+def test_rarest_ngrams_whatever_travels(spark, monkeypatch, frequent):
+    """The same n-grams are handed on with any table of frequent ones: a plain count gives them too."""
+    monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+    monkeypatch.setattr(ngram_join, "BLOCK", 5)
+    draw = random.Random(frequent)
+    sets = {k - 30: sorted({int(draw.paretovariate(0.5)) - 40 for _ in range(draw.randint(1, 40))}) for k in range(60)}
+    outside = {k: draw.random() < 0.3 for k in sets}
+    arrays = spark.createDataFrame([(k, len(x), np.array(x, np.int64).tobytes()) for k, x in sets.items()], "node long, n long, grams binary")
+    unsettled = spark.createDataFrame(list(outside.items()), "node long, outside boolean")
+    got = sorted(map(tuple, ngram_join._rare_members(unsettled, arrays.repartition(3), 80, 100, ngram_join.Scratch(spark, "rarest")).collect()))
+    met = {t: sum(t in x for x in sets.values()) for x in sets.values() for t in x}
+    want = []
+    for k, x in sets.items():
+        rarest = sorted(x, key=lambda t: (met[t], t))[: len(x) - -(-len(x) * 80 // 100) + 1]
+        want += [(t, k) for t in rarest if met[t] > 1 and any(outside[j] for j, y in sets.items() if t in y)]
+    assert got == sorted(want)
+
+
 def test_null_and_repeated_identifiers_and_other_columns(spark):
     text = " ".join(f"w{i}" for i in range(30))
     data = [(None, text, "en", "s", 1), (4, text + " more", "en", "s", 1), (4, text + " more", "en", "s", 1), (4, "something else entirely here", "en", "s", 1), (9, None, "en", "s", 1)]
