@@ -47,3 +47,14 @@ def test_empty_log(spark):
     assert table(ledger.undo(df, empty)) == table(df) and table(ledger.replay(df, empty)) == table(df)
     assert ledger.score(df, df, empty).count() == 0
     assert ledger.score(df, df.withColumn("meal", F.lit("z")), empty).first().changed == 5
+
+
+def test_scores_make_the_noise_once(spark):
+    """What a repair's statistics, the repair and its score read is the written noisy table; only the log still comes from the orders."""
+    from sievework import catalogue_repair
+
+    made = catalogue_repair.repair_score_columns(spark, "/root/testdata/sf0.001")
+    assert any("/noisy-" in f for f in made.inputFiles())
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("o_orderkey") and sum("Relation" in x and "orderdate" in x for x in plan.splitlines()) == 1
+    assert {r["column"] for r in made.collect()} == set(catalogue_repair._COLUMNS)
